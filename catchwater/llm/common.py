@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, each: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], schema: str, rows: int = 256) -> DataFrame:
+def map_rows(df: DataFrame, each: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], schema: str | StructType, rows: int = 256) -> DataFrame:
     """Arrow map. each() is called once a task and gives a function from an iterator of input tuples to output tuples.
 
     Both sides stream: a task holds one Arrow batch of input and `rows` rows of output.
@@ -62,8 +62,8 @@ def map_rows(df: DataFrame, each: Callable[[], Callable[[Iterator[tuple]], Itera
     return df.mapInArrow(run, parsed(schema))
 
 
-def parsed(schema: str) -> StructType:
-    return _parse_datatype_string(schema)
+def parsed(schema: str | StructType) -> StructType:
+    return _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
 
 def packed(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
