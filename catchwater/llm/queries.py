@@ -5,12 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catchwater.llm import bpe, pii, secrets
+from catchwater.llm import bpe, pii, quality, secrets
 from catchwater.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -24,5 +30,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.train(docs)))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_secrets": op4_secrets, "op9_pii": op9_pii}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op4_secrets": op4_secrets, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
