@@ -184,10 +184,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
     The labels of the sample are a bounded table and are sent to all tasks.
     """
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.join(F.broadcast(some.select(F.col("doc_id").alias(id_col))), id_col, "left_semi"), id_col).where(f"NOT ({BASE_FAILED})").select("doc_id", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), *FEATURES).collect()
+    quality = dict(some.collect())
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col("text")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
+    rows = statistics(picked).select("doc_id", "n_words", "n_repeat_words", *[F.expr(e).cast("double").alias(f"f_{f}") for f, e in FEATURES.items()]).collect()
+    rows = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
     if not rows:
         return []
-    return learn(np.array([[r[f] for f in FEATURES] for r in rows]), np.array([r["quality"] == 0 for r in rows]))
+    rows.sort(key=lambda r: (hash_of(r["doc_id"]), *(r[f"f_{f}"] for f in FEATURES)))
+    return learn(np.array([[r[f"f_{f}"] for f in FEATURES] for r in rows]), np.array([quality[r["doc_id"]] == 0 for r in rows]))
+
+
+def hash_of(i: int) -> int:
+    """Orders ids in a way that has nothing to do with their size."""
+    return int(i) * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
 def rule_column(rules: list[list[Test]]) -> Column:
