@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catchwater.llm import bpe, neardup, pii, quality, secrets, tokencount
+from catchwater.llm import bpe, neardup, pii, quality, secrets, tokencount, warc
 from catchwater.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,10 +33,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digests(pii.find(docs, pii.train(docs)))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op9_pii": op9_pii}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_warc": op6_warc, "op9_pii": op9_pii}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ROUND_TRIP_SQL}
