@@ -145,8 +145,8 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return map_rows(df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), per_row(lambda: lambda i, x: (i, load(path, pattern).decode(x or ()))), f"`{id_col}` {kind}, data binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, so that ids never cross to the JVM and back. Nulls count as empty."""
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, and with `ids` the ids themselves): encodes and decodes in one pass, so that ids never cross to the JVM and back. Nulls count as empty."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -155,9 +155,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         name = [str(i) for i in range(len(tok.bytes_of))]
 
         def row(i, text):
-            ids = tok.encode(text)
-            return i, len(ids), hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids)).hexdigest()
+            out = tok.encode(text)
+            row = i, len(out), hashlib.sha256(" ".join(map(name.__getitem__, out)).encode()).hexdigest(), hashlib.sha256(tok.decode(out)).hexdigest()
+            return (*row, out) if ids else row
 
         return row
 
-    return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_row(each), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_row(each), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

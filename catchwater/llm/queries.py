@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catchwater.llm import bpe, media, neardup, pii, quality, secrets, tokencount, warc
+from catchwater.llm import bpe, chat, media, mixing, neardup, pii, quality, secrets, tokencount, warc
 from catchwater.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,10 +41,18 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digests(pii.find(docs, pii.train(docs)))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_warc": op6_warc, "op7_media": op7_media, "op9_pii": op9_pii}
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ROUND_TRIP_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_warc": op6_warc, "op7_media": op7_media, "op8_chat": op8_chat, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ROUND_TRIP_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL}

@@ -1,15 +1,58 @@
-"""Corpus pipeline: quality rules, near-dedup, secret scans, mixing, BPE."""
+"""Corpus pipeline: quality rules, near-dedup, secret scans, mixing, byte-level BPE.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and reread as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catchwater.llm import bpe, mixing, neardup, quality, secrets
+from catchwater.llm.common import scratch, table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base test or a learned rule."""
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules, keep=True).where("kept").select("__row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one of the smallest doc_id; documents without words stay."""
+    gone = neardup.find(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces found secrets by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by their calibrated probabilities."""
+    return mixing.mix(docs, keep=True).where("kept").select("__row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, and the digests of the ids and of the decoded bytes."""
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, ids=True)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mix_sources", mix_sources), ("encode", encode)]
+ORACLE_SQL = None  # sketches, novelty and merges are beyond SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = scratch(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
