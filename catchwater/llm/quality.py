@@ -97,8 +97,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     rest = ["__row"] if keep else []
     split = first.select("doc_id", *rest, F.array_remove(F.split("text", SPACE + "+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"), "text")
     n = F.size("words")
-    return split.select(
-        "doc_id", *rest,
+    found = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -109,6 +108,8 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_bangs"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
+    # A generator, since filters on statistics would else be pushed below the split and redo it for each word.
+    return split.select("doc_id", *rest, F.explode(F.array(found)).alias("s")).select("doc_id", *rest, "s.*")
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
