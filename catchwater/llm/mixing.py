@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catchwater.llm.common import written
 
 ROUNDS = 12
-POWER = 0.5  # target shares without given targets: shares of tokens to this power
+POWER = 0.9  # target shares without given targets: shares of tokens to this power
 SENT = 100_000  # cells up to which their table is sent to all tasks; beyond, it is joined by a shuffle
 MARGINS = ("source", "lang", "topic")
 
