@@ -31,6 +31,7 @@ HOPEFUL = 0.62  # estimate from which full sets are compared: 0.75 less 5.9 stan
 SMALL = 32  # representatives of a bucket that gives its pairs
 BLOCK, BLOCK_CHARS = 1024, 4 << 20  # representatives and characters of a region's block
 MEMO = 200_000
+SENT = 8 << 20  # bytes of a list of ids or buckets up to which it is sent to all tasks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -106,36 +107,30 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SIMILAR * (len(a) + len(b) - common)
 
 
-def bands(registers: np.ndarray) -> list[int]:
-    """A 64-bit hash for each band, with the band's number in it."""
-    raw = registers.tobytes()
-    return [xxhash.xxh64_intdigest(raw[k : k + 2 * ROWS], seed=k) - (1 << 63) for k in range(0, len(raw), 2 * ROWS)]
-
-
 @lru_cache(64)
 def _set_of(text: str) -> np.ndarray:
     return shingles(text)
 
 
-def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_key) of every row; set_key: the digest of the set, null where it is empty."""
+def sets(df: DataFrame) -> DataFrame:
+    """(id, n_shingles, set_key, registers) from (id, text); set_key: the digest of the set. Both are null where it is empty."""
 
     def row(i, text):
         s = shingles(text)
-        return i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+        return (i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) if len(s) else (i, 0, None, None)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_row(lambda: row), f"id {kind}, n_shingles long, set_key binary", rows=4096)
+    return map_rows(df, per_row(lambda: row), "id long, n_shingles long, set_key binary, registers binary", rows=1024)
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """(id, registers, bands) from (id, text), for sets that are not empty."""
+def bands(sk: DataFrame) -> DataFrame:
+    """(id, band): a 64-bit hash of each band of registers and its number."""
+    one = F.expr(f"transform(sequence(0, {REGISTERS // ROWS - 1}), k -> xxhash64(k, substring(registers, {2 * ROWS} * k + 1, {2 * ROWS})))")
+    return sk.select("id", F.explode(one).alias("band"))
 
-    def row(i, text):
-        r = sketch(shingles(text))
-        return i, r.tobytes(), bands(r)
 
-    return map_rows(df, per_row(lambda: row), "id long, registers binary, bands array<long>")
+def sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked to be sent to all tasks if it has at most SENT bytes; else it is joined by a shuffle. df: a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= SENT else df.hint("merge")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -243,27 +238,29 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     spark = df.sparkSession
     small_batches(spark)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = written(sets(base, "id", "text"), "sets")
-    classes = written(keyed.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    reps = classes.groupBy("rep").agg(F.count("*").alias("n"))
-    texts = base.where("id IS NOT NULL AND text IS NOT NULL").join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where(F.col("text").rlike("[^ \\t-\\r]"))
-    sk = written(sketches(texts), "sketches")
-    member = sk.select("id", F.explode("bands").alias("band")).distinct()
-    buckets = written(member.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "buckets")
-    shared = member.join(buckets, "band")
-    few = shared.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
-    many = shared.where(F.col("n") > SMALL).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    many = written(many, "large")
-    near = written(pairs, "pairs")
-    used = near.select(F.explode(F.array("a", "b")).alias("id")).union(many.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    docs = written(texts.join(used, "id", "left_semi").join(sk.select("id", "registers"), "id"), "candidates")
+    keyed = written(sets(base), "sets")
+    named = keyed.where("set_key IS NOT NULL AND id IS NOT NULL")
+    classes = written(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    copies = written(named.select("id", "set_key").join(classes.where("n > 1"), "set_key").where("id != rep").select("id").distinct(), "copies")
+    sk = named.select("id", "registers").join(sent(copies, 8), "id", "left_anti")
+    member = bands(sk)
+    buckets = written(member.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"), "buckets")
+    wide = written(buckets.where("n > 2").select("band", "n", F.col("a").alias("hub")), "wide")
+    shared = written(member.join(sent(wide, 24), "band"), "shared")
+    few = shared.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    of_few = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    near = written(buckets.where("n = 2").select("a", "b").union(of_few).distinct(), "pairs")
+    many = written(shared.where(F.col("n") > SMALL).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "large")
+    used = written(near.union(many).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "used")
+    some = sent(used, 8)
+    docs = base.where("text IS NOT NULL").join(some, "id", "left_semi").dropDuplicates(["id"])
+    docs = written(docs.join(named.select("id", "registers").join(some, "id", "left_semi").dropDuplicates(["id"]), "id"), "candidates")
     links = confirm(near, docs)
     if not many.isEmpty():
         region = components(many, "regions")
         region = region.union(region.select(F.col("root").alias("id"), "root").distinct()).select("id", F.col("root").alias("region"))
         links = links.union(region_links(region.join(docs.select("id", F.length("text").alias("chars")), "id"), docs))
-    twice = keyed.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
+    twice = named.groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     same_id = keyed.join(twice, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(same_id))
     final = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
