@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catchwater.operators.terrain import CELL, D8, cell_id, with_neighbours
@@ -18,14 +18,11 @@ from catchwater.scratch import written
 def direction(cells: DataFrame, value: str = "filled", resolution: float = 30.0) -> DataFrame:
     """cells with direction: the steepest of eight drops, the first in order of those equally steep; -1 where nothing is lower."""
     out = with_neighbours(cells, value)
-    for k in range(8):
-        far = resolution * (sqrt(2.0) if k % 2 else 1.0)
-        out = out.withColumn(f"n{k}", F.when(F.col(f"n{k}") < F.col(value), (F.col(value) - F.col(f"n{k}")) / F.lit(far)))
-    best = F.greatest(*[f"n{k}" for k in range(8)])
-    pick: Column = F.lit(-1)
-    for k in reversed(range(8)):
-        pick = F.when(F.col(f"n{k}") == best, k).otherwise(pick)
-    return out.withColumn("direction", pick.cast("int")).select(*cells.columns, "direction")
+    far = [resolution * (sqrt(2.0) if k % 2 else 1.0) for k in range(8)]
+    drop = [F.coalesce(F.when(F.col(f"n{k}") < F.col(value), (F.col(value) - F.col(f"n{k}")) / F.lit(far[k])), F.lit(0.0)) for k in range(8)]
+    best = F.greatest(*[F.struct(drop[k].alias("g"), F.lit(-k).alias("k")) for k in range(8)])
+    out = out.select(*cells.columns, best.alias("_best"))
+    return out.select(*cells.columns, F.when(F.col("_best.g") > 0, -F.col("_best.k")).otherwise(-1).cast("int").alias("direction"))
 
 
 def edges(flow: DataFrame) -> DataFrame:

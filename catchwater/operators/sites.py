@@ -86,10 +86,10 @@ def cascade(sites: DataFrame, p: Params = Params(), outside: Column | None = Non
     area = (F.col("acc") + 1) * (p.resolution_m * p.resolution_m) / 1e6
     no = F.lit(False)
     tests = [
-        (F.col("slope_deg") > p.max_slope_deg, "rejected_slope", F.concat(F.lit("Slope "), F.format_string("%.1f", "slope_deg"), F.lit(f"° exceeds maximum {p.max_slope_deg}°"))),
+        (F.col("slope_deg") > p.max_slope_deg, "rejected_slope", F.concat(F.lit("Slope "), fixed(F.col("slope_deg"), 1), F.lit(f"° exceeds maximum {p.max_slope_deg}°"))),
         (F.coalesce(outside, no) if outside is not None else no, "rejected_outside_selection", F.lit(OUTSIDE_TEXT)),
         (F.coalesce(excluded, no) if excluded is not None else no, "rejected_constraint", F.lit(CONSTRAINT_TEXT)),
-        (area < p.min_catchment_km2, "rejected_catchment", F.concat(F.lit("Catchment "), F.format_string("%.4f", area), F.lit(f" km² < minimum {p.min_catchment_km2} km²"))),
+        (area < p.min_catchment_km2, "rejected_catchment", F.concat(F.lit("Catchment "), fixed(area, 4), F.lit(f" km² < minimum {p.min_catchment_km2} km²"))),
     ]
     status, reason = F.lit(ACCEPTED), F.lit(None).cast("string")
     for test, name, text in reversed(tests):
@@ -98,6 +98,11 @@ def cascade(sites: DataFrame, p: Params = Params(), outside: Column | None = Non
     return out.withColumn("catchment_area_km2", F.when(F.col("status").isin(ACCEPTED, "rejected_catchment"), half_up(area, 4)).otherwise(F.lit(0.0)))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x as text, rounded half up once, so that engines agree."""
+    return F.format_string(f"%.{digits}f", half_up(x, digits))
+
+
 FACTORS = {"catchment": ("catchment_area_km2", False), "flow": ("acc", False), "slope": ("slope_deg", True), "relief": ("elevation_m", True), "depression": ("depression_delta_m", False)}
 
 
@@ -125,13 +130,13 @@ def score(sites: DataFrame, p: Params = Params()) -> DataFrame:
 def reasoning() -> Column:
     """The texts that explain a site."""
     area, acc, slope, deep = F.col("catchment_area_km2"), F.col("acc"), F.col("slope_deg"), F.col("depression_delta_m")
-    fmt = lambda a, f, c, b: F.concat(F.lit(a), F.format_string(f, c), F.lit(b))
+    fmt = lambda a, c, b: F.concat(F.lit(a), fixed(c, 1), F.lit(b))
     return F.array_compact(F.array(
-        F.concat(F.when(area >= 1.0, "Large").when(area >= 0.5, "Moderate").otherwise("Small"), F.format_string(" contributing catchment (%.2f km²)", area)),
+        F.concat(F.when(area >= 1.0, "Large").when(area >= 0.5, "Moderate").otherwise("Small"), F.lit(" contributing catchment ("), fixed(area, 2), F.lit(" km²)")),
         F.when(acc > 1000, "Strong drainage convergence point").when(acc > 200, "Moderate drainage convergence"),
-        F.when(slope < 5, fmt("Very gentle slope (", "%.1f", slope, "°) — well suited for pond construction")).when(slope < 10, fmt("Gentle slope (", "%.1f", slope, "°) — suitable for construction")).otherwise(fmt("Moderate slope (", "%.1f", slope, "°) — construction feasible but requires assessment")),
-        F.when(deep > 0.5, fmt("Terrain naturally forms a depression (depth ≈ ", "%.1f", deep, " m)")),
-        fmt("Elevation: ", "%.1f", F.col("elevation_m"), " m above mean sea level"),
+        F.when(slope < 5, fmt("Very gentle slope (", slope, "°) — well suited for pond construction")).when(slope < 10, fmt("Gentle slope (", slope, "°) — suitable for construction")).otherwise(fmt("Moderate slope (", slope, "°) — construction feasible but requires assessment")),
+        F.when(deep > 0.5, fmt("Terrain naturally forms a depression (depth ≈ ", deep, " m)")),
+        fmt("Elevation: ", F.col("elevation_m"), " m above mean sea level"),
         F.concat(F.lit("Candidate seed type: "), F.regexp_replace("seed_type", "_", " ")),
     ))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from catchwater.plans import hydro_queries, site_queries, source_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = hydro_queries.QUERIES | source_queries.QUERIES | site_queries.QUERIES
+ORACLE_SQL = hydro_queries.ORACLE_SQL | source_queries.ORACLE_SQL | site_queries.ORACLE_SQL
