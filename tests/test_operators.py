@@ -189,3 +189,20 @@ def test_layers(spark):
 def test_gap_fill_without_values(spark):
     c = spark.createDataFrame([(0, 0, 0, None), (1, 0, 0, 5.0), (1, 0, 40, None)], "scenario int, row int, col int, elevation_m double")
     assert {(r["scenario"], r["col"]): r["elevation_m"] for r in terrain.fill_gaps(c).collect()} == {(0, 0): None, (1, 0): 5.0, (1, 40): 5.0}
+
+
+def test_linear_surface_is_exact_on_a_plane(spark):
+    from catchwater.operators import interpolate
+
+    r = random.Random(8)
+    plane = lambda x, y: 100 + 0.3 * x - 0.2 * y
+    pts = [(0, x, y, plane(x, y)) for x, y in ((r.uniform(-50, 1050), r.uniform(-50, 1050)) for _ in range(400))] + [(0, x, y, plane(x, y)) for x in (-60.0, 1060.0) for y in (-60.0, 1060.0)]
+    samples = spark.createDataFrame(pts, "scenario int, x double, y double, elevation_m double")
+    spec = spark.createDataFrame([(0, 0.0, 1000.0, 20, 20, 50.0)], "scenario int, origin_x double, origin_y double, rows int, cols int, resolution double")
+    cells = terrain.grid_cells(spec)
+    got = interpolate.interpolate(cells, samples, tile_m=500.0, margin_m=400.0).join(cells, ["scenario", "row", "col"]).collect()
+    assert len(got) == 400 and all(abs(g["elevation_m"] - plane(g["x"], g["y"])) < 1e-6 for g in got)
+    few = interpolate.interpolate(cells, samples.limit(3)).where("elevation_m IS NOT NULL").count()
+    assert few == 0
+    near = interpolate.interpolate(cells, samples, "nearest").collect()
+    assert min(p[3] for p in pts) <= min(g["elevation_m"] for g in near) and max(g["elevation_m"] for g in near) <= max(p[3] for p in pts)
