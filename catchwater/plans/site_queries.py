@@ -223,7 +223,33 @@ q AS (SELECT *, CASE WHEN catchment_area_km2 > 0 THEN {half('0.35::DOUBLE * (mm
 SELECT 0 AS scenario, candidate_id, row, col, status, score, rank, catchment_area_km2, m3 AS annual_runoff_m3, CASE WHEN m3 IS NOT NULL THEN depth END AS recommended_depth_m, {half('m3 * 0.8::DOUBLE', 2)} AS estimated_storage_m3, {half('m3 * 0.8::DOUBLE / depth', 2)} AS estimated_surface_area_m2 FROM q""")
 def site_report(spark, d):
     """The flagship: ranked sites with runoff and pond size, rain from the records of one site."""
+    out = reported(spark, d)
+    return out.select("scenario", "candidate_id", "row", "col", "status", "score", "rank", "catchment_area_km2", "annual_runoff_m3", "recommended_depth_m", "estimated_storage_m3", "estimated_surface_area_m2")
+
+
+def reported(spark, d) -> DataFrame:
     found = sites.cap(sites.score(filtered(spark, d)))
     rain = hydrology.climatology(daily(spark, d).where("site = 1")).select("annual_avg_mm")
-    out = hydrology.pond(hydrology.runoff(found.join(F.broadcast(rain))))
-    return out.select("scenario", "candidate_id", "row", "col", "status", "score", "rank", "catchment_area_km2", "annual_runoff_m3", "recommended_depth_m", "estimated_storage_m3", "estimated_surface_area_m2")
+    return hydrology.pond(hydrology.runoff(found.join(F.broadcast(rain))))
+
+
+@query(f"""WITH RECURSIVE {SCORE} SELECT 0 AS scenario, CASE WHEN count(*) FILTER (status = 'accepted') > 0 THEN 'success' ELSE 'partial' END AS status, max(CASE WHEN rank = 1 AND status = 'accepted' THEN candidate_id END) AS recommended, count(*) AS candidates FROM final""")
+def result_envelope(spark, d):
+    """The result record, and of it the status, the best site and the number of sites."""
+    e = layers.envelope(sites.cap(sites.score(filtered(spark, d))))
+    return e.select("scenario", "status", F.get_json_object("result", "$.recommended").alias("recommended"), F.get_json_object("result", "$.candidates").cast("long").alias("candidates"))
+
+
+@query(f"""WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, 'Point' AS kind, status, rank FROM final""")
+def candidate_layer(spark, d):
+    """The GeoJSON layer of all sites, taken apart again."""
+    fc = layers.collection(layers.candidate_features(reported(spark, d)), order=["seq"])
+    f = fc.select("scenario", F.explode(F.from_json(F.get_json_object("geojson", "$.features"), "array<struct<geometry:struct<type:string>,properties:struct<id:string,status:string,rank:int>>>")).alias("f"))
+    return f.select("scenario", F.col("f.properties.id").alias("candidate_id"), F.col("f.geometry.type").alias("kind"), F.col("f.properties.status").alias("status"), F.col("f.properties.rank").alias("rank"))
+
+
+@query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')} SELECT 0 AS scenario, (row::BIGINT << 32) + col AS pour FROM f WHERE (row * 150 + col) % 37 = 0")
+def catchment_polygons(spark, d):
+    """Rings of each catchment's largest part; the SQL knows their pour points."""
+    f = directed(spark, d)
+    return flow.boundary(written(flow.catchments(f, f.where(POURS)), "members")).where("size(rings) > 0").select("scenario", "pour")

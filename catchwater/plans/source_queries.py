@@ -191,3 +191,52 @@ def geojson_points(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 360 > 180")
     f = layers.feature(layers.point(F.expr("c_custkey % 360 - 180 + double(0.5)"), F.expr("c_custkey % 90 + double(0.5)")), F.struct(F.col("c_custkey").alias("id")))
     return layers.collection(c.select(F.col("c_nationkey").alias("scenario"), "c_custkey", f.alias("feature")), order=["c_custkey"])
+
+
+BOX = "c_custkey, (c_custkey % 300) / 10.0::DOUBLE AS lon, (c_custkey % 130) / 2.0::DOUBLE - 30 AS lat, (c_custkey % 17) / 200.0::DOUBLE AS side"
+_HAV = lambda a, b, c, e: f"2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2)))"
+
+
+@query(f"WITH b AS (SELECT {BOX} FROM customer), a AS (SELECT c_custkey, {_HAV('(lat + lat + side) / 2', 'lon', '(lat + lat + side) / 2', 'lon + side')} * {_HAV('lat', '(lon + lon + side) / 2', 'lat + side', '(lon + lon + side) / 2')} / 1e6 AS km2 FROM b) SELECT c_custkey, round(km2, 6) AS km2, km2 > 25 AS oversize FROM a")
+def area_guard(spark, d):
+    """Areas whose bounding box is too large to be analysed."""
+    b = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "(c_custkey % 300) / double(10) AS lon", "(c_custkey % 130) / double(2) - 30 AS lat", "(c_custkey % 17) / double(200) AS side")
+    km2 = geo.bbox_area_km2(F.col("lon"), F.col("lat"), F.col("lon") + F.col("side"), F.col("lat") + F.col("side"))
+    return b.select("c_custkey", F.round(km2, 6).alias("km2"), (km2 > 25).alias("oversize"))
+
+
+@query("SELECT c_nationkey AS scenario, count(*) FILTER (c_custkey % (c_nationkey % 4 + 1) = 0) AS missing, count(*) AS points, count(*) FILTER (c_custkey % (c_nationkey % 4 + 1) = 0) <= 0.5::DOUBLE * count(*) AS usable FROM customer GROUP BY 1")
+def missing_guard(spark, d):
+    """Areas with more than half their elevations missing are not usable."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return providers.missing_share(c.select(F.col("c_nationkey").alias("scenario"), F.expr("CASE WHEN c_custkey % (c_nationkey % 4 + 1) <> 0 THEN c_acctbal END").alias("elevation")))
+
+
+@query("SELECT p_partkey AS point_id FROM part WHERE p_partkey % 3 <> 0")
+def cache_misses(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("point_id"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END").alias("elevation"))
+    return providers.uncached(p.select("point_id"), p)
+
+
+@query("SELECT c_custkey AS point_id, round_even(c_acctbal / 7, 4) AS lat_key FROM customer")
+def rounding_key(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point_id"), providers.round_key(F.col("c_acctbal") / 7).alias("lat_key"))
+
+
+@query("""WITH t AS (SELECT 'N' || lpad(p_size::VARCHAR, 2, '0') || '_00_E' || lpad((p_partkey % 3 + 10)::VARCHAR, 3, '0') || '_00' AS tile, p_size, p_partkey % 3 + 10 AS e, min(p_retailprice) AS value FROM part GROUP BY 1, 2, 3),
+p AS (SELECT c_custkey AS point_id, c_custkey % 60 + (c_custkey % 10) / 10.0::DOUBLE + 0.05::DOUBLE AS lat, 10 + c_custkey % 4 + 0.25::DOUBLE AS lon FROM customer)
+SELECT point_id, value AS elevation FROM p LEFT JOIN t ON floor(lat) = p_size AND floor(lon) = e AND floor((ceil(lat) - lat) * 2) = 0""")
+def tile_sample(spark, d):
+    """Rasters of two cells to a degree, of which only the north-western one holds a value."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    cells = part.groupBy(F.expr("concat('N', lpad(p_size, 2, '0'), '_00_E', lpad(p_partkey % 3 + 10, 3, '0'), '_00')").alias("tile")).agg(F.min("p_retailprice").alias("value")).select("*", F.lit(0).alias("row"), F.lit(0).alias("col"))
+    pts = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point_id"), F.expr("c_custkey % 60 + (c_custkey % 10) / double(10) + double(0.05)").alias("lat"), F.expr("10 + c_custkey % 4 + double(0.25)").alias("lon"))
+    return providers.tile_sample(pts, cells, 2).select("point_id", "elevation")
+
+
+@query("""SELECT e.event_id, CASE event_type WHEN 'x' THEN 'X' ELSE upper(event_type[1]) || lower(event_type[2:]) END AS label, coalesce(printf('%.1f', floor(CASE WHEN event_id % 3 <> 0 THEN event_id / 4.0::DOUBLE END * 10 + 0.5) / 10), '—') AS shown FROM events e""")
+def labels(spark, d):
+    """Status labels and numbers with a dash for nulls."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    v = F.expr("floor(CASE WHEN event_id % 3 <> 0 THEN event_id / double(4) END * 10 + 0.5D) / 10")
+    return e.select("event_id", layers.title(F.concat(F.lit("rejected_"), "event_type")).alias("label"), layers.or_dash(v, 1).alias("shown"))
