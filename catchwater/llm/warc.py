@@ -280,7 +280,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "gzip") -> DataFrame:
     """Writes a record for each page and reads the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
     Length and digest of a response are those of the block that was read, of a revisit those of its header. Repeated
@@ -288,7 +288,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write(records(pages, id_col, url_col, html_col), path)
+    write(records(pages, id_col, url_col, html_col), path, compression)
     back = read(spark, path)
     stored = F.col("record_type") == "response"
     return back.select(
