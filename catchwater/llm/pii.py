@@ -29,7 +29,7 @@ CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-SAMPLE = 2000  # documents with a candidate token from which unary weights are fitted, those of the smallest hashes
+SAMPLE = 2000  # documents with a candidate token, or about so many, from which unary weights are fitted; never over twice as many
 CHAIN, SKIP, ROUNDS, SURE = 0.3, 2.5, 8, 0.9  # log potentials of equal labels, rounds of message passing, belief from which a span is added
 BUCKETS = 256  # hashed features
 LONGEST = 64  # characters from which a token's features and similarity key come
@@ -192,8 +192,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Fits on the `sample` documents of the smallest id hashes among those that hold a digit or an at-sign; texts over 100,000 characters are not used for it."""
-    rows = df.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 100_000)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).orderBy("h", "text").limit(sample).collect()
+    """Fits on about `sample` documents, drawn by a hash of the id among those that hold a digit or an at-sign; texts over 100,000 characters are not used for it.
+
+    A count comes first, so that each task sends only what it draws.
+    """
+    usable = df.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 100_000)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    share = min(1.0, sample / max(1, usable.count()))
+    rows = usable.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "text").limit(2 * sample).collect()
     return fit([r["text"] for r in rows])
 
 
