@@ -24,6 +24,7 @@ WIDTH, FRAME = 24, 576  # samples of a row and of a frame
 LEAST, MOST = 2048, 32768  # bytes of a chunk
 MASK = np.uint32(0xFFF00000)  # 12 bits: a cut every 4096 bytes or so past the least
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, 256, dtype=np.uint32)
+LEVEL = 12  # of zstandard, for stored chunks
 SENT = 8 << 20  # bytes of borrow lists up to which they are sent to all tasks; beyond, they are joined by a shuffle
 
 
@@ -90,7 +91,7 @@ def manifests(base: DataFrame) -> DataFrame:
         data = medium_of(payload_of(text))
         return i, key, len((text or "").encode("utf-8", "surrogatepass")), hashlib.sha256(data).digest(), [name_of(c) for c in chunks(data)]
 
-    return map_rows(base, per_row(lambda: row), "id long, key string, n_bytes long, medium binary, list array<binary>")
+    return map_rows(base, per_row(lambda: row), "id long, key binary, n_bytes long, medium binary, list array<binary>")
 
 
 def store(base: DataFrame, odd: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def store(base: DataFrame, odd: DataFrame) -> DataFrame:
     kept = joined.where(F.coalesce("keep", F.lit(True))).select("text", F.coalesce("lent", F.array().cast("array<int>")).alias("lent"))
 
     def each():
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
 
         def row(text, lent):
             data = medium_of(payload_of(text))
@@ -137,7 +138,8 @@ def read_back(stored: DataFrame) -> DataFrame:
     whole = stored.where("NOT borrows").select("medium", "list", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("got"))
     lent = stored.where("borrows")
     places = lent.select("medium", F.col("own.seq").alias("has"), F.posexplode("list").alias("seq", "name")).where(~F.array_contains("has", F.col("seq"))).select("medium", "seq", "name")
-    asked = places.select("name").distinct()
+    asked = written(places.select("name").distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() * 64 <= SENT else asked.hint("merge")
     lenders = stored.select(F.explode("own").alias("o"), "list").select(F.element_at("list", F.col("o.seq") + 1).alias("name"), F.col("o.data").alias("data")).join(asked, "name", "left_semi")
     fetched = places.join(lenders, "name").groupBy("medium").agg(F.collect_list(F.struct("seq", "data")).alias("got"))
     return map_rows(whole.unionByName(lent.join(fetched, "medium").select("medium", "list", "own", "got")), per_row(each), schema)
@@ -151,14 +153,14 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     small_batches(df.sparkSession, 500)
     none = F.lit(-(1 << 63))
-    base = df.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.col(text_col).alias("text"))
+    base = df.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"), F.col(text_col).alias("text"))
     listed = written(manifests(base), "manifests")
-    keeper = listed.groupBy("medium").agg(F.min("id").alias("keeper"), F.first("key").alias("key"), F.first("list").alias("list"))
-    placed = written(keeper.select("keeper", "key", "medium", F.posexplode("list").alias("seq", "name")), "places")
+    keeper = listed.groupBy("medium").agg(F.min("id").alias("keeper"), F.first("key").alias("key"), F.first("list").alias("list"), F.count("*").alias("n"))
+    kept = keeper.select(F.col("keeper").alias("id"), "key", "medium")
+    placed = written(keeper.select("medium", F.posexplode("list").alias("seq", "name")), "places")
     owner = placed.groupBy("name").agg(F.min(F.struct("medium", "seq")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    lent = placed.join(owner, "name").where("o.medium != medium OR o.seq != seq").groupBy(F.col("keeper").alias("id"), "key").agg(F.collect_list("seq").alias("lent")).withColumn("keep", F.lit(True))
-    firsts = placed.where("seq = 0").select("medium", "keeper")
-    copies = listed.select("id", "key", "medium").join(firsts, "medium").where("id != keeper").select("id", "key").distinct()
+    lent = placed.join(owner, "name").where("o.medium != medium OR o.seq != seq").groupBy("medium").agg(F.collect_list("seq").alias("lent")).withColumn("keep", F.lit(True)).join(kept, "medium")
+    copies = listed.select("id", "key", "medium").join(keeper.where("n > 1").select("medium", "keeper"), "medium").where("id != keeper").select("id", "key").distinct()
     odd = written(lent.select("id", "key", "keep", "lent").union(copies.select("id", "key", F.lit(False), F.array().cast("array<int>"))), "odd")
     stored = written(store(base, odd), "chunks")
     back = read_back(stored).dropDuplicates(["medium"])
