@@ -55,4 +55,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_warc": op6_warc, "op7_media": op7_media, "op8_chat": op8_chat, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.ROUND_TRIP_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_near_dedup": neardup.FIND_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL}
