@@ -94,3 +94,12 @@ def path_distance(x: Column, y: Column, path: Column) -> Column:
     n = F.size(path)
     pairs = F.zip_with(F.slice(path, 1, n - 1), F.slice(path, 2, n - 1), lambda a, b: segment_distance(x, y, a["x"], a["y"], b["x"], b["y"]))
     return F.array_min(pairs)
+
+
+def simple_ring(ring: Column) -> Column:
+    """No two sides of a ring cross; sides that only share a corner do not count. The first and last vertex may be the same."""
+    cross = lambda o, a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+    sides = F.filter(_edges(ring), lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
+    opposite = lambda u, v: (F.signum(u) * F.signum(v)) < 0
+    hit = lambda s, t: opposite(cross(s["a"], s["b"], t["a"]), cross(s["a"], s["b"], t["b"])) & opposite(cross(t["a"], t["b"], s["a"]), cross(t["a"], t["b"], s["b"]))
+    return ~F.exists(sides, lambda s: F.exists(sides, lambda t: hit(s, t)))

@@ -253,3 +253,18 @@ def catchment_polygons(spark, d):
     """Rings of each catchment's largest part; the SQL knows their pour points."""
     f = directed(spark, d)
     return flow.boundary(written(flow.catchments(f, f.where(POURS)), "members")).where("size(rings) > 0").select("scenario", "pour")
+
+
+@query(f"""WITH RECURSIVE {NMS}, cand AS (SELECT *, 'C' || seq AS candidate_id, (acc + 1) * 900.0::DOUBLE / 1e6::DOUBLE AS area FROM thin WHERE seq <= 15)
+SELECT 0 AS scenario, candidate_id, CASE WHEN slope_deg > 15 THEN 'rejected_slope' WHEN col >= 75 THEN 'rejected_outside_selection' WHEN row % 3 = 0 THEN 'rejected_constraint' WHEN area < 0.005::DOUBLE THEN 'rejected_catchment' ELSE 'accepted' END AS status FROM cand""")
+def selection_cascade(spark, d):
+    """The cascade with a selection (the western half) and a land-use mask (each third row)."""
+    s = sites.evaluated(sites.thin(all_seeds(spark, d)))
+    return sites.cascade(s, outside=F.col("col") >= 75, excluded=F.col("row") % 3 == 0).select("scenario", "candidate_id", "status")
+
+
+@query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, round(coalesce((SELECT latitude FROM final WHERE rank = 1 AND status = 'accepted'), 21.0), 6) AS latitude, round(coalesce((SELECT longitude FROM final WHERE rank = 1 AND status = 'accepted'), 81.0), 6) AS longitude")
+def reference_point(spark, d):
+    box = spark.range(1).select(F.lit(0).alias("scenario"), F.lit(21.0).alias("center_lat"), F.lit(81.0).alias("center_lon"))
+    r = layers.reference_point(sites.cap(sites.score(filtered(spark, d))), box)
+    return r.select("scenario", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))

@@ -240,3 +240,32 @@ def labels(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     v = F.expr("floor(CASE WHEN event_id % 3 <> 0 THEN event_id / double(4) END * 10 + 0.5D) / 10")
     return e.select("event_id", layers.title(F.concat(F.lit("rejected_"), "event_type")).alias("label"), layers.or_dash(v, 1).alias("shown"))
+
+
+@query("""WITH r AS (SELECT c_custkey, (c_custkey % 220) - 110.0::DOUBLE AS lat, c_custkey % 170 + 0.0::DOUBLE AS lon, CASE WHEN c_custkey % 3 > 0 THEN 2010 + c_custkey % 20 END AS s, CASE WHEN c_custkey % 5 > 0 THEN 2024 END AS e FROM customer),
+k AS (SELECT *, coalesce(s, 2015) AS y0, coalesce(e, 2025) AS y1 FROM r) SELECT c_custkey, CASE WHEN lat BETWEEN -90 AND 90 AND y1 >= y0 THEN 'success' ELSE 'unavailable' END AS status, CASE WHEN lat BETWEEN -90 AND 90 AND y1 >= y0 THEN strftime(make_date(y0::INT, 1, 1), '%Y-%m-%d') END AS first_day, CASE WHEN lat BETWEEN -90 AND 90 AND y1 >= y0 THEN strftime(make_date(y1::INT, 12, 31), '%Y-%m-%d') END AS last_day FROM k""")
+def rain_request(spark, d):
+    r = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "double(c_custkey % 220) - 110 AS lat", "double(c_custkey % 170) AS lon", "CASE WHEN c_custkey % 3 > 0 THEN int(2010 + c_custkey % 20) END AS start_year", "CASE WHEN c_custkey % 5 > 0 THEN 2024 END AS end_year")
+    return providers.rain_request(r, last_year=2025).select("c_custkey", "status", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS simple FROM events")
+def ring_validity(spark, d):
+    """Squares, every other one with its last two corners swapped."""
+    v = lambda x, y: F.struct((F.col("event_id") + x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    square, bow = F.array(v(0, 0), v(4, 0), v(4, 4), v(0, 4)), F.array(v(0, 0), v(4, 0), v(0, 4), v(4, 4))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", geo.simple_ring(F.when(F.col("event_id") % 2 == 0, square).otherwise(bow)).alias("simple"))
+
+
+@query("""WITH f AS (SELECT vec_id, 81.28::DOUBLE + 0.01::DOUBLE * embedding[2*i+1]::DOUBLE AS lon, 21.26::DOUBLE + 0.01::DOUBLE * embedding[2*i+2]::DOUBLE AS lat FROM embeddings, (SELECT unnest(range(0, 32)) AS i))
+SELECT vec_id AS id FROM f GROUP BY 1 HAVING max(lon) >= 81.2825::DOUBLE AND min(lon) <= 81.283::DOUBLE AND max(lat) >= 21.2632::DOUBLE AND min(lat) <= 21.264::DOUBLE""")
+def ways_in_box(spark, d):
+    f = lines(spark, d).select(F.col("seq").alias("id"), F.col("coordinates").alias("ring"))
+    return providers.ways_in_box(f, 81.2825, 21.2632, 81.283, 21.264).select("id")
+
+
+@query("SELECT event_id AS upload, CASE WHEN event_id % 7 = 0 THEN 'empty' WHEN user_id % 4 = 3 THEN 'extension' WHEN value > 90 THEN 'too large' ELSE 'ok' END AS verdict FROM events")
+def upload_validation(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    path = F.element_at(F.array(*[F.lit(x) for x in ("a.kml", "b.KMZ", "c.Kml", "d.txt")]), (F.col("user_id") % 4 + 1).cast("int"))
+    return e.select(F.col("event_id").alias("upload"), contours.verdict(path, F.when(F.col("event_id") % 7 == 0, 0).when(F.col("value") > 90, contours.MAX_BYTES + 1).otherwise(100)).alias("verdict"))

@@ -206,3 +206,21 @@ def test_linear_surface_is_exact_on_a_plane(spark):
     assert few == 0
     near = interpolate.interpolate(cells, samples, "nearest").collect()
     assert min(p[3] for p in pts) <= min(g["elevation_m"] for g in near) and max(g["elevation_m"] for g in near) <= max(p[3] for p in pts)
+
+
+def test_store(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    one = lambda k, s: spark.createDataFrame([(k, s)], "scenario int, status string")
+    layers.save(one(1, "partial"), path)
+    layers.save(one(2, "success"), path)
+    layers.save(one(1, "success"), path)
+    assert layers.stored_ids(spark, path) == [1, 2]
+    assert {r["status"] for r in layers.stored(spark, path).collect()} == {"success"}
+    layers.forget(spark, path, 1)
+    layers.forget(spark, path, 9)
+    assert layers.stored_ids(spark, path) == [2]
+
+
+def test_assumptions_and_warnings(spark):
+    r = spark.range(1).select(layers.assumptions(Params()).alias("a"), layers.warnings(F.lit("x"), F.lit(None).cast("string")).alias("w")).first()
+    assert r["a"]["score_weights"]["catchment"] == 0.35 and r["w"] == ["x"]
