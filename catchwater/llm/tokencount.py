@@ -140,7 +140,7 @@ class Transducer:
         symbols = [*data[:-1], data[-1] + FINAL]
         if len(symbols) <= 2 * CHUNK:
             return self.run(self.START, symbols)[1]
-        return scan(self, [symbols[k : k + CHUNK] for k in range(0, len(symbols), CHUNK)])
+        return scan(self, [symbols[k : k + CHUNK] for k in range(0, len(symbols), CHUNK)])[-1](self.START)[1]
 
 
 class ChunkMap:
@@ -161,12 +161,13 @@ class ChunkMap:
         return out
 
 
-def scan(machine: Transducer, chunks: list[list[int]]) -> int:
-    """Tokens of all chunks: maps are composed pairwise, level by level, and the whole is applied to the start."""
-    maps = [ChunkMap(machine, c) for c in chunks]
-    while len(maps) > 1:
-        maps = [ChunkMap(machine, first=a, then=b) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1 :]
-    return maps[0](Transducer.START)[1]
+def scan(machine: Transducer, chunks: list[list[int]]) -> list[ChunkMap]:
+    """The maps of all prefixes of the chunks. Each level doubles the reach of a map, so a prefix is composed in a logarithmic number of levels."""
+    maps, reach = [ChunkMap(machine, c) for c in chunks], 1
+    while reach < len(maps):
+        maps = [ChunkMap(machine, first=maps[k - reach], then=m) if k >= reach else m for k, m in enumerate(maps)]
+        reach *= 2
+    return maps
 
 
 class Counter:
