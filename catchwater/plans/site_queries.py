@@ -13,6 +13,7 @@ from catchwater.params import Params
 from catchwater.plans.hydro_queries import daily
 from catchwater.scratch import written
 
+# Ranks that can be null are given as doubles, which both engines return alike.
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 P = Params()
@@ -109,9 +110,9 @@ def catchment_area(spark, d):
     return flow.accumulation(directed(spark, d)).select("scenario", "row", "col", F.round((F.col("acc") + 1) * 900 / 1e6, 6).alias("area_km2"))
 
 
-# Pour points: each 37th cell.
-POURS = "(row * 150 + col) % 37 = 0"
-MEMBERS = "m AS (SELECT (r::BIGINT << 32) + c AS pour, row, col FROM a_w WHERE (r * 150 + c) % 37 = 0 UNION ALL SELECT (row::BIGINT << 32) + col, row, col FROM f WHERE (row * 150 + col) % 37 = 0)"
+# Pour points: all cells that flow nowhere, so that each cell is in one catchment.
+POURS = "direction = -1"
+MEMBERS = "o AS (SELECT row AS r, col AS c FROM f WHERE direction = -1), m AS (SELECT (r::BIGINT << 32) + c AS pour, row, col FROM a_w JOIN o USING (r, c) UNION ALL SELECT (r::BIGINT << 32) + c, r, c FROM o)"
 
 
 @query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')}, {MEMBERS} SELECT 0 AS scenario, pour, row, col FROM m")
@@ -133,11 +134,11 @@ def grid(spark, d) -> DataFrame:
     c = flow.accumulation(flow.direction(c, "filled"))
     c = c.withColumn("elevation_m", F.col("z") / UNIT).withColumn("filled_m", F.col("filled") / UNIT)
     c = terrain.local_minimum(terrain.slope(c, "filled_m"), "elevation_m")
-    return c.select("scenario", "row", "col", "elevation_m", "filled_m", "slope_deg", "low", "acc", (21.3 - F.col("row") * 0.00027).alias("latitude"), (81.2 + F.col("col") * 0.00029).alias("longitude"))
+    return written(c.select("scenario", "row", "col", "elevation_m", "filled_m", "slope_deg", "low", "acc", (21.3 - F.col("row") * 0.00027).alias("latitude"), (81.2 + F.col("col") * 0.00029).alias("longitude")), "grid")
 
 
 def all_seeds(spark, d) -> DataFrame:
-    g = written(grid(spark, d), "grid")
+    g = grid(spark, d)
     return sites.merge_seeds(sites.depression_seeds(g), sites.convergence_seeds(g))
 
 
@@ -174,7 +175,7 @@ def depression_seeds(spark, d):
 
 @query(f"WITH RECURSIVE {SEEDS} SELECT 0 AS scenario, row, col, acc FROM cv")
 def convergence_seeds(spark, d):
-    return sites.convergence_seeds(written(grid(spark, d), "grid")).select("scenario", "row", "col", "acc")
+    return sites.convergence_seeds(grid(spark, d)).select("scenario", "row", "col", "acc")
 
 
 @query(f"WITH RECURSIVE {SEEDS} SELECT 0 AS scenario, row, col, seed_type, acc FROM seeds")
@@ -196,14 +197,14 @@ def filter_cascade(spark, d):
     return filtered(spark, d).select("scenario", "candidate_id", "status", "rejection_reason", "catchment_area_km2")
 
 
-@query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, {half('c1', 1)} AS catchment_score, {half('c2', 1)} AS flow_score, {half('c3', 1)} AS slope_score, {half('c4', 1)} AS relief_score, {half('c5', 1)} AS depression_score, score, rank FROM final")
+@query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, {half('c1', 1)} AS catchment_score, {half('c2', 1)} AS flow_score, {half('c3', 1)} AS slope_score, {half('c4', 1)} AS relief_score, {half('c5', 1)} AS depression_score, score, rank::DOUBLE AS rank FROM final")
 def score_rank(spark, d):
-    return sites.score(filtered(spark, d)).select("scenario", "candidate_id", "catchment_score", "flow_score", "slope_score", "relief_score", "depression_score", "score", "rank")
+    return sites.score(filtered(spark, d)).select("scenario", "candidate_id", "catchment_score", "flow_score", "slope_score", "relief_score", "depression_score", "score", F.col("rank").cast("double").alias("rank"))
 
 
-@query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, status, rejection_reason, score, rank FROM final")
+@query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, status, rejection_reason, score, rank::DOUBLE AS rank FROM final")
 def cap_candidates(spark, d):
-    return sites.cap(sites.score(filtered(spark, d))).select("scenario", "candidate_id", "status", "rejection_reason", "score", "rank")
+    return sites.cap(sites.score(filtered(spark, d))).select("scenario", "candidate_id", "status", "rejection_reason", "score", F.col("rank").cast("double").alias("rank"))
 
 
 @query(f"WITH RECURSIVE {SCORE} SELECT 0 AS scenario, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status <> 'accepted') AS rejected, count(*) AS candidates FROM final")
@@ -218,18 +219,18 @@ def reasoning(spark, d):
     return filtered(spark, d).select("candidate_id", F.array_join(sites.reasoning(), "; ").alias("reasoning"))
 
 
-@query(f"""WITH RECURSIVE {SCORE}, r AS (SELECT floor(CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(DISTINCT year(CAST(l_shipdate AS DATE))) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mm FROM lineitem WHERE l_suppkey = 1),
+@query(f"""WITH RECURSIVE {SCORE}, g AS (SELECT floor(CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) / count(DISTINCT year(CAST(l_shipdate AS DATE))) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mm FROM lineitem GROUP BY l_suppkey), r AS (SELECT CAST(sum(CAST(mm AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mm FROM g),
 q AS (SELECT *, CASE WHEN catchment_area_km2 > 0 THEN {half('0.35::DOUBLE * (mm / 1000) * (catchment_area_km2 * 1000000)', 2)} END AS m3, CASE WHEN slope_deg > 5 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS depth FROM final, r)
-SELECT 0 AS scenario, candidate_id, row, col, status, score, rank, catchment_area_km2, m3 AS annual_runoff_m3, CASE WHEN m3 IS NOT NULL THEN depth END AS recommended_depth_m, {half('m3 * 0.8::DOUBLE', 2)} AS estimated_storage_m3, {half('m3 * 0.8::DOUBLE / depth', 2)} AS estimated_surface_area_m2 FROM q""")
+SELECT 0 AS scenario, candidate_id, row, col, status, score, rank::DOUBLE AS rank, catchment_area_km2, m3 AS annual_runoff_m3, CASE WHEN m3 IS NOT NULL THEN depth END AS recommended_depth_m, {half('m3 * 0.8::DOUBLE', 2)} AS estimated_storage_m3, {half('m3 * 0.8::DOUBLE / depth', 2)} AS estimated_surface_area_m2 FROM q""")
 def site_report(spark, d):
-    """The flagship: ranked sites with runoff and pond size, rain from the records of one site."""
+    """The flagship: ranked sites with runoff and pond size, rain the mean of all gauges."""
     out = reported(spark, d)
-    return out.select("scenario", "candidate_id", "row", "col", "status", "score", "rank", "catchment_area_km2", "annual_runoff_m3", "recommended_depth_m", "estimated_storage_m3", "estimated_surface_area_m2")
+    return out.select("scenario", "candidate_id", "row", "col", "status", "score", F.col("rank").cast("double").alias("rank"), "catchment_area_km2", "annual_runoff_m3", "recommended_depth_m", "estimated_storage_m3", "estimated_surface_area_m2")
 
 
 def reported(spark, d) -> DataFrame:
     found = sites.cap(sites.score(filtered(spark, d)))
-    rain = hydrology.climatology(daily(spark, d).where("site = 1")).select("annual_avg_mm")
+    rain = hydrology.climatology(daily(spark, d)).agg((F.sum(F.col("annual_avg_mm").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("annual_avg_mm"))
     return hydrology.pond(hydrology.runoff(found.join(F.broadcast(rain))))
 
 
@@ -240,15 +241,15 @@ def result_envelope(spark, d):
     return e.select("scenario", "status", F.get_json_object("result", "$.recommended").alias("recommended"), F.get_json_object("result", "$.candidates").cast("long").alias("candidates"))
 
 
-@query(f"""WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, 'Point' AS kind, status, rank FROM final""")
+@query(f"""WITH RECURSIVE {SCORE} SELECT 0 AS scenario, candidate_id, 'Point' AS kind, status, rank::DOUBLE AS rank FROM final""")
 def candidate_layer(spark, d):
     """The GeoJSON layer of all sites, taken apart again."""
     fc = layers.collection(layers.candidate_features(reported(spark, d)), order=["seq"])
     f = fc.select("scenario", F.explode(F.from_json(F.get_json_object("geojson", "$.features"), "array<struct<geometry:struct<type:string>,properties:struct<id:string,status:string,rank:int>>>")).alias("f"))
-    return f.select("scenario", F.col("f.properties.id").alias("candidate_id"), F.col("f.geometry.type").alias("kind"), F.col("f.properties.status").alias("status"), F.col("f.properties.rank").alias("rank"))
+    return f.select("scenario", F.col("f.properties.id").alias("candidate_id"), F.col("f.geometry.type").alias("kind"), F.col("f.properties.status").alias("status"), F.col("f.properties.rank").cast("double").alias("rank"))
 
 
-@query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')} SELECT 0 AS scenario, (row::BIGINT << 32) + col AS pour FROM f WHERE (row * 150 + col) % 37 = 0")
+@query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')} SELECT 0 AS scenario, (row::BIGINT << 32) + col AS pour FROM f WHERE direction = -1")
 def catchment_polygons(spark, d):
     """Rings of each catchment's largest part; the SQL knows their pour points."""
     f = directed(spark, d)

@@ -126,10 +126,10 @@ def grid_cells(spark, d):
 TIER = "CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END", "CASE WHEN p_partkey % 5 < 2 THEN p_retailprice + 1 END", "CASE WHEN p_partkey % 7 < 5 THEN p_retailprice + 2 END"
 
 
-@query(f"SELECT p_partkey AS point_id, coalesce({', '.join(TIER)}) AS elevation, CASE WHEN {TIER[0]} IS NOT NULL THEN 1 WHEN {TIER[1]} IS NOT NULL THEN 2 WHEN {TIER[2]} IS NOT NULL THEN 3 END::INT AS tier FROM part")
+@query(f"SELECT p_partkey AS point_id, coalesce({', '.join(TIER)}) AS elevation, CASE WHEN {TIER[0]} IS NOT NULL THEN 1 WHEN {TIER[1]} IS NOT NULL THEN 2 WHEN {TIER[2]} IS NOT NULL THEN 3 END::DOUBLE AS tier FROM part")
 def elevation_fallback(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    return providers.fallback(part.select(F.col("p_partkey").alias("point_id")), [part.select(F.col("p_partkey").alias("point_id"), F.expr(t).alias("elevation")) for t in TIER])
+    return providers.fallback(part.select(F.col("p_partkey").alias("point_id")), [part.select(F.col("p_partkey").alias("point_id"), F.expr(t).alias("elevation")) for t in TIER]).withColumn("tier", F.col("tier").cast("double"))
 
 
 @query("SELECT c_custkey AS point_id, CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END || lpad(abs(floor(lat))::INT::VARCHAR, 2, '0') || '_00_' || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END || lpad(abs(floor(lon))::INT::VARCHAR, 3, '0') || '_00' AS tile FROM (SELECT c_custkey, " + f"{LON} AS lon, {LAT} AS lat FROM customer)")
@@ -169,12 +169,12 @@ def classify_ways(spark, d):
     return providers.classify_ways(_ways(spark, d)).select("id", "category")
 
 
-@query("""WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'road' WHEN 1 THEN 'waterway' ELSE 'power_line' END AS category, (event_id * 7919 % 60000)::DOUBLE AS fx, (event_id * 104729 % 60000)::DOUBLE AS fy FROM events WHERE event_id % 20 = 0),
+@query("""WITH f AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'road' WHEN 1 THEN 'waterway' ELSE 'power_line' END AS category, (event_id * 7919 % 60000)::DOUBLE AS fx, (event_id * 104729 % 60000)::DOUBLE AS fy FROM events),
 b AS (SELECT *, CASE category WHEN 'road' THEN 50 WHEN 'waterway' THEN 30 ELSE 75 END AS buf FROM f),
 p AS (SELECT c_custkey AS point_id, (c_custkey * 7717 % 60000)::DOUBLE AS x, (c_custkey * 3571 % 60000)::DOUBLE AS y FROM customer)
 SELECT DISTINCT 0 AS scenario, point_id FROM p JOIN b ON sqrt(pow(x - greatest(fx, least(fx + 400, x)), 2) + pow(y - fy, 2)) <= buf""")
 def exclusion_filter(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
     v = lambda dx: F.struct((F.expr("double(event_id * 7919 % 60000)") + dx).alias("x"), F.expr("double(event_id * 104729 % 60000)").alias("y"))
     f = e.select(F.lit(0).alias("scenario"), F.expr("CASE event_id % 3 WHEN 0 THEN 'road' WHEN 1 THEN 'waterway' ELSE 'power_line' END").alias("category"), F.array(v(0.0), v(400.0)).alias("path"))
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.lit(0).alias("scenario"), F.col("c_custkey").alias("point_id"), F.expr("double(c_custkey * 7717 % 60000)").alias("x"), F.expr("double(c_custkey * 3571 % 60000)").alias("y"))
@@ -186,10 +186,10 @@ def provider_json(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("""SELECT c_nationkey AS scenario, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (c_custkey % 360 - 180) || '.5,' || (c_custkey % 90) || '.5]},"properties":{"id":' || c_custkey || '}}', ',' ORDER BY c_custkey) || ']}' AS geojson FROM (SELECT * FROM customer WHERE c_custkey % 360 > 180) GROUP BY 1""")
+@query("""SELECT c_nationkey AS scenario, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (c_custkey % 180) || '.5,' || (c_custkey % 90) || '.5]},"properties":{"id":' || c_custkey || '}}', ',' ORDER BY c_custkey) || ']}' AS geojson FROM customer GROUP BY 1""")
 def geojson_points(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 360 > 180")
-    f = layers.feature(layers.point(F.expr("c_custkey % 360 - 180 + double(0.5)"), F.expr("c_custkey % 90 + double(0.5)")), F.struct(F.col("c_custkey").alias("id")))
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    f = layers.feature(layers.point(F.expr("c_custkey % 180 + double(0.5)"), F.expr("c_custkey % 90 + double(0.5)")), F.struct(F.col("c_custkey").alias("id")))
     return layers.collection(c.select(F.col("c_nationkey").alias("scenario"), "c_custkey", f.alias("feature")), order=["c_custkey"])
 
 

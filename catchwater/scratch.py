@@ -1,20 +1,33 @@
-"""Tables in the shared folder, by which iterative operators cut their lineage."""
+"""Tables in the shared folder, by which operators cut their lineage and hand on what several steps read."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet under the folder of spark.checkpoint.dir and read back. A folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. One of our own, gone at exit, only where none is set, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="catchwater-")
+        path = tempfile.mkdtemp(prefix="catchwater-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        own = f"file://{path}"
         spark.sparkContext.setCheckpointDir(own)
-    path = f"{own}/catchwater/{uuid.uuid4().hex}/{name}"
+    return own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/catchwater/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: a lost executor never costs more than one reread."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
