@@ -11,7 +11,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.operators.terrain import CELL, D8, cell_id, with_neighbours
+from catchwater.operators.terrain import D8, cell_id, with_neighbours
 from catchwater.scratch import written
 
 
