@@ -113,13 +113,13 @@ def _set_of(text: str) -> np.ndarray:
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """(id, n_shingles, set_key, registers) from (id, text); set_key: the digest of the set. Both are null where it is empty."""
+    """(id, text_key, n_shingles, set_key, registers) from (id, text_key, text); set_key: the digest of the set. The last two are null where it is empty."""
 
-    def row(i, text):
+    def row(i, key, text):
         s = shingles(text)
-        return (i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) if len(s) else (i, 0, None, None)
+        return (i, key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes()) if len(s) else (i, key, 0, None, None)
 
-    return map_rows(df, per_row(lambda: row), "id long, n_shingles long, set_key binary, registers binary", rows=1024)
+    return map_rows(df, per_row(lambda: row), "id long, text_key long, n_shingles long, set_key binary, registers binary", rows=1024)
 
 
 def bands(sk: DataFrame) -> DataFrame:
@@ -232,17 +232,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     Null and empty texts, and texts without words, have the empty set and are linked with nothing. A row with a
     null id takes part in its class but can't be its smallest id: it has the component of its class, or null,
-    and isn't kept. Rows of one id with different texts are linked through that id. Repeated rows stay repeated.
+    and isn't kept. Rows of one id with different texts are linked through that id, and have the links of each text. Repeated rows stay repeated.
     Ids are long. Other columns are not read.
     """
     spark = df.sparkSession
     small_batches(spark)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     keyed = written(sets(base), "sets")
     named = keyed.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = written(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    copies = written(named.select("id", "set_key").join(classes.where("n > 1"), "set_key").where("id != rep").select("id").distinct(), "copies")
-    sk = named.select("id", "registers").join(sent(copies, 8), "id", "left_anti")
+    copies = written(named.select("id", "set_key").join(classes.where("n > 1"), "set_key").where("id != rep").select("id", "set_key").distinct(), "copies")
+    sk = named.select("id", "set_key", "registers").join(sent(copies, 24), ["id", "set_key"], "left_anti")
     member = bands(sk)
     buckets = written(member.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"), "buckets")
     wide = written(buckets.where("n > 2").select("band", "n", F.col("a").alias("hub")), "wide")
@@ -253,13 +253,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     many = written(shared.where(F.col("n") > SMALL).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "large")
     used = written(near.union(many).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "used")
     some = sent(used, 8)
-    docs = base.where("text IS NOT NULL").join(some, "id", "left_semi").dropDuplicates(["id"])
-    docs = written(docs.join(named.select("id", "registers").join(some, "id", "left_semi").dropDuplicates(["id"]), "id"), "candidates")
+    docs = base.where("text IS NOT NULL").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
+    drawn = named.select("id", "text_key", "registers").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
+    docs = written(docs.join(drawn, ["id", "text_key"]).select("id", "text", "registers"), "candidates")
     links = confirm(near, docs)
     if not many.isEmpty():
         region = components(many, "regions")
         region = region.union(region.select(F.col("root").alias("id"), "root").distinct()).select("id", F.col("root").alias("region"))
-        links = links.union(region_links(region.join(docs.select("id", F.length("text").alias("chars")), "id"), docs))
+        links = links.union(region_links(region.join(docs.groupBy("id").agg(F.sum(F.length("text")).alias("chars")), "id"), docs))
     twice = named.groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     same_id = keyed.join(twice, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(same_id))

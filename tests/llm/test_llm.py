@@ -214,6 +214,14 @@ def test_neardup_edges(spark, odd, empty, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(texts.items())
 
 
+def test_neardup_ids_with_several_texts(spark):
+    t = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abc"}
+    near = lambda k: t[k] + " and more"
+    rows = [(5, t["a"]), (5, t["b"]), (3, near("a")), (7, near("b")), (1, t["c"]), (2, t["c"]), (2, near("c")), (9, near("c") + " yet")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 3), (5, 3), (5, 3), (7, 3), (9, 1)]
+
+
 def test_sketch_estimates():
     import numpy as np
 
