@@ -131,6 +131,7 @@ def reasoning() -> Column:
     """The texts that explain a site."""
     area, acc, slope, deep = F.col("catchment_area_km2"), F.col("acc"), F.col("slope_deg"), F.col("depression_delta_m")
     fmt = lambda a, c, b: F.concat(F.lit(a), fixed(c, 1), F.lit(b))
+    # The texts and their thresholds.
     return F.array_compact(F.array(
         F.concat(F.when(area >= 1.0, "Large").when(area >= 0.5, "Moderate").otherwise("Small"), F.lit(" contributing catchment ("), fixed(area, 2), F.lit(" km²)")),
         F.when(acc > 1000, "Strong drainage convergence point").when(acc > 200, "Moderate drainage convergence"),
