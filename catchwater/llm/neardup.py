@@ -35,7 +35,6 @@ SENT = 8 << 20  # bytes of a list of ids or buckets up to which it is sent to al
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-ODD = (np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _words: dict[str, int] = {}
 
 
@@ -45,6 +44,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+ODD = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def fill(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least of the hashes of v, for each of these registers by a hash of its own: mixed(v * ODD) but for the last step, which leaves the upper bits."""
+    h = v[None, :] * ODD[own][:, None]
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h.min(1)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The set, as ascending 64-bit hashes. Fewer words than a shingle: the whole sequence as one. No word: empty."""
     words = WORD.findall((text or "").translate(LOWER))
@@ -75,10 +87,10 @@ def sketch(s: np.ndarray) -> np.ndarray:
     full = np.zeros(REGISTERS, bool)
     full[at] = True
     empty = np.flatnonzero(~full)
-    step = max(1, (1 << 18) // len(s))
+    step = max(1, (1 << 15) // len(s))
     for k in range(0, len(empty), step):
         own = empty[k : k + step]
-        least[own] = (v[None, :] * ODD[own][:, None]).min(1)
+        least[own] = fill(v, own)
     bits = np.maximum(least, 1).astype(np.float64).view(np.uint64)
     zeros = np.uint64(1023 + 64) - (bits >> np.uint64(52))
     return ((zeros << np.uint64(MANTISSA)) | ((bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)

@@ -233,6 +233,19 @@ def test_sketch_estimates():
         assert abs(e - n / (n + 2 * (n // 5))) < 0.12
 
 
+def test_sketch_loses_no_short_pair():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for union, common in ((4, 3), (8, 6), (20, 15), (40, 30), (20, 16)):
+        for _ in range(3000):
+            s = r.integers(0, 1 << 64, union, dtype=np.uint64)
+            cut = common + (union - common) // 2
+            a, b = np.sort(s[:cut]), np.sort(np.r_[s[:common], s[cut:]])
+            equal = neardup.sketch(a) == neardup.sketch(b)
+            assert equal.reshape(-1, neardup.ROWS).all(1).any() and neardup.estimate(equal.mean(), len(a), len(b)) >= neardup.HOPEFUL
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "x" * 1500), (2, "http://a/2", "x" * 1500), (3, None, "é" * 400), (4, "u", "é" * 400), (5, "u\r\nWARC-Type: no", None), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 90), (7, "u", "")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
