@@ -1,8 +1,9 @@
 """Personal data: base patterns, and a skip-chain conditional random field over the tokens that could be personal data.
 
-Nodes are the tokens of a document that hold a digit or an at-sign. Neighbours in the text share a chain
-potential; tokens with equal or similar content share a skip potential, however far apart. Loopy
-sum-product passes messages until labels settle, so that a token which the patterns miss (no context, broken
+Nodes are the base spans of a document and, between them, number groups with the digits of a base span and other
+tokens that hold a digit or an at-sign. Neighbours in the text share a chain potential; nodes with equal or similar
+content share a skip potential with one auxiliary node of their key, so it reaches them however far apart. Loopy
+sum-product passes messages until they settle, so that a token which the patterns miss (no context, broken
 form) takes the label of its twin. Unary weights are learned, by a softmax regression, from base labels on a
 bounded sample of documents.
 """
@@ -30,9 +31,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 SAMPLE = 2000  # documents with a candidate token, or about so many, from which unary weights are fitted; never over twice as many
-CHAIN, SKIP, ROUNDS, SURE = 0.3, 2.5, 8, 0.9  # log potentials of equal labels, rounds of message passing, belief from which a span is added
+CHAIN, SKIP, SURE = 0.3, 12, 0.9  # log potentials of equal labels, belief from which a span is added; one certain twin outweighs unary odds of e^9
+SETTLED, PATIENCE = 1e-4, 100  # change of messages at which they have settled; rounds after which their step is halved
 BUCKETS = 256  # hashed features
-LONGEST = 64  # characters from which a token's features and similarity key come
+LONGEST = 64  # characters from which a token's features come
 
 
 def luhn(digits: str) -> bool:
@@ -138,8 +140,53 @@ def fit(texts: list[str], steps: int = 200, rate: float = 0.5, decay: float = 1e
 
 
 def key_of(token: str) -> str:
-    """Similar tokens have one key: letters in lower case and digits, without separators."""
-    return re.sub(r"[^a-z0-9]", "", token[:LONGEST].lower())
+    """Similar tokens have one key: letters in lower case and digits, without separators. Under 6 of them, separators count, as places."""
+    parts = re.findall(r"[a-z0-9]+", token.lower())
+    return key if len(key := "".join(parts)) >= 6 else ".".join(parts)
+
+
+def key_of_span(span: str, kind: str) -> str:
+    """The same for base spans; the groups of an address tell it from others of the same digits."""
+    return ".".join(span.split(".")) if kind == "ip" else key_of(span)
+
+
+RUN = re.compile(r"[0-9]+(?:[\x20\xa0().,/_+-]{1,3}[0-9]+)*")
+
+
+def nodes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, label, key) in text order: base spans; between them, runs of number groups that have the key of one, then other tokens."""
+    found = [(s, e, LABELS.index(k), key_of_span(text[s:e], k)) for s, e, k in base]
+    known = {key for *_, key in found if re.fullmatch("[0-9.]+", key)}
+    most = max(map(len, known), default=0)
+    gaps, done = [], 0
+    for s, e, *_ in sorted(found):
+        gaps.append((done, s))
+        done = max(done, e)
+    for lo, hi in [*gaps, (done, len(text))]:
+        free = lo
+        for m in RUN.finditer(text, lo, hi) if known else ():
+            run = m[0]
+            parts = [(g.start(), g.end()) for g in re.finditer("[0-9]+", run)]
+            k = 0
+            while k < len(parts):
+                hit, plain, groups = None, "", ""
+                for j in range(k, len(parts)):
+                    part = run[slice(*parts[j])]
+                    plain, groups = plain + part, f"{groups}.{part}" if groups else part
+                    if len(plain) > most:
+                        break
+                    if key := next((x for x in (groups, plain) if x in known), None):
+                        hit = j, key
+                if not hit:
+                    k += 1
+                    continue
+                s, e = m.start() + parts[k][0], m.start() + parts[hit[0]][1]
+                s -= s > free and text[s - 1] in "+("
+                found += [(a + free, b + free, 0, key_of(text[a + free : b + free])) for a, b in tokens(text[free:s])]
+                found.append((s, e, 0, hit[1]))
+                free, k = e, hit[0] + 1
+        found += [(a + free, b + free, 0, key_of(text[a + free : b + free])) for a, b in tokens(text[free:hi])]
+    return sorted(found)
 
 
 def beliefs(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -149,14 +196,16 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarra
         a, b, w = (np.array(x) for x in zip(*edges))
         src, dst, gain = np.r_[a, b], np.r_[b, a], np.exp(np.r_[w, w])[:, None]
         back = np.r_[np.arange(len(a), 2 * len(a)), np.arange(len(a))]
-        m = np.zeros((len(src), k))
-        for _ in range(ROUNDS):
+        m, change, rounds = np.zeros((len(src), k)), np.inf, 0
+        while change > SETTLED:
+            step = 0.5 ** (1 + rounds // PATIENCE)  # ever smaller, so that messages which swing settle too
             total = unary.copy()
             np.add.at(total, dst, m)
             out = total[src] - m[back]
             p = np.exp(out - out.max(1, keepdims=True))
             new = np.log(p.sum(1, keepdims=True) + (gain - 1) * p)
-            m = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
+            new = step * (new - new.max(1, keepdims=True) - m)
+            m, change, rounds = m + new, np.abs(new).max(), rounds + 1
         unary = unary.copy()
         np.add.at(unary, dst, m)
     p = np.exp(unary - unary.max(1, keepdims=True))
@@ -165,26 +214,30 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarra
 
 def crf_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans of tokens outside base spans whose belief in one kind is at least SURE."""
-    found = tokens(text)
+    found = nodes(text, base)
     if not found:
         return []
-    unary = np.array([w[features(text, s, e)].sum(0) for s, e in found])
+    unary = np.array([w[features(text, s, e)].sum(0) for s, e, *_ in found])
     unary -= unary.max(1, keepdims=True)
-    clamped = [label_of(s, e, base) for s, e in found]
-    for i, y in enumerate(clamped):
+    twins = defaultdict(list)
+    for i, (*_, key) in enumerate(found):
+        if key:
+            twins[key].append(i)
+    share = [1 / max(1, len(twins[key])) for *_, key in found]
+    edges = [(i - 1, i, CHAIN * min(share[i - 1], share[i])) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= 40]
+    hub = len(found)
+    for same in twins.values():
+        if len(same) > 1:
+            unary[same] /= len(same)  # one content gives its evidence once, and its neighbours, by their share of the chain, theirs
+            edges += [(i, hub, SKIP) for i in same]
+            hub += 1
+    for i, (_, _, y, _) in enumerate(found):
         if y:
-            unary[i] = -8
+            unary[i] = -40
             unary[i, y] = 0
-    edges, last = [], {}
-    for i, (s, e) in enumerate(found):
-        if i and s - found[i - 1][1] <= 40:
-            edges.append((i - 1, i, CHAIN))
-        if len(key := key_of(text[s:e])) >= 6:
-            if key in last:
-                edges.append((last[key], i, SKIP))  # a path over all twins: messages reach each of them
-            last[key] = i
+    unary = np.vstack([unary, np.zeros((hub - len(found), len(LABELS)))])
     p = beliefs(unary, edges)
-    return [(s, e, LABELS[y]) for i, (s, e) in enumerate(found) if not clamped[i] and (y := int(p[i].argmax())) and p[i, y] >= SURE]
+    return [(s, e, LABELS[y]) for i, (s, e, known, _) in enumerate(found) if not known and (y := int(p[i].argmax())) and p[i, y] >= SURE]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

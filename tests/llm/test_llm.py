@@ -165,6 +165,19 @@ def test_pii_twin_takes_label():
     assert p[2, 0] > 0.8 and abs(p[1, 0] - 0.5) < 1e-9 and pii.crf_spans("no digits", [], w) == []
 
 
+def test_pii_twins_at_any_distance():
+    texts = [f"word here +1 ({a}) 555-{b} word again" for a in range(200, 260) for b in (1234, 9876)] + [f"about {k} things, 1-{k + 200}-555-8283 or 10-0-0-{k} in {k + 7} days" for k in range(100)]
+    w = pii.fit(texts)
+    for far in (1, 20, 1000):
+        for first, twin in (("+1 (361) 555-8283", "1-361-555-8283"), ("+1 (361) 555-8283", "1 361 555 8283"), ("4111 1111 1111 1111", "4111.1111.1111.1111"), ("10.0.0.1", "10-0-0-1")):
+            t = f"it was {first} today. " + f"then {twin} it was, and {{}} things more of it here now. " * far
+            t = t.format(*range(50, 50 + far))
+            base = pii.base_spans(t)
+            got = [t[s:e] for s, e, _ in pii.crf_spans(t, base, w)]
+            assert [t[s:e] for s, e, _ in base] == [first] and got == [twin] * far, (far, first, twin)
+    assert pii.crf_spans("it was 192.168.1.10 and 19 216 81 10 things, 10 things", pii.base_spans("it was 192.168.1.10 and"), w) == []
+
+
 def components_of(rows):
     sets = {}
     for i, t in rows:
