@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 256  # turns of a block of the running sum
 PART = 256  # turns of a row of rendered text
+LANE = (1 << 31) - 1  # sums are kept modulo 2^31 in four lanes: those of four billion turns of a block, and of as many blocks, stay within a long
 
 # The marks of the rendered form.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -31,21 +32,28 @@ def placed(turns: DataFrame) -> DataFrame:
 
 
 def turn_hash(seed: int) -> Column:
-    """A 44-bit hash of place, role and text: sums of a million of them stay exact."""
+    """A 64-bit hash of place, role and text."""
     tag = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", tag(F.col("role")), tag(F.col("text"))), 20)
+    return F.xxhash64(F.lit(seed), "place", tag(F.col("role")), tag(F.col("text")))
+
+
+def lane(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(LANE))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, h1, h2, role, text): hashes of the turns up to each place, with sums that wrap around two 64-bit lanes."""
-    t = placed(turns).withColumn("x1", turn_hash(1)).withColumn("x2", turn_hash(2))
-    sums = t.groupBy("conv_id", "block").agg(F.sum("x1").alias("s1"), F.sum("x2").alias("s2"))
+    """(conv_id, place, h1, h2, role, text): hashes of the turns up to each place, each of two sums modulo 2^31."""
+    t = placed(turns).withColumns({"y1": turn_hash(1), "y2": turn_hash(2)})
+    t = t.select("conv_id", "block", "place", "role", "text", *[c.alias(f"x{2 * k + i}") for k in (0, 1) for i, c in enumerate((lane(F.col(f"y{k + 1}")), F.shiftrightunsigned(f"y{k + 1}", 33)))])
+    sums = t.groupBy("conv_id", "block").agg(*[lane(F.sum(f"x{k}")).alias(f"s{k}") for k in range(4)])
     over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"s{k}").over(over), F.lit(0)).alias(f"b{k}") for k in (1, 2)])
+    before = sums.select("conv_id", "block", *[lane(F.coalesce(F.sum(f"s{k}").over(over), F.lit(0))).alias(f"b{k}") for k in range(4)])
     within = Window.partitionBy("conv_id", "block").orderBy("place")
-    t = t.select("conv_id", "block", "place", "role", "text", *[F.sum(f"x{k}").over(within).alias(f"r{k}") for k in (1, 2)])
+    t = t.select("conv_id", "block", "place", "role", "text", *[lane(F.sum(f"x{k}").over(within)).alias(f"r{k}") for k in range(4)])
     same = F.col("t.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("t.block").eqNullSafe(F.col("b.block"))
-    return t.alias("t").join(before.alias("b"), same).select("t.conv_id", "place", (F.col("r1") + F.col("b1")).alias("h1"), (F.col("r2") + F.col("b2")).alias("h2"), "role", "text")
+    whole = [lane(F.col(f"r{k}") + F.col(f"b{k}")) for k in range(4)]
+    h = [F.shiftleft(whole[2 * k], 31).bitwiseOR(whole[2 * k + 1]).alias(f"h{k + 1}") for k in (0, 1)]
+    return t.alias("t").join(before.alias("b"), same).select("t.conv_id", "place", *h, "role", "text")
 
 
 def maximal(pre: DataFrame) -> DataFrame:

@@ -330,6 +330,14 @@ def test_chat(spark):
     assert re.findall(r"user\n(\d+)", "".join(r["text"] for r in parts)) == [str(k) for k in range(1000)]
 
 
+def test_chat_sums_do_not_overflow(spark, monkeypatch):
+    own = chat.turn_hash
+    monkeypatch.setattr(chat, "turn_hash", lambda seed: own(seed).bitwiseOR(chat.F.lit(3 << 61)).bitwiseAND(chat.F.lit((1 << 63) - 1)))  # two overflow a long
+    rows = [(c, k, "user", str(k)) for c, n in ((9, 1000), (8, 999), (7, 256)) for k in range(n)] + [(6, 0, "user", str(k)) for k in range(300)]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["part"]) for r in got) == [(6, 0), (6, 1), *((9, k) for k in range(4))]
+
+
 def test_mixing(spark, odd, empty):
     assert ids(mixing.mix(odd)) == ids(odd) and mixing.mix(empty).count() == 0
     docs = table(spark, "/root/testdata/sf0.01", "documents")
