@@ -8,8 +8,10 @@ they are first reached; a transition holds the next state and the change of the
 A transition picks the one token that ends here and that is compatible with the token before it: two tokens are
 compatible if the merges give just them for their joined symbols.
 
-Long words are cut into chunks. A chunk is a map from states to (state, count); maps compose, and a prefix
-scan gives the state at each cut.
+A text is a sequence of chunks, and a chunk is a map from states to (state, count). At the end of a word only the start
+state can be reached, so the map of a whole word is one entry, and maps of words compose by adding. A word over CHUNK
+symbols is cut inside: each of its chunks is run from every state that can be reached at its cut, whatever comes before
+it, and the maps are composed pairwise, level by level (see `scan`).
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from catchwater.llm.common import map_rows, per_row, small_batches
 
 FINAL = 256  # added to a byte that ends a word
 MEMO = 300_000  # words that a worker remembers
-TABLE = 2_000_000  # transitions that a worker holds before it compiles anew
-CHUNK = 64  # symbols of a chunk of a long word
+TABLE = 1_000_000  # transitions that a worker holds before it compiles anew
+CHUNK = 64  # symbols of a chunk of a long word, and the longest word that is remembered
+BLOCK = 1024  # chunks that are composed at once, so that a word of any length takes bounded memory
+LONG = 1 << 20  # characters from which the words of a text are not listed but passed one by one
 
 
 def byte_names() -> dict[str, int]:
@@ -108,6 +112,21 @@ class Transducer:
         self.edges: dict[int, tuple[int, int]] = {}
         self.keys: list[tuple] = [((0, -1, 0),)]  # of a state: (trie node, token before it, tokens since) for each open place
         self.ids = {self.keys[0]: 0}
+        self.pairs.clear()
+
+    def state(self, key: tuple) -> int:
+        if (to := self.ids.get(key)) is None:
+            to = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+        return to
+
+    def trimmed(self, state: int) -> int:
+        """The state, after a new start where there are too many transitions."""
+        if len(self.edges) <= TABLE:
+            return state
+        key = self.keys[state]
+        self.clear()
+        return self.state(key)
 
     def fits(self, a: int, b: int) -> bool:
         if a < 0:
@@ -121,9 +140,7 @@ class Transducer:
         moved = [(c, before, since) for node, before, since in self.keys[state] if (c := self.child[node].get(symbol)) is not None]
         last, delta = next((self.token[c], 1 - since) for c, before, since in moved if self.token[c] >= 0 and self.fits(before, self.token[c]))
         key = (*((c, before, since + delta) for c, before, since in moved if self.child[c]), (0, last, 0))
-        if (to := self.ids.get(key)) is None:
-            to = self.ids[key] = len(self.keys)
-            self.keys.append(key)
+        to = self.state(key)
         self.edges[state << 9 | symbol] = to, delta
         return to, delta
 
@@ -135,46 +152,76 @@ class Transducer:
         return state, total
 
     def word(self, data: bytes) -> int:
-        if len(self.edges) > TABLE:
-            self.clear()
-        symbols = [*data[:-1], data[-1] + FINAL]
-        if len(symbols) <= 2 * CHUNK:
-            return self.run(self.START, symbols)[1]
-        return scan(self, [symbols[k : k + CHUNK] for k in range(0, len(symbols), CHUNK)])[-1](self.START)[1]
-
-
-class ChunkMap:
-    """A function from states to (state, count), known where it was asked for; made of a chunk or of two maps, one after the other."""
-
-    def __init__(self, machine: Transducer, chunk=None, first: ChunkMap | None = None, then: ChunkMap | None = None):
-        self.machine, self.chunk, self.first, self.then, self.known = machine, chunk, first, then, {}
-
-    def __call__(self, state: int) -> tuple[int, int]:
-        if (out := self.known.get(state)) is None:
-            if self.chunk is not None:
-                out = self.machine.run(state, self.chunk)
-            else:
-                mid, n = self.first(state)
-                end, m = self.then(mid)
-                out = end, n + m
-            self.known[state] = out
-        return out
+        """Tokens of a word that is not empty."""
+        self.trimmed(self.START)
+        if len(data) <= CHUNK:
+            return self.run(self.START, [*data[:-1], data[-1] + FINAL])[1]
+        state, total = self.START, 0
+        for k in range(0, len(data), BLOCK * CHUNK):
+            state = self.trimmed(state)
+            part = data[k : k + BLOCK * CHUNK]
+            chunks = [(part[j : j + CHUNK], k + j + CHUNK >= len(data)) for j in range(0, len(part), CHUNK)]
+            state, n = scan(chunk_maps(self, chunks, state))[state]
+            total += n
+        return total
 
 
-def scan(machine: Transducer, chunks: list[list[int]]) -> list[ChunkMap]:
-    """The maps of all prefixes of the chunks. Each level doubles the reach of a map, so a prefix is composed in a logarithmic number of levels."""
-    maps, reach = [ChunkMap(machine, c) for c in chunks], 1
-    while reach < len(maps):
-        maps = [ChunkMap(machine, first=maps[k - reach], then=m) if k >= reach else m for k, m in enumerate(maps)]
-        reach *= 2
+Map = dict[int, tuple[int, int]]  # entry state: (exit state, tokens)
+
+
+def chunk_maps(machine: Transducer, chunks: list[tuple[bytes, bool]], entry: int) -> list[Map]:
+    """The map of each chunk over the states that can be reached at its cut. A chunk: (bytes, whether it ends the word).
+
+    Each chunk is first run from the start state, without what stands before it. What its left neighbour's map can lead
+    to is then added to its own domain, in all chunks at once, until nothing is new; since a state forgets what lies
+    further back than the longest token, that takes few rounds. Equal chunks share one map.
+    """
+    shared: dict[tuple[bytes, bool], Map] = {}
+    maps = [shared.setdefault(c, {}) for c in chunks]
+    new = [{entry if k == 0 else machine.START} for k in range(len(chunks))]
+    while any(new):
+        found: list[set[int]] = [set() for _ in chunks]
+        for k, (data, last) in enumerate(chunks):
+            todo = new[k].difference(maps[k])
+            if todo:
+                symbols = [*data[:-1], data[-1] + FINAL] if last else data
+                for state in todo:
+                    maps[k][state] = machine.run(state, symbols)
+            if k + 1 < len(chunks):
+                found[k + 1] = {to for to, _ in maps[k].values()}.difference(maps[k + 1])
+        new = found
     return maps
 
 
+def composed(first: Map, then: Map) -> Map:
+    return {state: (then[mid][0], n + then[mid][1]) for state, (mid, n) in first.items()}
+
+
+def scan(maps: list[Map]) -> Map:
+    """The map of all chunks one after the other: neighbours are composed in pairs, on a level all of them independently, until one is left."""
+    while len(maps) > 1:
+        maps = [composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+    return maps[0]
+
+
 class Counter:
     """Counts as the tokenizers library does for a lower-casing word BPE file."""
 
     # Fixed value: the file's split pattern.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # Letters and numbers that are younger than the library's tables, so that it takes them for neither,
+    # and capitals that it lowers but that are younger than Python's tables: (first, last, step to the small letter).
+    YOUNG = (
+        "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+        "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+        "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+        "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+        "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+        "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+        "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+        "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+    )
+    CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -185,20 +232,33 @@ class Counter:
             raise ValueError(f"{path}: only NFC, white space, lower case and {self.SPLIT} are compiled")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.machine = Transducer(Merges(merges, model["end_of_word_suffix"] or ""))
-        self.split = regex.compile(split).findall
+        self.usual = regex.compile(split)
+        young = self.YOUNG
+        self.young = regex.compile(f"[{young}]").search
+        self.rare = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{young}]]+|[\p{{N}}--[{young}]]|[[^\s\p{{L}}\p{{N}}]||[{young}]]+")
+        self.lower = {c: c + step for a, b, step in self.CAPITALS for c in range(a, b + 1)}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.memo: dict[str, int] = {}
 
-    def plain(self, text: str) -> int:
+    def words(self, text: str):
+        split = self.usual
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(self.lower)
+        text = text.lower()
+        if not text.isascii() and self.young(text):
+            split = self.rare
+        return split.findall(text) if len(text) < LONG else (m[0] for m in split.finditer(text))
+
+    def plain(self, text: str) -> int:
         memo, total = self.memo, 0
-        for w in self.split(text.lower()):
+        for w in self.words(text):
             if (n := memo.get(w)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                n = memo[w] = self.machine.word(w.encode("utf-8", "surrogatepass"))
+                n = self.machine.word(w.encode("utf-8", "surrogatepass"))
+                if len(w) <= CHUNK:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[w] = n
             total += n
         return total
 

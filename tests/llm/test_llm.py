@@ -79,9 +79,44 @@ def test_token_counts_equal_library(texts):
 def test_transducer_equals_merges():
     m = tokencount.load(public_tokenizers.path("word_bpe_49k.json")).machine
     r = random.Random(3)
-    for _ in range(300):
-        w = bytes(r.choices(b"etaoinshrd", k=r.randrange(1, 300)))
-        assert m.word(w) == len(m.merges.encode((*w[:-1], w[-1] + tokencount.FINAL)))
+    for alphabet in (b"etaoinshrd", b"a", b"ha"):
+        for n in (1, tokencount.CHUNK, tokencount.CHUNK + 1, *(r.randrange(1, 600) for _ in range(100))):
+            w = bytes(r.choices(alphabet, k=n))
+            assert m.word(w) == len(m.merges.encode((*w[:-1], w[-1] + tokencount.FINAL)))
+
+
+def test_chunk_maps_are_closed_and_compose():
+    m = tokencount.load(public_tokenizers.path("word_bpe_49k.json")).machine
+    r = random.Random(4)
+    for alphabet in (b"etaoinshrd", b"a"):
+        w = bytes(r.choices(alphabet, k=40 * 64))
+        chunks = [(w[k : k + 64], k + 64 == len(w)) for k in range(0, len(w), 64)]
+        maps = tokencount.chunk_maps(m, chunks, m.START)
+        assert all({to for to, _ in a.values()} <= set(b) for a, b in zip(maps, maps[1:]))
+        assert all(m.START in x for x in maps[1:]) and max(map(len, maps)) < 40
+        whole = tokencount.scan(maps)
+        assert whole[m.START] == m.run(m.START, [*w[:-1], w[-1] + tokencount.FINAL])
+
+
+def test_long_words_take_bounded_tables(monkeypatch):
+    c = tokencount.load(public_tokenizers.path("word_bpe_49k.json"))
+    w = "".join(random.Random(5).choices("etaoinshrd", k=200_000))
+    want = c(w)
+    monkeypatch.setattr(tokencount, "TABLE", 20_000)
+    assert c(w) == want and len(c.machine.edges) < 400_000
+    monkeypatch.setattr(tokencount, "LONG", 10)
+    assert c(w + " and more " + w) == 2 * want + c("and more")
+
+
+def test_token_counts_on_rare_characters():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    c, lib = tokencount.load(path), Tokenizer.from_file(path)
+    points = [*range(0x0, 0x3000), *range(0xA000, 0xD800), *range(0xF900, 0x20000), *range(0x2B700, 0x2B900), *range(0x33400, 0x33500)]
+    for k in range(0, len(points), 64):
+        x = "".join(f"a{chr(p)}1{chr(p)}!{chr(p)} " for p in points[k : k + 64])
+        assert c(x) == len(lib.encode(x, add_special_tokens=False).ids), hex(points[k])
 
 
 def test_token_counts_operator(odd, empty):
