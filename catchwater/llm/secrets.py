@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and strings that a primed zstandard dictionary finds novel.
 
-A candidate is a long mixed string close after a word such as `key` or `secret`. Its novelty is the
-number of bytes that it adds to the compressed form of what surrounds it, with a dictionary of common
-code and identifiers in place. Prose, paths and identifiers compress; keys do not.
+A candidate is a run of 16 or more key characters, mixed of letters and digits or of small and capital letters, with
+a word such as `key` or `secret` close before or after it. It is measured whole, in windows: the novelty of a window is the number of
+bytes that it adds to the compressed form of what surrounds it, with a dictionary of common code and identifiers
+in place. Prose, paths, repeats and identifiers compress; keys do not. Neighbouring novel windows are one span.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]", re.S)
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature", re.I | re.A)
-BEFORE = 48  # characters before a candidate in which a sensitive word counts
-AROUND = 256  # characters before and after that count as surroundings
-NOVEL = 0.95  # marginal compressed bytes for each character; random strings measure 1.1, identifiers 0.8
-LONGEST = 4096  # characters of a candidate that are measured; its span stays whole
+NEAR = 48  # characters before and after a candidate in which a sensitive word counts
+AROUND = 256  # characters before and after a window that count as surroundings
+WINDOW = 48  # characters of a window, about: a longer one would bring an entropy code of its own
+NOVEL = 0.75  # marginal compressed bytes for each character; random strings measure 0.75 to 1.3, identifiers 0.6 to 0.7
 
 # Words that primed surroundings hold.
 PRIMER = (
@@ -40,17 +42,35 @@ PRIMER = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef the of and to in is that for with was on are this "
 ).encode()
 
+# Fixed value: plain prose, so that short surroundings too give letters their usual weights.
+PROSE = (
+    "It was late in the year when the last of the boats came in, and most people had gone home long before that hour. We walked along the "
+    "water to see whether anything was left on the quay, talked for a while about the weather, and then went back by the narrow road "
+    "between the gardens. Nobody had lit the lamps yet. In one window a woman was reading; she looked up, nodded, and turned the page again. "
+)
+
 
 class Novelty:
     def __init__(self):
         self.by = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def __call__(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes for each character of the candidate."""
-        stop = min(end, start + LONGEST)
-        near = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
-        alone = len(self.by.compress(near))
-        return (len(self.by.compress(near + b" " + text[start:stop].encode("utf-8", "surrogatepass"))) - alone) / (stop - start)
+    def size(self, text: str) -> int:
+        return len(self.by.compress(text.encode("utf-8", "surrogatepass")))
+
+    def spans(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The novel stretches of a candidate. A window's surroundings are prose, the text around the candidate without other candidates, and the window before."""
+        near = PROSE + CANDIDATE.sub(" ", text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND])
+        n = max(1, round((end - start) / WINDOW))
+        cuts = [start + (end - start) * k // n for k in range(n + 1)]
+        found: list[tuple[int, int]] = []
+        for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            around = near + " " + text[cuts[max(0, k - 1)] : s]
+            if (self.size(around + text[s:e]) - self.size(around)) / (e - s) >= NOVEL:
+                if found and found[-1][1] == s:
+                    found[-1] = found[-1][0], e
+                else:
+                    found.append((s, e))
+        return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,12 +83,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Incompressible strings in a sensitive context that overlap no base span."""
+    """Incompressible strings in a sensitive context, but for those that lie in one base span."""
     found = []
+    if not SENSITIVE.search(text):
+        return found
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if SENSITIVE.search(text, max(0, s - BEFORE), s) and all(e <= a or b <= s for a, b, _ in taken) and novelty(text, s, e) >= NOVEL:
-            found.append((s, e, "novel"))
+        if (SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR)) and MIXED.search(m[0]):
+            found += [(a, b, "novel") for a, b in novelty.spans(text, s, e) if not any(x <= a and b <= y for x, y, _ in taken)]
     return found
 
 

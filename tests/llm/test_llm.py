@@ -177,6 +177,32 @@ def test_secrets(spark, texts, odd, empty):
     assert out.where("doc_id IS NULL").first()["text"] == "[SECRET] x@y.com"
 
 
+def test_novel_secrets():
+    r, n = random.Random(6), secrets.Novelty()
+    rand = lambda k, of="ABCDEFGHIJKLMNOPqrstuvwxyz0123456789": "".join(r.choices(of, k=k))
+    at = lambda t: [t[s:e] for s, e, _ in secrets.novel_spans(t, secrets.base_spans(t), n)]
+    for k in (rand(16), rand(40), rand(300), rand(3000), rand(40, "abcdefghIJKLMNOPQRSTUVW")):
+        assert at(f"the private key was {k} in that file") == [k]
+        assert at(f"here {k} is the secret of it") == [k]
+        assert at(f"nothing here {k} and nothing there, as it goes on for quite a while without such words, no key") == []
+    plain, tail = "a1" * 5000, rand(4800)
+    got = at(f"secret is {plain}{tail} here")
+    assert len(got) == 1 and len(got[0]) >= 4700 and tail.endswith(got[0][-4700:])
+    t = "secret key sk_live_" + "ab12" * 6 + rand(60) + " is it"
+    spans = secrets.base_spans(t) + secrets.novel_spans(t, secrets.base_spans(t), n)
+    assert any(k == "hex" for _, _, k in spans) and any(k == "novel" and t[e:] == " is it" for _, e, k in spans)
+    assert at("the key get_user_name_from_config_settings_2 and tokenRequestHeaderStatusMessage") == []
+    assert secrets.novel_spans("", [], n) == []
+
+
+def test_secret_digests(spark):
+    t = ["passwd: hunter22 AKIA" + "A1" * 10 + " " + "0f" * 15, "token=abc", "x", None]
+    got = {r["doc_id"]: r for r in secrets.digests(secrets.scan(spark.createDataFrame([*enumerate(t)], "doc_id long, text string"))).collect()}
+    assert [(got[k]["n_assign"], got[k]["n_access"], got[k]["n_hex"]) for k in range(4)] == [(1, 1, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert all(got[k]["base_sha256"] == secrets.brute(x or "") for k, x in enumerate(t))
+    assert got[0]["spans"] == "assign:0:16,access:17:41,hex:42:72"
+
+
 def test_pii(spark, texts, odd, empty):
     r = random.Random(3)
     made = ["".join(r.choices(["1", "23", "456", ".", ".", "@", "@a", "a.b", "-", " ", "+1", "(", "4111111111111111", "é", "255", "\n"], k=r.randrange(1, 18))) for _ in range(5000)]
