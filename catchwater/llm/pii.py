@@ -4,14 +4,18 @@ Nodes are the base spans of a document and, between them, number groups with the
 tokens that hold a digit or an at-sign. Neighbours in the text share a chain potential; nodes with equal or similar
 content share a skip potential with one auxiliary node of their key, so it reaches them however far apart. Loopy
 sum-product passes messages until they settle, so that a token which the patterns miss (no context, broken
-form) takes the label of its twin. Unary weights are learned, by a softmax regression, from base labels on a
-bounded sample of documents.
+form) takes the label of its twin.
+
+All weights are fitted to base labels on a bounded sample of nodes: unary ones by softmax regression, those of chain
+and skip by pseudo-likelihood under a prior. Nodes that the patterns miss although a twin is found are of unknown
+label, and teach nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,11 +34,18 @@ CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-SAMPLE = 2000  # documents with a candidate token, or about so many, from which unary weights are fitted; never over twice as many
-CHAIN, SKIP, SURE = 0.3, 12, 0.9  # log potentials of equal labels, belief from which a span is added; one certain twin outweighs unary odds of e^9
+SAMPLE, TOKENS = 40_000, 20_000  # documents, about, and nodes of them, at most, to which weights are fitted
+CHAIN, SKIP = (0.3, 0.3), (12.0, 3.0)  # means and deviations of the priors of the log potentials of equal labels
+SURE = 0.9  # belief from which a span is added; at a skip weight of 12, one certain twin outweighs unary odds of e^9
+CLOSE = 40  # characters between nodes that are neighbours
 SETTLED, PATIENCE = 1e-4, 100  # change of messages at which they have settled; rounds after which their step is halved
 BUCKETS = 256  # hashed features
-LONGEST = 64  # characters from which a token's features come
+
+
+class Model(NamedTuple):
+    unary: np.ndarray  # features x labels
+    chain: float
+    skip: float
 
 
 def luhn(digits: str) -> bool:
@@ -98,11 +109,11 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 def features(text: str, s: int, e: int) -> list[int]:
     """Hashed: shape, length, counts of digits and dots, and the words next to the token."""
-    t = text[s : min(e, s + LONGEST)]
+    t = text[s:e]
     shape = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", t))
     n = sum(c.isdigit() for c in t)
     before, after = text[max(0, s - 24) : s].split()[-1:], text[e : e + 24].split()[:1]
-    names = ["bias", "shape " + shape[:24], f"digits {n}", f"dots {t.count('.')}", f"at {'@' in t}", f"plus {t[0] == '+'}", f"length {min(len(t), 40) // 4}", *(f"before {w.lower()}" for w in before), *(f"after {w.lower()}" for w in after)]
+    names = ["bias", "shape " + shape, f"digits {n}", f"dots {t.count('.')}", f"at {'@' in t}", f"plus {t[0] == '+'}", f"length {min(len(t), 40) // 4}", *(f"before {w.lower()}" for w in before), *(f"after {w.lower()}" for w in after)]
     return [hash_of(x) for x in names]
 
 
@@ -113,30 +124,75 @@ def hash_of(name: str) -> int:
     return (h ^ h >> 15) % BUCKETS
 
 
-def label_of(s: int, e: int, base: list[tuple[int, int, str]]) -> int:
-    return next((LABELS.index(k) for a, b, k in base if a < e and s < b), 0)
+class Example(NamedTuple):
+    """A node for fitting: its features and label, how many neighbours and how many twins have each label."""
+
+    features: list[int]
+    label: int
+    near: list[int]
+    twins: list[int]
+
+
+def examples(text: str) -> list[tuple[int, Example]]:
+    """(start, example) of the nodes whose label is known."""
+    found, out = nodes(text, base_spans(text)), []
+    by_key: dict[str, list[int]] = defaultdict(lambda: [0] * len(LABELS))
+    for _, _, y, key in found:
+        by_key[key][y] += 1
+    for i, (s, e, y, key) in enumerate(found):
+        twins, near = list(by_key[key]) if key else [0] * len(LABELS), [0] * len(LABELS)
+        twins[y] -= bool(key)
+        if any(twins[1:]):
+            if not y:
+                continue
+            twins[0] = 0
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(found) and max(found[max(i, j)][0] - found[min(i, j)][1], 0) <= CLOSE:
+                near[found[j][2]] += 1
+        out.append((s, Example(features(text, s, e), y, near, twins)))
+    return out
 
 
-def fit(texts: list[str], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Unary weights (features x labels) by full-batch softmax regression on base labels. Without examples: zeros but for `none`."""
-    rows, y = [], []
-    for text in texts:
-        base = base_spans(text)
-        for s, e in tokens(text):
-            rows.append(features(text, s, e))
-            y.append(label_of(s, e, base))
-    w = np.zeros((BUCKETS, len(LABELS)))
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def fit_examples(rows: list[Example], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Model:
+    """The model that base labels teach. Without examples: `none` for all that no twin is found of."""
+    w = np.zeros((BUCKETS + 1, len(LABELS)))
     if not rows:
         w[hash_of("bias"), 0] = 5
-        return w
-    x = np.zeros((len(rows), BUCKETS))
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    goal = np.eye(len(LABELS))[y]
+        return Model(w[:-1], CHAIN[0], SKIP[0])
+    wide = max(len(r.features) for r in rows)
+    at = np.array([[*r.features, *[BUCKETS] * (wide - len(r.features))] for r in rows])
+    flat, goal = at.ravel(), np.eye(len(LABELS))[[r.label for r in rows]]
     for _ in range(steps):
-        p = np.exp((z := x @ w) - z.max(1, keepdims=True))
-        w += rate * (x.T @ (goal - p / p.sum(1, keepdims=True)) / len(rows) - decay * w)
-    return w
+        off = np.repeat((goal - softmax(w[at].sum(1))) / len(rows), wide, axis=0)
+        w += rate * (np.column_stack([np.bincount(flat, off[:, k], BUCKETS + 1) for k in range(len(LABELS))]) - decay * w)
+        w[BUCKETS] = 0
+    unary, y = w[at].sum(1), np.array([r.label for r in rows])
+    near, twins = np.array([r.near for r in rows], float), np.array([r.twins for r in rows], float)
+    share = 1 / (1 + twins.sum(1, keepdims=True))
+
+    def best(grid: np.ndarray, prior: tuple[float, float], some: np.ndarray, scores) -> float:
+        """The weight of the grid with the largest pseudo-likelihood and prior."""
+        at = np.flatnonzero(some)
+        fits = [np.log(softmax(scores(g, at))[np.arange(len(at)), y[at]] + 1e-300).sum() - ((g - prior[0]) / prior[1]) ** 2 / 2 for g in grid]
+        return float(grid[int(np.argmax(fits))])
+
+    def hub(g, at):
+        levels = g * (np.eye(len(LABELS))[None] + twins[at][:, None, :])  # of the auxiliary node, for each label of the node
+        top = levels.max(2, keepdims=True)
+        return unary[at] * share[at] + np.log(np.exp(levels - top).sum(2)) + top[:, :, 0]
+
+    chain = best(np.linspace(0, 2, 41), CHAIN, near.any(1), lambda g, at: unary[at] + g * near[at])
+    skip = best(np.linspace(0, 20, 41), SKIP, twins.any(1), hub)
+    return Model(w[:-1], chain, skip)
+
+
+def fit(texts: list[str]) -> Model:
+    return fit_examples([x for text in texts for _, x in examples(text)])
 
 
 def key_of(token: str) -> str:
@@ -147,17 +203,30 @@ def key_of(token: str) -> str:
 
 def key_of_span(span: str, kind: str) -> str:
     """The same for base spans; the groups of an address tell it from others of the same digits."""
-    return ".".join(span.split(".")) if kind == "ip" else key_of(span)
+    return alike(".".join(span.split(".")) if kind == "ip" else key_of(span), span)
+
+
+def alike(key: str, token: str) -> str:
+    """One key for similar content: of 10 to 15 digits the last ten (with and without a country's code), of mail the name before a tag and the at-sign."""
+    if key.isdigit() and 10 <= len(key) <= 15:
+        return key[-10:]
+    name, at, _ = token.lower().partition("@")
+    name = name.partition("+")[0]
+    return name + "@" if at and len(name) >= 6 else key
 
 
 RUN = re.compile(r"[0-9]+(?:[\x20\xa0().,/_+-]{1,3}[0-9]+)*")
 
 
+def plain_nodes(text: str, lo: int, hi: int) -> list[tuple[int, int, int, str]]:
+    return [(a + lo, b + lo, 0, alike(key_of(t := text[a + lo : b + lo]), t)) for a, b in tokens(text[lo:hi])]
+
+
 def nodes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
     """(start, end, label, key) in text order: base spans; between them, runs of number groups that have the key of one, then other tokens."""
     found = [(s, e, LABELS.index(k), key_of_span(text[s:e], k)) for s, e, k in base]
     known = {key for *_, key in found if re.fullmatch("[0-9.]+", key)}
-    most = max(map(len, known), default=0)
+    most = max((15 if len(k) == 10 else len(k) for k in known), default=0)
     gaps, done = [], 0
     for s, e, *_ in sorted(found):
         gaps.append((done, s))
@@ -175,17 +244,17 @@ def nodes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, i
                     plain, groups = plain + part, f"{groups}.{part}" if groups else part
                     if len(plain) > most:
                         break
-                    if key := next((x for x in (groups, plain) if x in known), None):
+                    if key := next((x for x in (groups, alike(plain, plain)) if x in known), None):
                         hit = j, key
                 if not hit:
                     k += 1
                     continue
                 s, e = m.start() + parts[k][0], m.start() + parts[hit[0]][1]
                 s -= s > free and text[s - 1] in "+("
-                found += [(a + free, b + free, 0, key_of(text[a + free : b + free])) for a, b in tokens(text[free:s])]
+                found += plain_nodes(text, free, s)
                 found.append((s, e, 0, hit[1]))
                 free, k = e, hit[0] + 1
-        found += [(a + free, b + free, 0, key_of(text[a + free : b + free])) for a, b in tokens(text[free:hi])]
+        found += plain_nodes(text, free, hi)
     return sorted(found)
 
 
@@ -212,24 +281,24 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarra
     return p / p.sum(1, keepdims=True)
 
 
-def crf_spans(text: str, base: list[tuple[int, int, str]], w: np.ndarray) -> list[tuple[int, int, str]]:
+def crf_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:
     """Spans of tokens outside base spans whose belief in one kind is at least SURE."""
     found = nodes(text, base)
     if not found:
         return []
-    unary = np.array([w[features(text, s, e)].sum(0) for s, e, *_ in found])
+    unary = np.array([model.unary[features(text, s, e)].sum(0) for s, e, *_ in found])
     unary -= unary.max(1, keepdims=True)
     twins = defaultdict(list)
     for i, (*_, key) in enumerate(found):
         if key:
             twins[key].append(i)
     share = [1 / max(1, len(twins[key])) for *_, key in found]
-    edges = [(i - 1, i, CHAIN * min(share[i - 1], share[i])) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= 40]
+    edges = [(i - 1, i, model.chain * min(share[i - 1], share[i])) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= CLOSE]
     hub = len(found)
     for same in twins.values():
         if len(same) > 1:
             unary[same] /= len(same)  # one content gives its evidence once, and its neighbours, by their share of the chain, theirs
-            edges += [(i, hub, SKIP) for i in same]
+            edges += [(i, hub, model.skip) for i in same]
             hub += 1
     for i, (_, _, y, _) in enumerate(found):
         if y:
@@ -244,18 +313,25 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Fits on about `sample` documents, drawn by a hash of the id among those that hold a digit or an at-sign; texts over 100,000 characters are not used for it.
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = TOKENS) -> Model:
+    """Fits on about `sample` documents, drawn by a hash of id and text, and at most `most` nodes of them, drawn by a hash of place.
 
-    A count comes first, so that each task sends only what it draws.
+    Nodes are made in tasks, so no text reaches the driver. Null and empty texts have none, null ids and repeated rows are
+    drawn as others, an empty table gives the model without examples.
     """
-    usable = df.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 100_000)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    share = min(1.0, sample / max(1, usable.count()))
-    rows = usable.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "text").limit(2 * sample).collect()
-    return fit([r["text"] for r in rows])
+    small_batches(df.sparkSession)
+    part = min(1.0, sample / max(1, df.count()))
+    drawn = df.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000)).where(F.col("text").rlike("[0-9@]"))
+
+    def each():
+        return lambda rows: ((h, s, *x) for h, text in rows for s, x in examples(text))
+
+    got = map_rows(drawn, each, "h long, start long, features array<int>, label int, near array<int>, twins array<int>")
+    rows = got.orderBy(F.xxhash64("h", "start"), "h", "start").limit(most).collect()
+    return fit_examples([Example(*r[2:]) for r in rows])
 
 
-def find(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<start,end,kind,base>>) of whole texts, by kind as listed, then start; base tells pattern spans from added ones.
 
     Null and empty texts have no spans; other columns are not read; repeated rows stay repeated.
@@ -267,7 +343,7 @@ def find(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: s
         if not text or not DIGIT.search(text):
             return i, []
         base = base_spans(text)
-        spans = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in crf_spans(text, base, weights)]
+        spans = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in crf_spans(text, base, model)]
         return i, sorted(spans, key=lambda x: (KINDS.index(x[2]), x[0]))
 
     return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_row(lambda: row), f"`{id_col}` {kind}, spans array<struct<start:int,end:int,kind:string,base:boolean>>")

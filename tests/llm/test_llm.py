@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -212,23 +214,61 @@ def test_pii(spark, texts, odd, empty):
     assert ids(pii.digests(pii.find(odd, w))) == ids(odd) and pii.find(empty, pii.train(empty)).count() == 0
 
 
-def test_pii_twin_takes_label():
-    texts = [f"word here +1 ({a}) 555-{b} word again" for a in range(200, 260) for b in (1234, 9876)] + [f"about {k} things in {k + 7} days" for k in range(100)]
-    w = pii.fit(texts)
-    t = "call +1 (361) 555-8283 today. Later: 1-361-555-8283 is what it was"
-    base = pii.base_spans(t)
-    assert [t[s:e] for s, e, k in base] == ["+1 (361) 555-8283"]
-    import numpy as np
+def pii_model():
+    return pii.fit([f"word here +1 ({a}) 555-{b} word again" for a in range(200, 260) for b in (1234, 9876)] + [f"about {k} things in {k + 7} days, 1-{k + 200}-555-8283 or 10-0-0-{k}" for k in range(100)])
 
-    u = np.zeros((3, 2))
-    u[0] = 3, 0
-    p = pii.beliefs(u, [(0, 2, 2.5)])
-    assert p[2, 0] > 0.8 and abs(p[1, 0] - 0.5) < 1e-9 and pii.crf_spans("no digits", [], w) == []
+
+def test_pii_twins_take_labels():
+    w = pii_model()
+    assert 0 <= w.chain <= 2 and w.skip > 6
+    twin = "1-361-555-8283"
+    t = "call +1 (361) 555-8283 today. " + " then some words about it and ".join([twin] * 40)
+    assert [t[s:e] for s, e, k in pii.crf_spans(t, pii.base_spans(t), w)] == [twin] * 40
+    t = " then some words about it and ".join([twin] * 40)
+    assert pii.base_spans(t) == [] and pii.crf_spans(t, [], w) == []
+    t = "call +1 361 555 8283 or 361.555.8283, not 361.555.8284"
+    assert [t[s:e] for s, e, k in pii.crf_spans(t, pii.base_spans(t), w)] == ["361.555.8283"]
+    t = "mail to jane.doe+x@example.org or jane.doe@localhost but jack.doe@localhost"
+    assert [t[s:e] for s, e, k in pii.crf_spans(t, pii.base_spans(t), w)] == ["jane.doe@localhost"]
+    assert pii.crf_spans("no digits", [], w) == []
+
+
+def test_pii_long_tokens_are_read_whole():
+    a, b = "x1" * 60 + "a", "x1" * 60 + "b9"
+    assert pii.key_of(a) != pii.key_of(b) and pii.features(a, 0, len(a)) != pii.features(b, 0, len(b))
+
+
+def test_pii_training_is_bounded(spark):
+    rows = [(k % 7 or None, " ".join(f"{j} and {j}@x.org" for j in range(3000))) for k in range(20)] + [(1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = pii.train(df, most=500)
+    assert m.unary.shape == (pii.BUCKETS, 5) and np.isfinite(m.unary).all()
+    assert pii.crf_spans("just 5 and 6", [], m) == []
+
+
+def test_pii_digest_columns(spark):
+    t = ["a@b.co 10.0.0.1 and 4111 1111 1111 1111 +1 (361) 555-8283", None]
+    df = spark.createDataFrame([*enumerate(t)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digests(pii.find(df, pii_model())).collect()}
+    assert [got[k][f"n_{x}"] for k in (0, 1) for x in pii.KINDS] == [1, 1, 1, 1, 0, 0, 0, 0]
+    for k, x in enumerate(t):
+        assert got[k]["base_sha256"] == hashlib.sha256(pii.joined(pii.brute(x or "")).encode()).hexdigest()
+
+
+def test_beliefs_of_chains_are_exact():
+    r = np.random.default_rng(3)
+    u = r.normal(size=(4, 3))
+    edges = [(0, 1, 0.7), (1, 2, 1.5), (2, 3, 0.4)]
+    p = np.zeros((4, 3))
+    for y in itertools.product(range(3), repeat=4):
+        x = np.exp(sum(u[i, y[i]] for i in range(4)) + sum(w for a, b, w in edges if y[a] == y[b]))
+        for i in range(4):
+            p[i, y[i]] += x
+    assert np.abs(pii.beliefs(u, edges) - p / p.sum(1, keepdims=True)).max() < 1e-3
 
 
 def test_pii_twins_at_any_distance():
-    texts = [f"word here +1 ({a}) 555-{b} word again" for a in range(200, 260) for b in (1234, 9876)] + [f"about {k} things, 1-{k + 200}-555-8283 or 10-0-0-{k} in {k + 7} days" for k in range(100)]
-    w = pii.fit(texts)
+    w = pii_model()
     for far in (1, 20, 1000):
         for first, twin in (("+1 (361) 555-8283", "1-361-555-8283"), ("+1 (361) 555-8283", "1 361 555 8283"), ("4111 1111 1111 1111", "4111.1111.1111.1111"), ("10.0.0.1", "10-0-0-1")):
             t = f"it was {first} today. " + f"then {twin} it was, and {{}} things more of it here now. " * far
@@ -297,8 +337,6 @@ def test_neardup_ids_with_several_texts(spark):
 
 
 def test_sketch_estimates():
-    import numpy as np
-
     r = np.random.default_rng(1)
     for n in (10, 400, 5000):
         both = r.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -308,8 +346,6 @@ def test_sketch_estimates():
 
 
 def test_sketch_loses_no_short_pair():
-    import numpy as np
-
     r = np.random.default_rng(2)
     for union, common in ((4, 3), (8, 6), (20, 15), (40, 30), (20, 16)):
         for _ in range(3000):
