@@ -142,7 +142,7 @@ def examples(text: str) -> list[tuple[int, Example]]:
     for i, (s, e, y, key) in enumerate(found):
         twins, near = list(by_key[key]) if key else [0] * len(LABELS), [0] * len(LABELS)
         twins[y] -= bool(key)
-        if any(twins[1:]):
+        if key and any(by_key[key][1:]):
             if not y:
                 continue
             twins[0] = 0
