@@ -6,18 +6,42 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from catchwater.scratch import scratch, written
+from catchwater.scratch import dropped, scratch, written
 
-__all__ = ["map_rows", "per_row", "scratch", "small_batches", "table", "written"]
+__all__ = ["dropped", "map_rows", "per_row", "scratch", "small_batches", "spread", "table", "written"]
+
+HOT, KEYS = 256, 100_000  # rows of a key from which they may be dealt to several tasks; keys of which that is done, at most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """left joined with right by a key that right has once and left any number of times, even in a third of all rows.
+
+    The rows of a frequent key are dealt to several tasks, and its row of right goes to each of them. Keys are frequent from HOT
+    rows on, and from a KEYS-th of all rows, so there are at most KEYS of them, and their list is sent to all tasks.
+    left: columns of a written table, which is read twice, without null keys; or any table of which `counted` is a written one with
+    as many rows of each key, and `by` a column that tells its rows apart. how: inner or left.
+    """
+    counted = left if counted is None else counted
+    least = max(HOT, counted.count() // KEYS)
+    hot = written(counted.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    one = F.coalesce("_parts", F.lit(1))
+    place = F.xxhash64(by) if by else F.monotonically_increasing_id()
+    dealt = left.join(hot, key, "left").withColumn("_part", F.pmod(place, one).cast("int")).drop("_parts")
+    copied = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
 def map_rows(df: DataFrame, each: Callable[[], Callable[[Iterator[tuple]], Iterable[tuple]]], schema: str | StructType, rows: int = 256) -> DataFrame:
     """Arrow map. each() is called once a task and gives a function from an iterator of input tuples to output tuples.
 

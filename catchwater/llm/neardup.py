@@ -6,9 +6,10 @@ small sets have full sketches. Bands of registers give candidates, the collision
 hopeless ones, and full sets confirm the rest.
 
 Equal sets are one class from the start; only class representatives are compared. A band bucket of up to
-SMALL representatives gives its pairs. Larger buckets are joined to regions; a region is dealt into blocks,
-and each pair of blocks is compared in a task of its own, which returns a spanning forest of its links, not
-the links. No bucket is capped.
+SMALL representatives gives its pairs. In a larger one each representative is first compared with the bucket's hubs,
+which settles groups of near copies. Where a bucket still holds several components, its members form a region; a
+region is dealt into blocks, each pair of blocks compares the registers of members of different components in a task
+of its own, and only pairs whose estimate is hopeful are compared on full sets. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import map_rows, per_row, small_batches, written
+from catchwater.llm.common import dropped, map_rows, per_row, small_batches, spread, written
 
 WORDS, SIMILAR = 5, 75  # words of a shingle; percent of the union from which sets are linked
 REGISTERS, ROWS = 384, 6  # 64 bands: a pair of exactly 0.75 meets in none with probability 4e-6, one of 0.8 with 3e-9
 MANTISSA = 10
 HOPEFUL = 0.62  # estimate from which full sets are compared: 0.75 less 5.9 standard deviations
 SMALL = 32  # representatives of a bucket that gives its pairs
-BLOCK, BLOCK_CHARS = 1024, 4 << 20  # representatives and characters of a region's block
-MEMO = 200_000
+BLOCK = 2048  # representatives of a region's block
+MEMO, REMEMBERED = 200_000, 64  # words that a worker remembers, and the characters of the longest
 SENT = 8 << 20  # bytes of a list of ids or buckets up to which it is sent to all tasks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,7 +68,9 @@ def shingles(text: str | None) -> np.ndarray:
     hashed = []
     for w in words:
         if (h := _words.get(w)) is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            if len(w) <= REMEMBERED:
+                _words[w] = h
         hashed.append(h)
     h = np.array(hashed, np.uint64)
     n = max(1, len(h) - WORDS + 1)
@@ -120,10 +123,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 @lru_cache(64)
-def _set_of(text: str) -> np.ndarray:
+def _short_set(text: str) -> np.ndarray:
     return shingles(text)
 
 
+def _set_of(text: str) -> np.ndarray:
+    return _short_set(text) if len(text) <= 1 << 16 else shingles(text)
+
+
 def sets(df: DataFrame) -> DataFrame:
     """(id, text_key, n_shingles, set_key, registers) from (id, text_key, text); set_key: the digest of the set. The last two are null where it is empty."""
 
@@ -146,7 +153,7 @@ def sent(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. docs: (id, text, registers). First the estimate, then full sets."""
+    """The pairs (a, b) that are linked. pairs: written; docs: (id, text, registers). First the estimate, then full sets."""
     side = lambda k: docs.select(F.col("id").alias(k), F.struct("text", "registers").alias(f"d{k}"))
 
     def each():
@@ -161,126 +168,150 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_rows(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "da", "db"), each, "a long, b long")
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    one = spread(pairs, side("a"), "a")
+    both = spread(one, side("b"), "b", counted=pairs, by="a")
+    return map_rows(both.select("a", "b", "da", "db"), each, "a long, b long")
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
 
-
-def block_links(ids: list[int], texts: list[str], registers: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the left and the right block, or within the only one."""
-    own = [shingles(t) for t in texts]
-    forest, found = Forest(len(ids)), []
-    left, other = np.flatnonzero(~right), np.flatnonzero(~right if same else right)
-    roots = np.arange(len(ids))
-    for x in left:
-        todo = other[other > x] if same else other
-        todo = todo[roots[todo] != roots[x]]
+def hopeful_pairs(left: np.ndarray, right: np.ndarray, left_roots: np.ndarray, right_roots: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], same: bool):
+    """(i, j) of different components whose estimate is hopeful; same: both sides are one block, and i < j."""
+    for i in range(len(left)):
+        todo = np.flatnonzero(right_roots != left_roots[i])
+        if same:
+            todo = todo[todo > i]
+        n, m = sizes[0][i], sizes[1][todo]
+        todo = todo[np.minimum(n, m) * 100 >= SIMILAR * np.maximum(n, m)]
         if not len(todo):
             continue
-        equal = (registers[todo] == registers[x]).mean(1)
-        hit = equal >= HOPEFUL
-        todo, equal = todo[hit], equal[hit]
-        for y in todo[np.argsort(-equal)]:
-            if forest.root(x) != forest.root(y) and linked(own[x], own[y]):
-                forest.join(x, y)
-                found.append((ids[x], ids[y]))
-        roots = np.array([forest.root(k) for k in range(len(ids))]) if found else roots
-    return found
-
-
-def region_links(large: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links of the representatives that share a large bucket. large: (region, id)."""
-    sized = large.groupBy("region").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).select("region", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int").alias("blocks"))
-    at = large.join(sized, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = at.select("region", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("id", "region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("right"))
+        equal = (right[todo] == left[i]).mean(1)
+        for j, e in zip(todo[equal >= HOPEFUL - 0.05], equal[equal >= HOPEFUL - 0.05]):
+            if estimate(e, int(n), int(sizes[1][j])) >= HOPEFUL:
+                yield i, int(j)
+
+
+def region_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of hopeful pairs. rest: (id, root, region), written; docs: (id, n_shingles, registers)."""
+    sized = written(rest.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "regions")
+    at = spread(rest, sized, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = at.select("region", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("id", "root", "region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("right"))
 
     def f(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("id")
         same = bool((pdf["lo"] == pdf["hi"]).all())
-        right = np.zeros(len(pdf), bool) if same else pdf["right"].to_numpy()
-        links = block_links(pdf["id"].tolist(), pdf["text"].tolist(), np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), -1), right, same)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        sides = [pdf, pdf] if same else [pdf[~pdf["right"]], pdf[pdf["right"]]]
+        registers = [np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(len(x), REGISTERS) for x in sides]
+        roots, sizes, ids = ([x[c].to_numpy() for x in sides] for c in ("root", "n_shingles", "id"))
+        found = [sorted((int(ids[0][i]), int(ids[1][j]))) for i, j in hopeful_pairs(*registers, *roots, tuple(sizes), same)]
+        return pd.DataFrame([(b, a) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    return dealt.join(docs, "id").groupBy("region", "lo", "hi").applyInPandas(f, "a long, b long")
+    return dealt.join(docs, "id").groupBy("region", "lo", "hi").applyInPandas(f, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(id, root): the smallest id that reaches it. Alternates large-star and small-star steps; each round is written to the shared folder."""
+    """(id, root), written: the smallest id that reaches it. Alternates large-star and small-star steps; each round is written to the shared folder, and the one before is dropped."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(spread(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small = spread(large, low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         new = written(small, name)
-        stars = new.join(new.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
-        if stars:
-            return new.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        dropped(e, large)
         e = new
+        if new.join(new.select(F.col("u").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+            break
+    out = written(e.select(F.col("u").alias("id"), F.col("v").alias("root")), f"{name}-roots")
+    dropped(e)
+    return out
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row.
-
-    Null and empty texts, and texts without words, have the empty set and are linked with nothing. A row with a
-    null id takes part in its class but can't be its smallest id: it has the component of its class, or null,
-    and isn't kept. Rows of one id with different texts are linked through that id, and have the links of each text. Repeated rows stay repeated.
-    Ids are long. Other columns are not read.
-    """
+def survey(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, n_shingles, set_key, component) of every row: what `find` and the choice of one row of a class are made of. text_key: a 64-bit hash of the text."""
     spark = df.sparkSession
     small_batches(spark)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     keyed = written(sets(base), "sets")
     named = keyed.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = written(named.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    copies = written(named.select("id", "set_key").join(classes.where("n > 1"), "set_key").where("id != rep").select("id", "set_key").distinct(), "copies")
+    copies = written(spread(named.select("set_key", "id"), classes.where("n > 1").select("set_key", "rep"), "set_key").where("id != rep").select("id", "set_key").distinct(), "copies")
     sk = named.select("id", "set_key", "registers").join(sent(copies, 24), ["id", "set_key"], "left_anti")
     member = bands(sk)
     buckets = written(member.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"), "buckets")
     wide = written(buckets.where("n > 2").select("band", "n", F.col("a").alias("hub")), "wide")
     shared = written(member.join(sent(wide, 24), "band"), "shared")
     few = shared.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    of_few = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    near = written(buckets.where("n = 2").select("a", "b").union(of_few).distinct(), "pairs")
-    many = written(shared.where(F.col("n") > SMALL).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "large")
-    used = written(near.union(many).select(F.explode(F.array("a", "b")).alias("id")).distinct(), "used")
+    of_few = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.b", "p.a")
+    large = shared.where(F.col("n") > SMALL)
+    to_hubs = large.groupBy("id").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a != b")
+    near = written(buckets.where("n = 2").select(F.col("b").alias("a"), F.col("a").alias("b")).union(of_few.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(to_hubs).distinct(), "pairs")
+    used = written(near.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct(), "used")
     some = sent(used, 8)
     docs = base.where("text IS NOT NULL").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
-    drawn = named.select("id", "text_key", "registers").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
-    docs = written(docs.join(drawn, ["id", "text_key"]).select("id", "text", "registers"), "candidates")
-    links = confirm(near, docs)
-    if not many.isEmpty():
-        region = components(many, "regions")
-        region = region.union(region.select(F.col("root").alias("id"), "root").distinct()).select("id", F.col("root").alias("region"))
-        links = links.union(region_links(region.join(docs.groupBy("id").agg(F.sum(F.length("text")).alias("chars")), "id"), docs))
+    drawn = named.select("id", "text_key", "n_shingles", "registers").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
+    docs = written(docs.join(drawn, ["id", "text_key"]).select("id", "text", "n_shingles", "registers"), "candidates")
+    links = written(confirm(near, docs), "links")
     twice = named.groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     same_id = keyed.join(twice, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = components(links.union(same_id))
+    if not large.isEmpty():
+        at = written(large.select("id", "band").join(roots, "id", "left").select("id", "band", F.coalesce("root", "id").alias("root")), "rooted")
+        mixed_bands = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("first")).where("lo != hi")
+        rest = written(spread(at, mixed_bands.select("band", "first"), "band").select("id", "root", "first"), "rest")
+        if not rest.isEmpty():
+            region = components(rest.select(F.col("id").alias("a"), F.col("first").alias("b")), "region")
+            members = written(rest.select("id", "root").distinct().join(region.withColumnRenamed("root", "region"), "id", "left").withColumn("region", F.coalesce("region", "id")), "members")
+            pairs = written(region_pairs(members, docs.select("id", "n_shingles", "registers")), "hopeful")
+            joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(confirm(pairs, docs))
+            roots = components(joined, "cc2")
     final = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
-    out = keyed.join(final, "set_key", "left").select("id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    cols = ["id", "text_key", "n_shingles", "set_key"]
+    out = spread(keyed.where("set_key IS NOT NULL").select(*cols), final, "set_key", "left")
+    out = written(out.select(*cols, "component").union(keyed.where("set_key IS NULL").select(*cols, F.col("id").alias("component"))), "components")
+    dropped(keyed, classes, copies, buckets, wide, shared, near, used, docs, links)
+    return out
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row.
+
+    Null and empty texts, and texts without words, have the empty set and are linked with nothing. A row with a
+    null id takes part in its class but can't be its smallest id: it has the component of its class, or null,
+    and isn't kept. Rows of one id with different texts are linked through that id, and have the links of each text. Repeated rows stay repeated,
+    an empty table gives no rows. Ids are long. Other columns are not read.
+    """
+    out = survey(df, id_col, text_col).withColumnRenamed("component", "component_id")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of df, with all its columns: of rows with its smallest id (a null one only where there is no other) the one of the least text hash.
+
+    Rows without words are no class, and all stay. Of repeated rows of a class one stays.
+    """
+    rows = survey(df, id_col, text_col)
+    worded = rows.where("set_key IS NOT NULL").withColumn("class", F.coalesce(F.col("component").cast("string"), F.hex("set_key")))
+    least = F.min(F.struct(F.when(F.col("id") == F.col("component"), 0).otherwise(1).alias("other"), "id", "text_key"))
+    chosen = worded.groupBy("class").agg(least.alias("c")).select("c.id", "c.text_key")
+    chosen = written(worded.select("id", "text_key").join(chosen, worded.id.eqNullSafe(chosen.id) & (worded.text_key == chosen.text_key), "left_semi").groupBy("id", "text_key").agg(F.count("*").alias("n")), "chosen")
+    gone = written(worded.select("id", "text_key").distinct().exceptAll(chosen.select("id", "text_key")), "gone")
+    cols = [F.col(f"d.`{c}`") for c in df.columns]
+    docs = df.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(text_col)})
+    same = lambda t: F.col("d._id").eqNullSafe(F.col(f"{t}.id")) & (F.col("d._key") == F.col(f"{t}.text_key"))
+    left = docs.alias("d").join(sent(gone, 16).alias("g"), same("g"), "left_anti")
+    again = written(chosen.where("n > 1").select("id", "text_key"), "again")
+    if again.isEmpty():
+        return left.select(*cols)
+    more = sent(again, 16).alias("r")
+    once = left.join(more, same("r"), "left_anti").select(*cols)
+    row = F.struct(*[F.col(f"d.`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+    picked = left.join(more, same("r"), "left_semi").groupBy("d._id", "d._key").agg(F.min_by(row, F.xxhash64(*cols)).alias("row"))
+    return once.union(picked.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)]))
+
+
 FIND_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),

@@ -237,6 +237,7 @@ class Counter:
         self.young = regex.compile(f"[{young}]").search
         self.rare = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{young}]]+|[\p{{N}}--[{young}]]|[[^\s\p{{L}}\p{{N}}]||[{young}]]+")
         self.lower = {c: c + step for a, b, step in self.CAPITALS for c in range(a, b + 1)}
+        self.capital = regex.compile(f"[{''.join(map(chr, self.lower))}]").search
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.memo: dict[str, int] = {}
@@ -244,7 +245,9 @@ class Counter:
     def words(self, text: str):
         split = self.usual
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(self.lower)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.capital(text):
+                text = text.translate(self.lower)
         text = text.lower()
         if not text.isascii() and self.young(text):
             split = self.rare

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from catchwater.llm import bpe, chat, media, mixing, neardup, pii, quality, queries, secrets, tokencount, warc
+from catchwater.llm import bpe, chat, common, media, mixing, neardup, pii, quality, queries, secrets, tokencount, warc
 from catchwater.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -311,11 +311,18 @@ def near_copies(n, seed):
     return rows + [(1000 + k, " ".join(f"v{r.randrange(3000)}" for _ in range(r.randrange(1, 60)))) for k in range(60)]
 
 
-@pytest.mark.parametrize("small,block", [(32, 1024), (4, 16)])
-def test_neardup_equals_brute_force(spark, monkeypatch, small, block):
+def drifting(n):
+    """Texts of which only neighbours in the list are near copies, so that no hub is linked with all."""
+    words = [f"d{k}" for k in range(100 + 4 * n)]
+    return [(3000 + k, " ".join(words[4 * k : 4 * k + 100])) for k in range(n)]
+
+
+@pytest.mark.parametrize("small,block,hot", [(32, 1024, 256), (4, 16, 256), (2, 8, 4)])
+def test_neardup_equals_brute_force(spark, monkeypatch, small, block, hot):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", block)
-    rows = near_copies(120, 7)
+    monkeypatch.setattr(common, "HOT", hot)
+    rows = near_copies(120, 7) + drifting(40)
     got = neardup.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(rows)
 
@@ -336,6 +343,26 @@ def test_neardup_ids_with_several_texts(spark):
     assert got == [(1, 1), (2, 1), (2, 1), (3, 3), (5, 3), (5, 3), (7, 3), (9, 1)]
 
 
+def test_spread_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 5)
+    left = common.written(spark.createDataFrame([(k % 3 if k < 200 else k, k % 50) for k in range(300)], "k int, x int"), "left")
+    right = spark.createDataFrame([(k, f"r{k}") for k in (0, 1, 250, 999)], "k int, y string")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, left.join(right, "k", how).select("k", "x", "y").collect()))
+        assert sorted(map(repr, common.spread(left, right, "k", how).select("k", "x", "y").collect())) == want
+
+
+def test_neardup_keeps_one_row_of_each_class(spark, odd, empty):
+    t = [" ".join(f"{k}{j}" for j in range(40)) for k in "abcd"]
+    rows = [(1, t[0], "x"), (1, t[0], "y"), (None, t[0], "x"), (None, t[0], "x"), (2, t[0] + " more", "x"), (None, t[1], "p"), (None, t[1], "p"), (5, t[2], "q"), (5, t[2] + " and", "q"), (7, None, "n"), (7, None, "n"), (None, "", "n"), (9, t[3], "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    got = sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in neardup.keep_one(df).collect())
+    assert got == sorted([("1", "a0"), ("None", "b0"), ("5", "c0"), ("7", "No"), ("7", "No"), ("None", ""), ("9", "d0")])
+    assert neardup.keep_one(df).columns == df.columns
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1 and neardup.keep_one(empty).count() == 0
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     for n in (10, 400, 5000):
