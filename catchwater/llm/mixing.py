@@ -3,6 +3,9 @@
 Token weights are summed by (source, language, topic); the cells are raked in turn to each target marginal; a
 cell's factor, raked over given weight, divided by the largest factor, is the probability with which its documents
 stay. So expected tokens have the raked shares, and no probability is over one. The draw is a hash of the id.
+
+A raked weight is the given one times a factor of each margin. A round sums by source within the cells, and over sources
+only by (language, topic), so that the other two margins are fitted on that small table; no task holds all cells.
 """
 
 from __future__ import annotations
@@ -10,21 +13,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import written
+from catchwater.llm.common import dropped, written
 
 ROUNDS = 12
 POWER = 0.9  # target shares without given targets: shares of tokens to this power
-SENT = 100_000  # cells up to which their table is sent to all tasks; beyond, it is joined by a shuffle
+SENT = 100_000  # rows of a table of cells up to which it is sent to all tasks; beyond, it is joined by a shuffle
 MARGINS = ("source", "lang", "topic")
 
-# Topics, by the first pattern that a text holds.
-TOPICS = (("licence", "(?i)licen[sc]ed under"), ("table", " \\| "), ("listing", "[#*$%&]{3}"))
+# The form of a text, by the first test that holds: SQL over n_symbols, n_digits, n_lines and n_all characters.
+SYMBOLS, DIGITS = r"[{}();=<>#$%&*|/_@^~\[\]]", "[0-9]"
+FORMS = (("code", "20 * n_symbols > n_all"), ("data", "10 * n_digits > n_all"), ("list", "n_lines >= 5 AND n_all < 40 * n_lines"))
+CASES = " ".join(f"WHEN {test} THEN '{name}'" for name, test in FORMS) + " ELSE 'prose'"
 
 
 def topic(text: Column) -> Column:
+    """The form of a text, where no topics are given: code, data, list or prose, by its shares of symbols and digits and the length of its lines."""
+    of = F.struct(
+        F.regexp_count(text, F.lit(SYMBOLS)).alias("n_symbols"), F.regexp_count(text, F.lit(DIGITS)).alias("n_digits"),
+        (F.regexp_count(text, F.lit("\n")) + 1).alias("n_lines"), F.length(text).alias("n_all"),
+    )
+    return F.transform(F.array(of), _form)[0]
+
+
+def _form(x: Column) -> Column:
     out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+    tests = {"code": 20 * x["n_symbols"] > x["n_all"], "data": 10 * x["n_digits"] > x["n_all"], "list": (x["n_lines"] >= 5) & (x["n_all"] < 40 * x["n_lines"])}
+    for name, _ in reversed(FORMS):
+        out = F.when(tests[name], name).otherwise(out)
     return out
 
 
@@ -33,82 +48,119 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def weighed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Source, lang and topic of each row, nulls as 'unknown', and its weight: words of the text, one at least."""
+def weighed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, topic_col: str | None = None, weight_col: str | None = None) -> DataFrame:
+    """Source, lang and topic of each row, nulls as 'unknown', and its weight: words of the text, one at least.
+
+    topic_col and weight_col name given columns instead, such as a classifier's topics or exact token counts; null weights count as one.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c)
-    words = F.greatest(F.size(F.array_remove(F.split(text, "[ \\t-\\r]+"), "")), F.lit(1)).cast("long")
-    return df.select(F.col(id_col).alias("doc_id"), known("source"), known("lang"), topic(text).alias("topic"), words.alias("weight"), *([F.struct("*").alias("__row")] if keep else []))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    words = F.size(F.array_remove(F.split(text, "[ \\t-\\r]+"), ""))
+    weight = F.greatest(F.coalesce(F.col(weight_col), F.lit(1)) if weight_col else words, F.lit(1)).cast("long")
+    own = known(topic_col) if topic_col else topic(text)
+    return df.select(F.col(id_col).alias("doc_id"), known("source").alias("source"), known("lang").alias("lang"), own.alias("topic"), weight.alias("weight"), *([F.struct("*").alias("__row")] if keep else []))
+
 
+def exact(c: Column) -> Column:
+    """For sums that do not depend on the order of rows."""
+    return F.round(c, 15).cast("decimal(38,15)")
 
-def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None = None) -> Column:
-    """The target share of a cell's margin value. given: shares by value; values without one get none."""
+
+def sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT else df.hint("merge")
+
+
+def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None = None) -> DataFrame:
+    """(margin, target): shares that sum to one.
+
+    given: shares by value, in any unit. Values without rows are left out and the rest made to sum to one; values of rows
+    without a share get none. Shares that are negative, or all zero, raise ValueError.
+    """
     if given is not None:
-        whole = sum(given.values())
-        return F.coalesce(F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, v / whole)])[F.col(margin)], F.lit(0.0))
-    raise ValueError("no targets given")
+        if min(given.values(), default=0) < 0 or not sum(given.values()) > 0:
+            raise ValueError(f"the targets of {margin} need shares of zero and more, with one above zero")
+        there = sorted(r[0] for r in cells.where(F.col(margin).isin([*given])).select(margin).distinct().collect())
+        whole = sum(given[v] for v in there) or 1.0
+        share = F.coalesce(F.create_map(*[F.lit(x) for v in there for x in (v, float(given[v] / whole))])[F.col(margin)], F.lit(0.0)) if there else F.lit(0.0)
+        return cells.select(margin).distinct().select(margin, share.alias(f"target_{margin}"))
+    part = written(cells.groupBy(margin).agg(F.sum("tokens").alias("n"), F.first("total").alias("total")).select(margin, F.pow(F.col("n") / F.col("total"), F.lit(POWER)).alias("t")), "shares")
+    norm = float(part.agg(F.sum(exact(F.col("t")))).first()[0] or 1)
+    return part.select(margin, (F.col("t") / F.lit(norm)).alias(f"target_{margin}"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells with w, the raked share. Without targets for a margin, its shares of tokens to the power POWER, made to sum to one.
+    """(source, lang, topic, tokens, factor, probability), written, from cells with tokens. Margins without given targets: their shares of tokens to the power POWER, made to sum to one.
 
-    Each step is a window over one margin of the cell table, summed in decimals so that order does not matter.
+    If the targets leave no cell a weight, all probabilities are zero. No cells give none.
     """
-    at = lambda m: Window.partitionBy(m)
-    total = Window.partitionBy(F.lit(0))
-    exact = lambda c: F.round(c, 15).cast("decimal(38,15)")
-    out = cells.withColumn("tokens_all", F.sum("tokens").over(total))
-    for m in MARGINS:
-        if targets and m in targets:
-            out = out.withColumn(f"target_{m}", targets_of(out, m, targets[m]))
-        else:
-            out = out.withColumn("t", F.pow(F.sum("tokens").over(at(m)) / F.col("tokens_all"), POWER)).withColumn("c", F.count("*").over(at(m)))
-            out = out.withColumn(f"target_{m}", F.col("t") / F.sum(exact(F.col("t") / F.col("c"))).over(total).cast("double")).drop("t", "c")
-    out = out.withColumn("w", F.col("tokens") / F.col("tokens_all"))
+    targets = targets or {}
+    cells = written(cells, "cells")
+    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
+    cells = cells.withColumn("total", total).withColumn("share", F.col("tokens") / total)
+    by = {m: targets_of(cells, m, targets.get(m)) for m in MARGINS}
+    base = written(cells.join(sent(written(by["source"], "sources")), "source"), "cells")
+    lang, form = (written(by[m], m) for m in ("lang", "topic"))
+    pairs = written(base.select("lang", "topic").distinct().join(lang, "lang").join(form, "topic").select("*", F.lit(1.0).alias("b"), F.lit(1.0).alias("c")), "pairs")
+    each = lambda m: Window.partitionBy(m)
+    total_of = lambda value, m: F.sum(exact(value)).over(each(m)).cast("double")
+    fitted = lambda target, now: F.when(now > 0, target / now).otherwise(F.lit(0.0))
+
+    def with_source(pairs: DataFrame) -> DataFrame:
+        at = base.join(sent(pairs.select("lang", "topic", "b", "c")), ["lang", "topic"])
+        return at.withColumn("a", fitted(F.col("target_source"), total_of(F.col("share") * F.col("b") * F.col("c"), "source"))).drop("b", "c")
+
+    before = pairs
     for _ in range(rounds):
-        for m in MARGINS:
-            now = F.sum(exact(F.col("w"))).over(at(m)).cast("double")
-            out = out.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"target_{m}") / now).otherwise(F.lit(0.0)))
-    factor = F.col("w") / (F.col("tokens") / F.col("tokens_all"))
-    out = out.withColumn("factor", factor)
-    return out.withColumn("probability", F.round(F.col("factor") / F.max("factor").over(total), 9)).select(*MARGINS, "tokens", "w", "probability")
+        m = with_source(pairs).groupBy("lang", "topic").agg(F.sum(exact(F.col("a") * F.col("share"))).cast("double").alias("m"))
+        at = m.join(pairs.drop("b"), ["lang", "topic"])
+        at = at.withColumn("b", fitted(F.col("target_lang"), total_of(F.col("m") * F.col("c"), "lang")))
+        at = at.withColumn("c", fitted(F.col("target_topic"), total_of(F.col("m") * F.col("b"), "topic")))
+        new = written(at.select("lang", "topic", "target_lang", "target_topic", "b", "c"), "pairs")
+        if before is not pairs:
+            dropped(before)
+        before, pairs = pairs, new
+    out = with_source(before).join(sent(pairs.select("lang", "topic", "b", "c")), ["lang", "topic"])
+    out = written(out.select(*MARGINS, "tokens", (F.col("a") * F.col("b") * F.col("c")).alias("factor")), "factors")
+    most = out.agg(F.max("factor")).first()[0] or 0.0
+    return out.withColumn("probability", F.coalesce(F.round(F.try_divide(F.col("factor"), F.lit(most)), 9), F.lit(0.0)))
 
 
 def cells_of(df: DataFrame) -> DataFrame:
     return df.groupBy(*MARGINS).agg(F.sum("weight").alias("tokens"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, keep: bool = False) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, dict[str, float]] | None = None, keep: bool = False, topic_col: str | None = None, weight_col: str | None = None) -> DataFrame:
     """(id, source, lang, topic, weight, probability, kept) of every row; keep: with the input row as `__row`.
 
     Rows with equal ids are drawn alike; a null id is drawn as an empty one. An empty table gives no rows.
     """
-    cells = written(rake(cells_of(weighed(df, id_col, text_col)), targets).select(*MARGINS, "probability"), "cells")
-    few = cells.count() <= SENT
-    out = weighed(df, id_col, text_col, keep).join(F.broadcast(cells) if few else cells.hint("merge"), [*MARGINS])
+    cells = rake(cells_of(weighed(df, id_col, text_col, False, topic_col, weight_col)), targets).select(*MARGINS, "probability")
+    out = weighed(df, id_col, text_col, keep, topic_col, weight_col).join(sent(cells), [*MARGINS])
     return out.withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).withColumnRenamed("doc_id", id_col)
 
 
 def _sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS)
-    part = lambda m: f"OVER (PARTITION BY {m})"
-    steps, last = [], "s"
+    ex = lambda x: f"CAST(round({x}, 15) AS DECIMAL(38,15))"
+    steps = []
     for m in MARGINS:
-        steps.append(f"a_{m} AS (SELECT *, pow(sum(tokens) {part(m)} / tokens_all, {POWER}) AS t_{m}, count(*) {part(m)} AS c_{m} FROM {last}), b_{m} AS (SELECT *, t_{m} / CAST(sum(CAST(round(t_{m} / c_{m}, 15) AS DECIMAL(38,15))) OVER () AS DOUBLE) AS target_{m} FROM a_{m})")
-        last = f"b_{m}"
-    steps.append(f"w0 AS (SELECT *, tokens / tokens_all AS w FROM {last})")
-    last = "w0"
+        steps += [f"t_{m} AS (SELECT {m}, pow(sum(tokens) / any_value(total), {POWER}) AS t FROM c GROUP BY {m})", f"g_{m} AS MATERIALIZED (SELECT {m}, t / CAST(sum({ex('t')}) OVER () AS DOUBLE) AS target_{m} FROM t_{m})"]
+    steps.append("p_0 AS (SELECT DISTINCT lang, topic, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM c)")
     for k in range(ROUNDS):
-        for m in MARGINS:
-            steps.append(f"w_{k}_{m} AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens_all, target_source, target_lang, target_topic, w * target_{m} / CAST(sum(CAST(round(w, 15) AS DECIMAL(38,15))) {part(m)} AS DOUBLE) AS w FROM {last})")
-            last = f"w_{k}_{m}"
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, CASE {cases} ELSE 'prose' END AS topic,
-  greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')), 1)::BIGINT AS weight FROM documents),
-c AS (SELECT source, lang, topic, sum(weight)::BIGINT AS tokens FROM d GROUP BY ALL),
-s AS (SELECT *, CAST(sum(tokens) OVER () AS BIGINT) AS tokens_all FROM c),
+        steps += [
+            f"a_{k} AS MATERIALIZED (SELECT source, any_value(target_source) / CAST(sum({ex('tokens / total * b * p.c')}) AS DOUBLE) AS a FROM c JOIN p_{k} p USING (lang, topic) JOIN g_source USING (source) GROUP BY source)",
+            f"m_{k} AS MATERIALIZED (SELECT lang, topic, CAST(sum({ex('a * (tokens / total)')}) AS DOUBLE) AS m FROM c JOIN a_{k} USING (source) GROUP BY lang, topic)",
+            f"b_{k} AS (SELECT m.*, target_lang / CAST(sum({ex('m * c')}) OVER (PARTITION BY lang) AS DOUBLE) AS b FROM m_{k} m JOIN p_{k} USING (lang, topic) JOIN g_lang USING (lang))",
+            f"p_{k + 1} AS MATERIALIZED (SELECT lang, topic, b, target_topic / CAST(sum({ex('m * b')}) OVER (PARTITION BY topic) AS DOUBLE) AS c FROM b_{k} JOIN g_topic USING (topic))",
+        ]
+    return rf"""
+WITH d0 AS (SELECT *, coalesce(text, '') AS t FROM documents),
+d1 AS (SELECT *, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, len(regexp_extract_all(t, '{DIGITS}')) AS n_digits, len(regexp_extract_all(t, '
+')) + 1 AS n_lines, length(t) AS n_all FROM d0),
+d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, CASE {CASES} END AS topic,
+  greatest(len(regexp_extract_all(t, '[^ 	-]+')), 1)::BIGINT AS weight FROM d1),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(weight)::DOUBLE AS tokens, sum(sum(weight)) OVER ()::DOUBLE AS total FROM d GROUP BY source, lang, topic),
 {', '.join(steps)},
-f AS (SELECT source, lang, topic, w / (tokens / tokens_all) AS factor FROM {last}),
+f AS (SELECT source, lang, topic, a * b * p.c AS factor FROM c JOIN a_{ROUNDS - 1} USING (source) JOIN p_{ROUNDS} p USING (lang, topic)),
 p AS (SELECT source, lang, topic, round(factor / max(factor) OVER (), 9) AS probability FROM f)
 SELECT doc_id, source, lang, topic, weight, probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS kept
 FROM d JOIN p USING (source, lang, topic)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from catchwater.llm import bpe, chat, common, media, mixing, neardup, pii, quality, queries, secrets, tokencount, warc
 from catchwater.llm.common import table
@@ -471,6 +472,36 @@ def test_mixing(spark, odd, empty):
     assert ((share / share.sum() - 0.25).abs() < 0.02).all() and out.probability.between(0, 1).all()
 
 
+def test_mixing_targets(spark, odd):
+    none = mixing.mix(odd, targets={"lang": {"xx": 1.0}}).collect()
+    assert len(none) == len(ODD) and all(r["probability"] == 0 and not r["kept"] for r in none)
+    some = mixing.mix(odd, targets={"lang": {"xx": 1.0, "fr": 3}}).collect()
+    assert {r["lang"] for r in some if r["probability"] > 0} == {"fr"}
+    for bad in ({"en": 0.0}, {}, {"en": -1.0, "fr": 2.0}):
+        with pytest.raises(ValueError, match="targets of lang"):
+            mixing.mix(odd, targets={"lang": bad})
+    own = mixing.mix(odd.withColumn("mine", F.lit("law")).withColumn("n", F.lit(7)), topic_col="mine", weight_col="n").collect()
+    assert {(r["topic"], r["weight"]) for r in own} == {("law", 7)}
+
+
+def test_raking_meets_all_margins(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join("w" * r.randrange(1, 90)), r.choice("ab"), r.choice("xyz"), r.choice(["u", "v"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind string")
+    goal = {"source": {"x": 0.5, "y": 0.3, "z": 0.2}, "lang": {"a": 0.6, "b": 0.4}, "topic": {"u": 0.25, "v": 0.75}}
+    out = mixing.mix(df, targets=goal, topic_col="kind").toPandas()
+    for m in goal:
+        share = (out.weight * out.probability).groupby(out[m]).sum()
+        assert all(abs(share[v] / share.sum() - g) < 1e-6 for v, g in goal[m].items())
+    assert out.probability.max() == 1
+
+
+def test_forms_of_texts(spark):
+    t = {"code": "if (a == b) { return f(x); }", "data": "12 34 56 78 from 2020", "list": "a\nb\nc\nd\ne", "prose": "Some words that go on for a while, as prose does."}
+    got = spark.createDataFrame([*t.items()], "k string, t string").select("k", mixing.topic(F.col("t")).alias("f")).collect()
+    assert all(r["k"] == r["f"] for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     import duckdb
