@@ -1,85 +1,139 @@
-"""WARC: writing records of a table, and a Python data source that reads archives.
-
-The reader plans partitions by files, cut at record boundaries found from the headers alone if a file is large;
-filters on record_type, target_uri, record_id, refers_to and payload_bytes are pushed down and tested on the
-parsed header, and the block of a record that fails them, or of any record if `payload` isn't asked for, is
-passed over without being decoded.
+"""WARC: a Python data source that reads and writes archives, and records made of a table of pages.
+
+An archive holds a gzip member for each record (or plain records), and beside it lies an index of the places of its
+records. The reader plans partitions as byte ranges without opening a file; a task looks up the records of its range in
+the index. Filters on record_type, target_uri, record_id, refers_to, content_type, payload_digest and payload_bytes are
+pushed down and tested on the header, of which no more than its own bytes are inflated; the payload of a record that fails
+them, or of any record if `payload` isn't asked for, is passed over by a seek. An archive from elsewhere, without an
+index, is one partition, and is read from its start.
 """
 
 from __future__ import annotations
 
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from catchwater.llm.common import scratch
+from catchwater.llm.common import scratch, small_batches, spread, written
 
 #: Payloads of so many bytes and more are written once; the others repeat.
 REVISIT_BYTES = 1000
-SPLIT = 64 << 20  # bytes of a partition of an uncompressed archive
+SPLIT = 64 << 20  # bytes of a partition of an indexed archive
+SENT = 8 << 20  # bytes of a list of revisits up to which it is sent to all tasks; beyond, it is joined by a shuffle
+STEP = 1 << 10  # bytes that are read and inflated at a time in search of a header's end
+INDEX = ".offsets"  # of an index file: places of records and the end, as 64-bit little-endian numbers
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, content_type string, payload binary"
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "content_type": "content-type"}
 # Fixed value: the profile of a revisit of an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-END = "\r\n\r\n"  # after each record; the text sink writes it as the end of a line
-
-
-def clean(value: Column) -> Column:
-    """A header value on one line."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), "[\\r\\n]+", " ")
+END = b"\r\n\r\n"  # after each record
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """(value): a record for each page as text, without its end.
+    """A record for each page, in the columns of SCHEMA; the payload is null in revisits.
 
     The payload is the html in UTF-8, a null one is empty. Of equal payloads of `least` bytes and more, that of the
     largest id is the response and the others revisit it. A row whose id is null is a response of its own.
     Rows with one id and one payload are one page: the first is the response, and repeated rows of it too.
+
+    Only ids and digests of large payloads are grouped; pages stay where they are unless the revisits are too many to be sent.
     """
-    page = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    page = page.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    large = F.col("size") >= least
-    first = page.where(large).select("digest", "id").groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
-    page = page.join(first, "digest", "left").withColumn("of", F.when(large & (F.col("id") < F.col("original")), F.col("original")))
-    revisit = F.col("of").isNotNull()
+    page = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
+    page = page.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
+    large = written(page.where((F.col("size") >= least) & F.col("id").isNotNull()).select("digest", "id"), "large")
+    first = written(large.groupBy("digest").agg(F.max("id").alias("original"), F.min("id").alias("other")).where("other < original").select("digest", "original"), "first")
+    again = written(spread(large, first, "digest").where("id < original").select("id", "digest", "original").distinct(), "again")
+    again = F.broadcast(again) if again.count() * 64 <= SENT else again.hint("merge")
+    page = page.join(again, ["id", "digest"], "left")
+    revisit = F.col("original").isNotNull()
     uri = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.coalesce(uri(F.col("id")), F.lit("<urn:page:>"))),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", clean(F.col("url")))).otherwise(""),
-        F.when(revisit, F.concat(line("WARC-Refers-To", uri(F.col("of"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        line("X-Payload-Length", F.col("size").cast("string")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
-        F.lit("\r\n"),
+    return page.select(
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.coalesce(uri(F.col("id")), F.lit("<urn:page:>")).alias("record_id"), F.col("url").alias("target_uri"),
+        uri(F.col("original")).alias("refers_to"), F.col("digest").alias("payload_digest"), F.col("size").alias("payload_bytes"), F.lit("text/html; charset=utf-8").alias("content_type"), F.when(~revisit, F.col("html")).alias("payload"),
     )
-    return page.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
-
-
-def write(recs: DataFrame, path: str, compression: str = "none") -> None:
-    """Archives in a folder, by Spark's own file commit: a record is a line that ends as records end. compression: none or gzip."""
-    recs.write.text(path, compression=compression, lineSep=END)
 
 
-def _open(path: str):
-    """A stream of a local or shared path, or of a store that pyarrow knows."""
+def store_of(path: str):
+    """(file system, path in it, what stands before that) of a local or shared path, or of a store that pyarrow knows."""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    if "://" in path:
-        store, path = fs.FileSystem.from_uri(path)
-    else:
-        store = fs.LocalFileSystem()
-    return store.open_input_file(path), store.get_file_info(path).size
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    store, inner = fs.FileSystem.from_uri(path)
+    return store, inner, path[: -len(inner)] if path.endswith(inner) else ""
+
+
+def record_bytes(row: dict) -> bytes:
+    """A record as it stands in an archive; header values are put on one line, and only those that are there."""
+    lines, payload = ["WARC/1.1"], row["payload"] or b""
+    clean = lambda v: " ".join(str(v).splitlines())
+    named = (("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Profile", PROFILE if row["record_type"] == "revisit" else None), ("WARC-Payload-Digest", row["payload_digest"] and "sha1:" + row["payload_digest"]), ("X-Payload-Length", row["payload_bytes"]), ("Content-Type", row["content_type"]), ("Content-Length", len(payload)))
+    lines += [f"{name}: {clean(value)}" for name, value in named if value is not None]
+    return "\r\n".join([*lines, "", ""]).encode("utf-8", "replace") + payload + END
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Each task writes an archive and its index in a folder for what is not yet committed; the commit moves them, so that lost and repeated tasks leave nothing."""
+
+    def __init__(self, options: dict):
+        self.path, self.gzip = options["path"].rstrip("/"), options.get("compression", "gzip") == "gzip"
+
+    def write(self, iterator) -> Written:
+        store, root, _ = store_of(self.path)
+        store.create_dir(f"{root}/_temporary", recursive=True)
+        name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
+        offsets = [0]
+        with store.open_output_stream(f"{root}/_temporary/{name}", compression=None) as out:
+            for batch in iterator:
+                for k in range(0, batch.num_rows, 64):
+                    for row in batch.slice(k, 64).to_pylist():
+                        data = record_bytes(row)
+                        if self.gzip:
+                            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                            data = z.compress(data) + z.flush()
+                        out.write(data)
+                        offsets.append(offsets[-1] + len(data))
+        with store.open_output_stream(f"{root}/_temporary/{name}{INDEX}", compression=None) as out:
+            out.write(np.array(offsets, "<i8").tobytes())
+        return Written([name, name + INDEX])
+
+    def commit(self, messages) -> None:
+        store, root, _ = store_of(self.path)
+        for m in messages:
+            for name in m.files if m else ():
+                store.move(f"{root}/_temporary/{name}", f"{root}/{name}")
+        self.clean(store, root)
+
+    def abort(self, messages) -> None:
+        store, root, _ = store_of(self.path)
+        self.clean(store, root)
+
+    def clean(self, store, root: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/_temporary")
+
+
+def write(recs: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Archives with their indexes in a folder, one of each task. compression: gzip, a member for each record, or none."""
+    small_batches(recs.sparkSession)
+    recs.sparkSession.dataSource.register(WarcSource)
+    recs.write.format("warc").mode("append").option("compression", compression).save(path)
 
 
 class _Raw(io.RawIOBase):
@@ -89,6 +143,15 @@ class _Raw(io.RawIOBase):
     def readable(self):
         return True
 
+    def seekable(self):
+        return True
+
+    def seek(self, offset, whence=0):
+        return self.stream.seek(offset, whence)
+
+    def tell(self):
+        return self.stream.tell()
+
     def readinto(self, b):
         data = self.stream.read(len(b))
         b[: len(data)] = data
@@ -120,37 +183,40 @@ class _Gunzip(io.RawIOBase):
                 return len(out)
 
 
-def headers(f: io.BufferedReader) -> dict[str, str] | None:
-    """The header of the next record, names in lower case; None at the end of the file."""
+def fields(head: bytes) -> dict[str, str]:
+    """The fields of a header, names in lower case. head: its lines, from the version on."""
+    lines = head.split(b"\n")
+    if not lines[0].startswith(b"WARC/"):
+        raise ValueError(f"no WARC record: {head[:40]!r}")
+    out, last = {}, ""
+    for line in lines[1:]:
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in (" ", "\t") and last:
+            out[last] += " " + text.strip()
+        elif text:
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def next_header(f) -> bytes | None:
+    """The lines of the next record's header, without the empty one after them; None at the end of the file."""
     line = f.readline()
-    raw = len(line)
     while line in (b"\r\n", b"\n"):
         line = f.readline()
-        raw += len(line)
     if not line:
         return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"no WARC record: {line[:40]!r}")
-    out, last = {}, ""
-    while True:
+    lines = []
+    while line not in (b"\r\n", b"\n", b""):
+        lines.append(line)
         line = f.readline()
-        raw += len(line)
-        if line in (b"\r\n", b"\n", b""):
-            break
-        text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text[:1] in " \t" and last:
-            out[last] += " " + text.strip()
-            continue
-        name, _, value = text.partition(":")
-        last = name.strip().lower()
-        out[last] = value.strip()
-    out["_raw"] = raw
-    return out
+    return b"".join(lines)
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, start: int, stop: int | None):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, path: str, start: int = 0, stop: int | None = None, indexed: bool = False):
+        self.path, self.start, self.stop, self.indexed = path, start, stop, indexed
 
 
 class WarcReader(DataSourceReader):
@@ -158,6 +224,7 @@ class WarcReader(DataSourceReader):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
         self.split = int(options.get("split", SPLIT))
         self.tests: list = []
+        self.inflated = 0  # bytes that came out of decompression
 
     def pushFilters(self, filters):
         known = (EqualTo, EqualNullSafe, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, IsNotNull)
@@ -170,43 +237,21 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        path = "/" + self.path[5:].lstrip("/") if self.path.startswith("file:") else self.path
-        store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, inner, head = store_of(self.path)
         info = store.get_file_info(inner)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, recursive=True))
-        head = path[: -len(inner)] if "://" in path and path.endswith(inner) else ""
+        names = {f.path for f in files} if info.type != fs.FileType.File else {inner, *([inner + INDEX] if store.get_file_info(inner + INDEX).type == fs.FileType.File else [])}
         spans: list[Span] = []
         for f in sorted(files, key=lambda f: f.path):
-            name = f.path.rsplit("/", 1)[-1]
-            if f.type != fs.FileType.File or name[:1] in "._" or not f.size:
+            hidden = any(part[:1] in ("_", ".") for part in f.path[len(inner) :].split("/"))
+            if f.type != fs.FileType.File or hidden or not f.size or f.path.endswith(INDEX):
                 continue
-            if name.endswith(".gz") or f.size <= self.split:
-                spans.append(Span(head + f.path, 0, None))
-            else:
-                spans += self._cut(head + f.path, f.size)
-        return spans or [Span("", 0, 0)]
-
-    def _cut(self, path: str, size: int) -> list[Span]:
-        """Spans of whole records: only headers are read, blocks are skipped by seeking."""
-        stream, _ = _open(path)
-        cuts, at = [0], 0
-        with stream:
-            while at < size:
-                stream.seek(at)
-                f = io.BufferedReader(_Raw(stream), 4096)
-                raw, line = 0, b"-"
-                length = 0
-                while line not in (b"\r\n", b"\n", b"") or not raw:
-                    line = f.readline()
-                    raw += len(line)
-                    if line.lower().startswith(b"content-length:"):
-                        length = int(line.split(b":", 1)[1])
-                    if not line:
-                        break
-                at += raw + length + len(END)
-                if at - cuts[-1] >= self.split and at < size:
-                    cuts.append(at)
-        return [Span(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
+            if f.path + INDEX not in names:
+                spans.append(Span(head + f.path))
+                continue
+            cuts = [*range(0, f.size, self.split), f.size]
+            spans += [Span(head + f.path, a, b, True) for a, b in zip(cuts, cuts[1:])]
+        return spans or [Span("")]
 
     def _row(self, h: dict[str, str]) -> dict:
         size = h.get("x-payload-length") or h.get("content-length") or "0"
@@ -232,36 +277,75 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def _out(self, row: dict, block: bytes | None) -> tuple:
+        return row["record_type"], row["record_id"], row["target_uri"], row["refers_to"], row["payload_digest"], row["payload_bytes"], row["content_type"], block
+
     def read(self, span: Span) -> Iterator[tuple]:
         if not span.path:
             return
-        stream, size = _open(span.path)
-        with stream:
-            stream.seek(span.start)
-            gz = span.path.endswith(".gz")
-            f = io.BufferedReader(_Gunzip(stream) if gz else _Raw(stream), 1 << 18)
-            left = None if gz or span.stop is None else span.stop - span.start
-            used = 0
-            while left is None or left - used > len(END):
-                h = headers(f)
-                if h is None:
-                    return
-                length = int(h.get("content-length") or 0)
-                row = self._row(h)
-                wanted = self._passes(row)
-                block = f.read(length) if wanted and self.payload else None
-                if block is None:
-                    todo = length
-                    while todo > 0:
-                        todo -= len(f.read(min(todo, 1 << 16))) or todo
-                if left is not None:
-                    used += h["_raw"] + length
-                if wanted:
-                    yield (row["record_type"], row["record_id"], row["target_uri"], row["refers_to"], row["payload_digest"], row["payload_bytes"], row["content_type"], block)
+        store, inner, _ = store_of(span.path)
+        gz = inner.endswith(".gz")
+        with store.open_input_file(inner) as stream:
+            if not span.indexed:
+                yield from self._in_order(io.BufferedReader(_Gunzip(stream) if gz else _Raw(stream), 1 << 18), gz)
+                return
+            with store.open_input_file(inner + INDEX) as index:
+                offsets = np.frombuffer(index.read(), "<i8")
+            f = io.BufferedReader(_Raw(stream), 1 << 16)
+            lo, hi = np.searchsorted(offsets[:-1], (span.start, span.stop))
+            for at, end in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist()):
+                f.seek(at)
+                got = self._member(f, end - at) if gz else self._plain(f)
+                if got:
+                    yield got
+
+    def _member(self, f, size: int) -> tuple | None:
+        """The record of one gzip member: a step at a time up to its header's end, and the rest only if it is wanted."""
+        z, data, taken = zlib.decompressobj(31), b"", 0
+        while (stop := data.find(END)) < 0 and taken < size:
+            held = f.read(min(STEP, size - taken))
+            taken += len(held)
+            while held and data.find(END) < 0:
+                data += z.decompress(held, STEP)
+                held = z.unconsumed_tail
+            tail = held
+        self.inflated += len(data)
+        h = fields(data[:stop])
+        row = self._row(h)
+        if not self._passes(row):
+            return None
+        if not self.payload:
+            return self._out(row, None)
+        length = int(h.get("content-length") or 0)
+        rest = z.decompress(tail + f.read(size - taken)) + z.flush()
+        self.inflated += len(rest)
+        return self._out(row, (data[stop + len(END) :] + rest)[:length])
+
+    def _plain(self, f) -> tuple | None:
+        h = fields(next_header(f) or b"")
+        row = self._row(h)
+        if self._passes(row):
+            return self._out(row, f.read(int(h.get("content-length") or 0)) if self.payload else None)
+        return None
+
+    def _in_order(self, f, gz: bool) -> Iterator[tuple]:
+        """All records of an archive without an index; unwanted payloads are passed over by a seek, or inflated piece by piece and forgotten."""
+        while (head := next_header(f)) is not None:
+            h = fields(head)
+            length, row = int(h.get("content-length") or 0), self._row(h)
+            wanted = self._passes(row)
+            block = f.read(length) if wanted and self.payload else None
+            if block is None and gz:
+                while length > 0:
+                    length -= len(f.read(min(length, 1 << 16))) or length
+            elif block is None:
+                f.seek(length, 1)
+            if wanted:
+                yield self._out(row, block)
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").option("payload", "false").load(path)"""
+    """spark.read.format("warc").option("payload", "false").load(path), and df.write.format("warc") of the same columns."""
 
     @classmethod
     def name(cls):
@@ -273,31 +357,34 @@ class WarcSource(DataSource):
     def reader(self, schema):
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        return WarcWriter(dict(self.options))
+
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """All records of the archives of a folder, or of one file. Filters reach the reader because its session setting is turned on here."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def page_of(uri: Column) -> Column:
+    return F.regexp_extract(uri, "<urn:page:(-?[0-9]*)>", 1).try_cast("bigint")
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "gzip") -> DataFrame:
     """Writes a record for each page and reads the archives back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Length and digest of a response are those of the block that was read, of a revisit those of its header. Repeated
-    rows stay repeated, an empty table gives no rows, other columns are not read.
+    Responses are read with their payloads, whose length and digest are taken; of revisits only headers are read. Repeated
+    rows stay repeated, null ids too, an empty table gives no rows, other columns are not read.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(records(pages, id_col, url_col, html_col), path, compression)
-    back = read(spark, path)
-    stored = F.col("record_type") == "response"
-    return back.select(
-        F.expr("try_cast(regexp_extract(record_id, '<urn:page:(-?[0-9]*)>', 1) AS BIGINT)").alias("page_id"),
-        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        F.expr("try_cast(regexp_extract(refers_to, '<urn:page:(-?[0-9]*)>', 1) AS BIGINT)").alias("refers_to"),
-    )
+    own = [page_of(F.col("record_id")).alias("page_id")]
+    stored = read(spark, path).where("record_type = 'response'").select(*own, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    again = read(spark, path, payload=False).where("record_type = 'revisit'").select(*own, "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    return stored.union(again)
 
 
 ROUND_TRIP_SQL = """

@@ -396,14 +396,34 @@ def test_warc(spark, tmp_path):
     for compression in ("gzip", "none"):
         assert {r[0]: tuple(r[1:]) for r in warc.round_trip(pages, compression=compression).collect()} == want
     warc.write(warc.records(pages).coalesce(1), f"{tmp_path}/w")
-    spark.dataSource.register(warc.WarcSource)
-    cut = spark.read.format("warc").option("split", "700").load(f"{tmp_path}/w")
+    cut = spark.read.format("warc").option("split", "200").load(f"{tmp_path}/w")
     assert cut.count() == 7 and cut.rdd.getNumPartitions() > 1
     assert warc.read(spark, f"{tmp_path}/w").where("record_type = 'revisit'").count() == 1
     assert warc.read(spark, f"{tmp_path}/w", payload=False).where("payload_bytes > 900 AND payload IS NULL").count() == 3
     assert warc.round_trip(pages.limit(0)).count() == 0
     twice = warc.round_trip(pages.union(pages)).groupBy("page_id").count().collect()
     assert {r["count"] for r in twice} == {2}
+    null = spark.createDataFrame([(None, "u", "x" * 1500), (None, "u", "x" * 1500), (4, "u", "x" * 1500), (3, None, "x" * 1500)], "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.round_trip(null).collect())
+    assert got == [("3", "revisit", "4"), ("4", "response", "None"), ("None", "response", "None"), ("None", "response", "None")]
+
+
+def test_warc_skips_payloads(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo
+
+    big = "".join(random.Random(7).choices("abcdefgh <>", k=200_000))
+    pages = spark.createDataFrame([(k, "u", big + str(k // 2)) for k in range(10)], "page_id long, url string, html string")
+    for compression in ("gzip", "none"):
+        path = f"{tmp_path}/{compression}"
+        warc.write(warc.records(pages).coalesce(1), path, compression)
+        for kind, payload, n in (("revisit", "true", 5), ("response", "false", 5), ("response", "true", 5), ("other", "true", 0)):
+            r = warc.WarcReader({"path": path, "payload": payload, "split": "100000"})
+            assert not list(r.pushFilters([EqualTo(("record_type",), kind)]))
+            rows = [row for span in r.partitions() for row in r.read(span)]
+            assert len(rows) == n and all((row[7] is None) == (payload == "false") for row in rows)
+            if compression == "gzip":
+                assert r.inflated < 10 * 4 * warc.STEP or kind == "response" and payload == "true"
+    assert not (tmp_path / "gzip" / "_temporary").exists()
 
 
 def test_warc_reads_members(spark, tmp_path):
