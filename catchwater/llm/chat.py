@@ -2,8 +2,10 @@
 
 A log often holds a conversation again and again, each time with some more turns. The hash of a turn prefix is the
 running sum of hashes of (place, role, text); sums are taken within blocks of turns and then over blocks, so that a
-conversation of any length is spread over tasks. A conversation whose whole hash is the prefix hash of a longer one is
-removed by an anti-join; of equal ones the smallest conv_id stays.
+conversation of any length is spread over tasks. Turns of one number are in the order of a digest, by which even a block
+of many such turns is cut. Prefix hashes are written once, without texts. A prefix that more conversations have than end
+with it is continued by one; an anti-join removes the conversations that are such prefixes; of equal ones the smallest
+conv_id stays.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256  # turns of a block of the running sum
+from catchwater.llm.common import dropped, written
+
+BLOCK = 256  # turn numbers of a block of the running sum
+MANY = 1 << 16  # turns of a block from which it is cut by turn and digest
 PART = 256  # turns of a row of rendered text
 LANE = (1 << 31) - 1  # sums are kept modulo 2^31 in four lanes: those of four billion turns of a block, and of as many blocks, stay within a long
 
@@ -19,22 +24,39 @@ LANE = (1 << 31) - 1  # sums are kept modulo 2^31 in four lanes: those of four b
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def tag(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+
+
 def placed(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, block): place from 1 in the order of turn, then role, then text, nulls first; block by turn."""
+    """(conv_id, place, role, text, block, cut): place from 1 in the order of turn, then of a digest of role and text, nulls first; block by turn, cut by turn and digest where a block has MANY turns."""
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    t = t.withColumn("block", F.expr(f"floor(turn / {BLOCK})"))
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    sizes = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    t = t.withColumns({"block": F.expr(f"floor(turn / {BLOCK})"), "digest": F.md5(F.concat(tag("role"), F.lit("\x1f"), tag("text")))})
+    big = written(t.groupBy("conv_id", "block").count().where(F.col("count") > MANY).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.lit(True).alias("big")), "big")
+    fine = F.struct("turn", F.substring("digest", 1, 3).alias("digits"))
+    if big.isEmpty():
+        t = t.withColumn("cut", F.lit(None).cast("struct<turn:bigint,digits:string>"))
+    else:
+        t = t.join(big, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left").withColumn("cut", F.when(F.col("big"), fine))
+    keys = ["conv_id", "block", "cut"]
+    within = Window.partitionBy(*keys).orderBy("turn", "digest")
+    sizes = t.groupBy(*keys).agg(F.count("*").alias("n"))
+    over = Window.partitionBy("conv_id").orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
     t = t.withColumn("at", F.row_number().over(within))
-    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("conv_id", "block")]
-    return t.alias("t").join(before.alias("b"), same[0] & same[1]).select("t.conv_id", (F.col("before") + F.col("at")).alias("place"), "t.role", "t.text", "t.block")
+    return t.alias("t").join(before.alias("b"), same(keys)).select("t.conv_id", (F.col("before") + F.col("at")).alias("place"), "t.role", "t.text", "t.block", "t.cut")
+
+
+def same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return out
 
 
 def turn_hash(seed: int) -> Column:
     """A 64-bit hash of place, role and text."""
-    tag = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.xxhash64(F.lit(seed), "place", tag(F.col("role")), tag(F.col("text")))
+    return F.xxhash64(F.lit(seed), "place", tag("role"), tag("text"))
 
 
 def lane(c: Column) -> Column:
@@ -42,47 +64,49 @@ def lane(c: Column) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, h1, h2, role, text): hashes of the turns up to each place, each of two sums modulo 2^31."""
+    """(conv_id, place, h1, h2): hashes of the turns up to each place, each of two sums modulo 2^31."""
+    keys = ["conv_id", "block", "cut"]
     t = placed(turns).withColumns({"y1": turn_hash(1), "y2": turn_hash(2)})
-    t = t.select("conv_id", "block", "place", "role", "text", *[c.alias(f"x{2 * k + i}") for k in (0, 1) for i, c in enumerate((lane(F.col(f"y{k + 1}")), F.shiftrightunsigned(f"y{k + 1}", 33)))])
-    sums = t.groupBy("conv_id", "block").agg(*[lane(F.sum(f"x{k}")).alias(f"s{k}") for k in range(4)])
-    over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("conv_id", "block", *[lane(F.coalesce(F.sum(f"s{k}").over(over), F.lit(0))).alias(f"b{k}") for k in range(4)])
-    within = Window.partitionBy("conv_id", "block").orderBy("place")
-    t = t.select("conv_id", "block", "place", "role", "text", *[lane(F.sum(f"x{k}").over(within)).alias(f"r{k}") for k in range(4)])
-    same = F.col("t.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("t.block").eqNullSafe(F.col("b.block"))
+    t = t.select(*keys, "place", *[c.alias(f"x{2 * k + i}") for k in (0, 1) for i, c in enumerate((lane(F.col(f"y{k + 1}")), F.shiftrightunsigned(f"y{k + 1}", 33)))])
+    sums = t.groupBy(*keys).agg(*[lane(F.sum(f"x{k}")).alias(f"s{k}") for k in range(4)])
+    over = Window.partitionBy("conv_id").orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, *[lane(F.coalesce(F.sum(f"s{k}").over(over), F.lit(0))).alias(f"b{k}") for k in range(4)])
+    within = Window.partitionBy(*keys).orderBy("place")
+    t = t.select(*keys, "place", *[lane(F.sum(f"x{k}").over(within)).alias(f"r{k}") for k in range(4)])
     whole = [lane(F.col(f"r{k}") + F.col(f"b{k}")) for k in range(4)]
     h = [F.shiftleft(whole[2 * k], 31).bitwiseOR(whole[2 * k + 1]).alias(f"h{k + 1}") for k in (0, 1)]
-    return t.alias("t").join(before.alias("b"), same).select("t.conv_id", "place", *h, "role", "text")
+    return t.alias("t").join(before.alias("b"), same(keys)).select("t.conv_id", "place", *h)
 
 
 def maximal(pre: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that no longer one continues, one of each group of equal ones."""
-    n = pre.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("e")).select("conv_id", "e.*")
-    whole = n.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    ends = n.select(F.col("conv_id").alias("c"), F.col("place").alias("end"))
-    inner = pre.join(ends, F.col("conv_id").eqNullSafe(F.col("c"))).where("place < end").select("place", "h1", "h2").distinct()
-    return whole.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").alias("n_turns"))
+    """(conv_id, n_turns) of the conversations that no longer one continues, one of each group of equal ones. pre: written prefixes."""
+    key = ["place", "h1", "h2"]
+    ends = pre.groupBy("conv_id").agg(F.max(F.struct(*key)).alias("e")).select("conv_id", "e.*").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("ends"))
+    continued = pre.groupBy(*key).agg(F.count("*").alias("n")).join(ends, key).where("n > ends").select(*key)
+    return ends.join(continued, key, "left_anti").select("conv_id", F.col("place").alias("n_turns"))
 
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, part, text): each maximal conversation as marked turns, PART turns to a row, parts from 0.
 
-    Null roles and texts are rendered as empty. Rows of one conversation with one turn number follow each other by role and
-    text. A null conv_id is a conversation of its own. Repeated rows are turns. No rows give none; other columns are
-    not read.
+    Null roles and texts are rendered as empty. Rows of one conversation with one turn number follow each other by a digest of
+    role and text. A null conv_id is a conversation of its own. Repeated rows are turns. No rows give none; other
+    columns are not read.
     """
-    pre = prefixes(turns)
-    keep = maximal(pre).select(F.col("conv_id").alias("c"), "n_turns")
+    pre = written(prefixes(turns), "prefixes")
+    keep = written(maximal(pre).select(F.col("conv_id").alias("c"), "n_turns"), "maximal")
+    dropped(pre)
+    kept = turns.select("conv_id", "turn", "role", "text").join(keep, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    rows = pre.join(keep, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "n_turns", F.expr(f"int((place - 1) div {PART})").alias("part"), "place", line.alias("line"))
-    return rows.groupBy("conv_id", "n_turns", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("text"))
+    rows = placed(kept).select("conv_id", F.expr(f"int((place - 1) div {PART})").alias("part"), "place", line.alias("line"))
+    parts = rows.groupBy("conv_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("text"))
+    return parts.join(keep, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "n_turns", "part", "text")
 
 
 RENDER_SQL = f"""
 WITH t AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM conversations),
-h AS (SELECT *, md5(coalesce('=' || role, '-') || chr(31) || coalesce('=' || text, '-')) AS x FROM t),
+  SELECT conv_id, turn, role, text, md5(coalesce('=' || role, '-') || chr(31) || coalesce('=' || text, '-')) AS x FROM conversations),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS place FROM t),
 p AS (SELECT *, md5(string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY place)) AS hash, count(*) OVER (PARTITION BY conv_id) AS n FROM h),
 w AS (SELECT min(conv_id) AS conv_id, place AS n_turns, hash FROM p WHERE place = n GROUP BY place, hash),
 k AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = w.n_turns AND p.hash = w.hash AND p.n > p.place))
