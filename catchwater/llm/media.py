@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.llm.common import map_rows, per_row, small_batches, written
+from catchwater.llm.common import map_rows, per_row, small_batches, spread, written
 
 WIDTH, FRAME = 24, 576  # samples of a row and of a frame
 LEAST, MOST = 2048, 32768  # bytes of a chunk
@@ -137,11 +137,12 @@ def read_back(stored: DataFrame) -> DataFrame:
     schema = "medium binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     whole = stored.where("NOT borrows").select("medium", "list", "own", F.lit(None).cast("array<struct<seq:int,data:binary>>").alias("got"))
     lent = stored.where("borrows")
-    places = lent.select("medium", F.col("own.seq").alias("has"), F.posexplode("list").alias("seq", "name")).where(~F.array_contains("has", F.col("seq"))).select("medium", "seq", "name")
+    places = lent.select("medium", F.col("own.seq").alias("has"), F.posexplode("list").alias("seq", "name")).where(~F.array_contains("has", F.col("seq"))).select("name", "medium", "seq")
+    places = written(places, "asked-places")
     asked = written(places.select("name").distinct(), "asked")
     asked = F.broadcast(asked) if asked.count() * 64 <= SENT else asked.hint("merge")
-    lenders = stored.select(F.explode("own").alias("o"), "list").select(F.element_at("list", F.col("o.seq") + 1).alias("name"), F.col("o.data").alias("data")).join(asked, "name", "left_semi")
-    fetched = places.join(lenders, "name").groupBy("medium").agg(F.collect_list(F.struct("seq", "data")).alias("got"))
+    lenders = stored.select(F.explode("own").alias("o"), "list").select(F.element_at("list", F.col("o.seq") + 1).alias("name"), F.col("o.data").alias("data")).join(asked, "name", "left_semi").dropDuplicates(["name"])
+    fetched = spread(places, lenders, "name").groupBy("medium").agg(F.collect_list(F.struct("seq", "data")).alias("got"))
     return map_rows(whole.unionByName(lent.join(fetched, "medium").select("medium", "list", "own", "got")), per_row(each), schema)
 
 
@@ -159,10 +160,10 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = keeper.select(F.col("keeper").alias("id"), "key", "medium")
     placed = written(keeper.select("medium", F.posexplode("list").alias("seq", "name")), "places")
     owner = placed.groupBy("name").agg(F.min(F.struct("medium", "seq")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    lent = placed.join(owner, "name").where("o.medium != medium OR o.seq != seq").groupBy("medium").agg(F.collect_list("seq").alias("lent")).withColumn("keep", F.lit(True)).join(kept, "medium")
-    copies = listed.select("id", "key", "medium").join(keeper.where("n > 1").select("medium", "keeper"), "medium").where("id != keeper").select("id", "key").distinct()
+    lent = spread(placed.select("name", "medium", "seq"), owner, "name").where("o.medium != medium OR o.seq != seq").groupBy("medium").agg(F.collect_list("seq").alias("lent")).withColumn("keep", F.lit(True)).join(kept, "medium")
+    copies = spread(listed.select("medium", "id", "key"), keeper.where("n > 1").select("medium", "keeper"), "medium").where("id != keeper").select("id", "key").distinct()
     odd = written(lent.select("id", "key", "keep", "lent").union(copies.select("id", "key", F.lit(False), F.array().cast("array<int>"))), "odd")
     stored = written(store(base, odd), "chunks")
     back = read_back(stored).dropDuplicates(["medium"])
-    out = listed.select("id", "n_bytes", "medium").join(back, "medium")
+    out = spread(listed.select("medium", "id", "n_bytes"), back, "medium")
     return out.select(F.when(F.col("id") != none, F.col("id")).alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
