@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from catchwater.llm.common import map_rows, per_row, small_batches
 
-MEMO = 250_000  # pre-tokens that a worker remembers; then it starts anew
+MEMO, REMEMBERED = 250_000, 64  # pre-tokens that a worker remembers, then it starts anew; characters of the longest
 
 
 class PerfectHash:
@@ -114,9 +114,11 @@ class Tokenizer:
         memo, out = self.memo, []
         for token in self.split(text or ""):
             if (ids := memo.get(token)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[token] = self.piece(token.encode("utf-8", "surrogatepass"))
+                ids = self.piece(token.encode("utf-8", "surrogatepass"))
+                if len(token) <= REMEMBERED:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[token] = ids
             out += ids
         return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catchwater.llm import bpe, chat, media, mixing, neardup, pii, quality, secrets, tokencount, warc
+from catchwater.llm import base_sql, bpe, chat, media, mixing, neardup, pii, quality, secrets, tokencount, warc
 from catchwater.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,5 +54,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.train(docs)))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_token_counts": op3_token_counts, "op4_secrets": op4_secrets, "op5_near_dedup": op5_near_dedup, "op6_warc": op6_warc, "op7_media": op7_media, "op8_chat": op8_chat, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op5_near_dedup": neardup.FIND_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL}
+# The columns of some of these that SQL can express, so that the two can be held against each other.
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secrets(spark, sf_dir).drop("spans")
+
+
+def pii_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pii(spark, sf_dir).drop("spans")
+
+
+OPERATORS = (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secrets, op5_near_dedup, op6_warc, op7_media, op8_chat, op9_pii, op10_mixing)
+QUERIES = {f.__name__: f for f in (*OPERATORS, quality_statistics, bpe_decoded, secret_bases, pii_bases)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_dedup": neardup.FIND_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op7_media": base_sql.MEDIA_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL,
+    "quality_statistics": base_sql.QUALITY_SQL, "bpe_decoded": base_sql.DECODED_SQL, "secret_bases": base_sql.SECRET_SQL, "pii_bases": base_sql.PII_SQL,
+}

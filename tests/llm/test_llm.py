@@ -483,6 +483,14 @@ def test_chat_sums_do_not_overflow(spark, monkeypatch):
     assert sorted((r["conv_id"], r["part"]) for r in got) == [(6, 0), (6, 1), *((9, k) for k in range(4))]
 
 
+def test_chat_cuts_blocks_of_many_turns(spark, monkeypatch):
+    rows = [(c, None if k % 3 else 5, "user", f"{k}" if k < 30 else "again") for c, n in ((1, 200), (2, 200), (3, 199)) for k in range(n)] + [(None, k, None, None) for k in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(repr, chat.render(df).collect()))
+    monkeypatch.setattr(chat, "MANY", 10)
+    assert sorted(map(repr, chat.render(df).collect())) == want
+
+
 def test_mixing(spark, odd, empty):
     assert ids(mixing.mix(odd)) == ids(odd) and mixing.mix(empty).count() == 0
     docs = table(spark, "/root/testdata/sf0.01", "documents")
