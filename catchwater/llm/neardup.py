@@ -6,10 +6,10 @@ small sets have full sketches. Bands of registers give candidates, the collision
 hopeless ones, and full sets confirm the rest.
 
 Equal sets are one class from the start; only class representatives are compared. A band bucket of up to
-SMALL representatives gives its pairs. In a larger one each representative is first compared with the bucket's hubs,
-which settles groups of near copies. Where a bucket still holds several components, its members form a region; a
-region is dealt into blocks, each pair of blocks compares the registers of members of different components in a task
-of its own, and only pairs whose estimate is hopeful are compared on full sets. No bucket is capped.
+SMALL representatives gives its pairs. Members of larger buckets form regions; a region is dealt into blocks, and each
+pair of blocks is compared in a task of its own, which returns a spanning forest of its links, not the links. In buckets
+of more than a block, members are first compared with the bucket's hubs, and buckets that this leaves with one component are
+settled. Members of one component are not compared again. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ REGISTERS, ROWS = 384, 6  # 64 bands: a pair of exactly 0.75 meets in none with
 MANTISSA = 10
 HOPEFUL = 0.62  # estimate from which full sets are compared: 0.75 less 5.9 standard deviations
 SMALL = 32  # representatives of a bucket that gives its pairs
-BLOCK = 2048  # representatives of a region's block
+BLOCK, BLOCK_CHARS = 1024, 4 << 20  # representatives and characters of a region's block
 MEMO, REMEMBERED = 200_000, 64  # words that a worker remembers, and the characters of the longest
 SENT = 8 << 20  # bytes of a list of ids or buckets up to which it is sent to all tasks
 
@@ -173,26 +173,36 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "da", "db"), each, "a long, b long")
 
 
-def hopeful_pairs(left: np.ndarray, right: np.ndarray, left_roots: np.ndarray, right_roots: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], same: bool):
-    """(i, j) of different components whose estimate is hopeful; same: both sides are one block, and i < j."""
-    for i in range(len(left)):
-        todo = np.flatnonzero(right_roots != left_roots[i])
-        if same:
-            todo = todo[todo > i]
-        n, m = sizes[0][i], sizes[1][todo]
-        todo = todo[np.minimum(n, m) * 100 >= SIMILAR * np.maximum(n, m)]
-        if not len(todo):
-            continue
-        equal = (right[todo] == left[i]).mean(1)
-        for j, e in zip(todo[equal >= HOPEFUL - 0.05], equal[equal >= HOPEFUL - 0.05]):
-            if estimate(e, int(n), int(sizes[1][j])) >= HOPEFUL:
-                yield i, int(j)
+def block_links(ids: list[int], texts: list[str], registers: np.ndarray, roots: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components of the left and the right block, or within the only one."""
+    own: dict[int, np.ndarray] = {}
 
+    def set_of(k: int) -> np.ndarray:
+        if k not in own:
+            own[k] = shingles(texts[k])
+        return own[k]
 
-def region_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of hopeful pairs. rest: (id, root, region), written; docs: (id, n_shingles, registers)."""
-    sized = written(rest.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "regions")
-    at = spread(rest, sized, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    at, found = np.unique(roots, return_inverse=True)[1], []
+    left, other = np.flatnonzero(~right), np.flatnonzero(~right if same else right)
+    for x in left:
+        todo = other[other > x] if same else other
+        todo = todo[at[todo] != at[x]]
+        if not len(todo):
+            continue
+        equal = (registers[todo] == registers[x]).mean(1)
+        hit = equal >= HOPEFUL
+        for y in todo[hit][np.argsort(-equal[hit])]:
+            if at[x] != at[y] and linked(set_of(x), set_of(y)):
+                at[at == at[y]] = at[x]
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+    return found
+
+
+def region_links(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components of a region. rest: (id, root, region), written; docs: (id, text, registers)."""
+    long = rest.join(docs.select("id", F.length("text").alias("chars")), "id")
+    sized = written(long.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks")), "regions")
+    at = spread(rest.select("region", "id", "root"), sized, "region").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = at.select("region", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("id", "root", "region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("right"))
 
@@ -201,13 +211,11 @@ def region_pairs(rest: DataFrame, docs: DataFrame) -> DataFrame:
 
         pdf = pdf.sort_values("id")
         same = bool((pdf["lo"] == pdf["hi"]).all())
-        sides = [pdf, pdf] if same else [pdf[~pdf["right"]], pdf[pdf["right"]]]
-        registers = [np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(len(x), REGISTERS) for x in sides]
-        roots, sizes, ids = ([x[c].to_numpy() for x in sides] for c in ("root", "n_shingles", "id"))
-        found = [sorted((int(ids[0][i]), int(ids[1][j]))) for i, j in hopeful_pairs(*registers, *roots, tuple(sizes), same)]
-        return pd.DataFrame([(b, a) for a, b in found], columns=["a", "b"], dtype="int64")
+        right = np.zeros(len(pdf), bool) if same else pdf["right"].to_numpy(bool)
+        links = block_links(pdf["id"].tolist(), pdf["text"].tolist(), np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(len(pdf), -1), pdf["root"].to_numpy(), right, same)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(docs, "id").groupBy("region", "lo", "hi").applyInPandas(f, "a long, b long").distinct()
+    return dealt.join(docs, "id").groupBy("region", "lo", "hi").applyInPandas(f, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -246,13 +254,13 @@ def survey(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     few = shared.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     of_few = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.b", "p.a")
     large = shared.where(F.col("n") > SMALL)
-    to_hubs = large.groupBy("id").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a != b")
+    to_hubs = large.where(F.col("n") > BLOCK).groupBy("id").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a != b")
     near = written(buckets.where("n = 2").select(F.col("b").alias("a"), F.col("a").alias("b")).union(of_few.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(to_hubs).distinct(), "pairs")
     used = written(near.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct(), "used")
     some = sent(used, 8)
     docs = base.where("text IS NOT NULL").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
-    drawn = named.select("id", "text_key", "n_shingles", "registers").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
-    docs = written(docs.join(drawn, ["id", "text_key"]).select("id", "text", "n_shingles", "registers"), "candidates")
+    drawn = named.select("id", "text_key", "registers").join(some, "id", "left_semi").dropDuplicates(["id", "text_key"])
+    docs = written(docs.join(drawn, ["id", "text_key"]).select("id", "text", "registers"), "candidates")
     links = written(confirm(near, docs), "links")
     twice = named.groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     same_id = keyed.join(twice, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -264,9 +272,8 @@ def survey(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not rest.isEmpty():
             region = components(rest.select(F.col("id").alias("a"), F.col("first").alias("b")), "region")
             members = written(rest.select("id", "root").distinct().join(region.withColumnRenamed("root", "region"), "id", "left").withColumn("region", F.coalesce("region", "id")), "members")
-            pairs = written(region_pairs(members, docs.select("id", "n_shingles", "registers")), "hopeful")
-            joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(confirm(pairs, docs))
-            roots = components(joined, "cc2")
+            more = region_links(members, docs.select("id", "text", "registers"))
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), "cc2")
     final = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     cols = ["id", "text_key", "n_shingles", "set_key"]
     out = spread(keyed.where("set_key IS NOT NULL").select(*cols), final, "set_key", "left")
