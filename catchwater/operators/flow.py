@@ -6,20 +6,21 @@ so rounds grow with the logarithm of the longest way.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchwater.operators.terrain import D8, cell_id, with_neighbours
-from catchwater.scratch import written
+from catchwater.operators.terrain import D8, cell_id, metres, with_neighbours
+from catchwater.scratch import dropped, written
 
 
-def direction(cells: DataFrame, value: str = "filled", resolution: float = 30.0) -> DataFrame:
+def direction(cells: DataFrame, value: str = "filled", resolution: float | str = 30.0) -> DataFrame:
     """cells with direction: the steepest of eight drops, the first in order of those equally steep; -1 where nothing is lower."""
     out = with_neighbours(cells, value)
-    far = [resolution * (sqrt(2.0) if k % 2 else 1.0) for k in range(8)]
-    drop = [F.coalesce(F.when(F.col(f"n{k}") < F.col(value), (F.col(value) - F.col(f"n{k}")) / F.lit(far[k])), F.lit(0.0)) for k in range(8)]
+    far = [metres(resolution) * F.lit(sqrt(2.0) if k % 2 else 1.0) for k in range(8)]
+    drop = [F.coalesce(F.when(F.col(f"n{k}") < F.col(value), (F.col(value) - F.col(f"n{k}")) / far[k]), F.lit(0.0)) for k in range(8)]
     best = F.greatest(*[F.struct(drop[k].alias("g"), F.lit(-k).alias("k")) for k in range(8)])
     out = out.select(*cells.columns, best.alias("_best"))
     return out.select(*cells.columns, F.when(F.col("_best.g") > 0, -F.col("_best.k")).otherwise(-1).cast("int").alias("direction"))
@@ -39,16 +40,27 @@ def indegree(flow: DataFrame) -> DataFrame:
 
 
 def accumulation(flow: DataFrame) -> DataFrame:
-    """flow with acc, the number of cells upstream of each."""
-    e = edges(flow)
-    state = flow.select("scenario", cell_id().alias("id")).join(e.withColumnRenamed("src", "id"), ["scenario", "id"], "left").select("scenario", "id", F.col("dst").alias("next"), F.lit(1).cast("long").alias("n"))
-    state = written(state, "flow")
-    while not state.where("next IS NOT NULL").isEmpty():
-        got = state.where("next IS NOT NULL").groupBy("scenario", F.col("next").alias("id")).agg(F.sum("n").alias("more"))
-        jump = state.select("scenario", F.col("id").alias("next"), F.col("next").alias("after"))
-        state = written(state.join(got, ["scenario", "id"], "left").join(jump, ["scenario", "next"], "left").select("scenario", "id", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow")
-    n = state.select("scenario", F.col("id").alias("_id"), (F.col("n") - 1).alias("acc"))
-    return flow.withColumn("_id", cell_id()).join(n, ["scenario", "_id"]).select(*flow.columns, "acc")
+    """flow with acc, the number of cells upstream of each.
+
+    A cell hands what it has gathered to the cell it points to, and then points twice as far. Cells that point to the end of
+    a way hand on once more and leave, so rounds shrink, and no outlet gathers pointers in a join.
+    """
+    e = edges(flow).select("scenario", F.col("src").alias("id"), F.col("dst").alias("next"))
+    on = e.select("scenario", F.col("id").alias("next"), F.lit(False).alias("end"))
+    active = written(e.join(on, ["scenario", "next"], "left").select("scenario", "id", "next", F.coalesce("end", F.lit(True)).alias("end"), F.lit(1).cast("long").alias("n")), "flow")
+    given = []
+    while not active.isEmpty():
+        got = written(active.groupBy("scenario", F.col("next").alias("id")).agg(F.sum("n").alias("more")), "gathered")
+        given.append(got)
+        jump = active.select("scenario", F.col("id").alias("next"), F.col("next").alias("after"), F.col("end").alias("after_end"))
+        left = active.where("NOT end").join(jump, ["scenario", "next"]).join(got, ["scenario", "id"], "left")
+        new = written(left.select("scenario", "id", F.col("after").alias("next"), F.col("after_end").alias("end"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "flow")
+        dropped(active)
+        active = new
+    if not given:
+        return flow.withColumn("acc", F.lit(0).cast("long"))
+    total = reduce(DataFrame.union, given).groupBy("scenario", F.col("id").alias("_id")).agg(F.sum("more").alias("acc"))
+    return flow.withColumn("_id", cell_id()).join(total, ["scenario", "_id"], "left").select(*flow.columns, F.coalesce("acc", F.lit(0)).alias("acc"))
 
 
 def catchments(flow: DataFrame, points: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwater.functions.geo import RADIUS_M
+from catchwater.operators.hydrology import half_up
 from catchwater.operators.terrain import CELL
 from catchwater.params import Params
 
@@ -76,14 +77,14 @@ def evaluated(thinned: DataFrame, p: Params = Params()) -> DataFrame:
     return thinned.where(F.col("seq") <= 3 * p.max_candidates).withColumn("candidate_id", F.concat(F.lit("C"), F.col("seq").cast("string")))
 
 
-def half_up(x: Column, digits: int) -> Column:
-    k = float(10**digits)
-    return F.floor(x * k + 0.5) / k
+def area_km2() -> Column:
+    """The catchment of a cell with acc, in a grid whose cells have the side `resolution`."""
+    return (F.col("acc") + 1) * (F.col("resolution") * F.col("resolution")) / 1e6
 
 
 def cascade(sites: DataFrame, p: Params = Params(), outside: Column | None = None, excluded: Column | None = None) -> DataFrame:
     """sites with catchment_area_km2, status and rejection_reason: the first filter that fails wins (slope, selection, land use, catchment)."""
-    area = (F.col("acc") + 1) * (p.resolution_m * p.resolution_m) / 1e6
+    area = area_km2() if "resolution" in sites.columns else (F.col("acc") + 1) * (p.resolution_m * p.resolution_m) / 1e6
     no = F.lit(False)
     tests = [
         (F.col("slope_deg") > p.max_slope_deg, "rejected_slope", F.concat(F.lit("Slope "), fixed(F.col("slope_deg"), 1), F.lit(f"° exceeds maximum {p.max_slope_deg}°"))),

@@ -55,7 +55,7 @@ def _step(value: Column, place: str, k: int, w: Window) -> Column:
 
 
 def with_neighbours(cells: DataFrame, value: str = "z") -> DataFrame:
-    """cells with n0..n7, the values of the eight neighbours; null at edges and beside missing cells. Two shuffles."""
+    """cells with n0..n7, the values of the eight neighbours; null at edges. A grid has a row for each cell, also for one without a value. Two shuffles."""
     w = _along("row", "col")
     out = cells.withColumn("_w", _step(F.col(value), "col", -1, w)).withColumn("_e", _step(F.col(value), "col", 1, w))
     side = {-1: "_w", 0: value, 1: "_e"}
@@ -64,8 +64,15 @@ def with_neighbours(cells: DataFrame, value: str = "z") -> DataFrame:
     return out.select(*cells.columns, *[f.alias(f"n{k}") for k, f in enumerate(found)])
 
 
-def slope(cells: DataFrame, value: str = "z", resolution: float = 30.0) -> DataFrame:
+def metres(resolution: float | str) -> Column:
+    """The side of a cell: a number for all grids, or the name of the column that has each grid's own."""
+    return F.col(resolution) if isinstance(resolution, str) else F.lit(float(resolution))
+
+
+def slope(cells: DataFrame, value: str = "z", resolution: float | str = 30.0) -> DataFrame:
     """cells with slope_deg: central differences, one-sided at edges; null where a needed value is null."""
+    resolution = metres(resolution)
+
     def gradient(line: str, place: str) -> Column:
         w = _along(line, place)
         before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
@@ -94,6 +101,22 @@ def cell_id() -> Column:
     return F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")
 
 
+def labelled(pointers: DataFrame) -> DataFrame:
+    """(scenario, id, basin) of the ends of pointers (scenario, id, basin), which are -1 or point to themselves.
+
+    Each round a cell points twice as far. One that has found its end leaves the rounds, so these shrink, and neither -1 nor
+    a basin's lowest cell gathers pointers.
+    """
+    state = pointers.withColumn("done", (F.col("basin") == -1) | (F.col("basin") == F.col("id")))
+    settled, active = [state.where("done")], state.where("NOT done")
+    while not active.isEmpty():
+        to = reduce(DataFrame.union, settled).union(active).select("scenario", F.col("id").alias("basin"), F.col("basin").alias("next"), F.col("done").alias("ended"))
+        new = written(active.drop("done").join(to, ["scenario", "basin"]).select("scenario", "id", F.col("next").alias("basin"), F.col("ended").alias("done")), "basins")
+        settled.append(new.where("done"))
+        active = new.where("NOT done")
+    return reduce(DataFrame.union, settled).drop("done")
+
+
 def fill_depressions(cells: DataFrame, value: str = "z") -> DataFrame:
     """cells with filled: the lowest surface above value from which every cell has a way to the border that never rises.
 
@@ -106,13 +129,7 @@ def fill_depressions(cells: DataFrame, value: str = "z") -> DataFrame:
     lowest = F.least(*[F.struct(F.coalesce(F.col(f"n{k}"), F.col("z")).alias("z"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for k, (dr, dc) in enumerate(D8)], F.struct("z", "row", "col"))
     start = near.select("scenario", cell_id().alias("id"), "z", outside.alias("border"), F.when(outside, F.lit(-1)).otherwise(F.shiftleft(lowest["row"].cast("long"), 32) + lowest["col"]).alias("basin"), *[F.when(F.col(f"n{k}").isNotNull(), F.shiftleft((F.col("row") + dr).cast("long"), 32) + F.col("col") + dc).alias(f"i{k}") for k, (dr, dc) in enumerate(D8[:4])])
     start = written(start, "surface")
-    at = start.select("scenario", "id", "basin")
-    while True:
-        to = at.select("scenario", F.col("id").alias("basin"), F.col("basin").alias("next"))
-        new = written(at.join(to, ["scenario", "basin"], "left").select("scenario", "id", F.coalesce("next", "basin").alias("basin"), (F.coalesce("next", "basin") != F.col("basin")).alias("moved")), "basins")
-        at = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
+    at = labelled(start.select("scenario", "id", "basin"))
     base = start.join(at.withColumnRenamed("basin", "root"), ["scenario", "id"])
     pairs = base.select("scenario", "root", "z", F.explode(F.array(*[f"i{k}" for k in range(4)])).alias("other")).where("other IS NOT NULL")
     side = base.select("scenario", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("z").alias("z2"))
