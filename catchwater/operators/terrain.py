@@ -20,28 +20,32 @@ CELL = ["scenario", "row", "col"]
 
 
 def grid_spec(boxes: DataFrame, p: Params = Params()) -> DataFrame:
-    """scenario, min_x, min_y, max_x, max_y in metres -> origin_x, origin_y, rows, cols, resolution.
+    """scenario, min_x, min_y, max_x, max_y in metres -> origin_x, origin_y, rows, cols, resolution, and the boxes' zone and south, if they have them.
 
-    Each side is padded by a share of the width or height; ten rows and columns at least.
+    Each side is padded by a share of the width or height; ten rows and columns at least. Boxes can ask for a resolution of their own.
     """
+    asked = F.coalesce(F.col("resolution"), F.lit(p.resolution_m)) if "resolution" in boxes.columns else F.lit(p.resolution_m)
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
-    n = lambda side: F.greatest(F.lit(10), F.ceil(side * (1 + 2 * p.padding) / p.resolution_m)).cast("int")
-    return boxes.select("scenario", (F.col("min_x") - w * p.padding).alias("origin_x"), (F.col("max_y") + h * p.padding).alias("origin_y"), n(h).alias("rows"), n(w).alias("cols"), F.lit(p.resolution_m).alias("resolution"))
+    n = lambda side: F.greatest(F.lit(10), F.ceil(side * (1 + 2 * p.padding) / asked)).cast("int")
+    own = [c for c in ("zone", "south") if c in boxes.columns]
+    return boxes.select("scenario", (F.col("min_x") - w * p.padding).alias("origin_x"), (F.col("max_y") + h * p.padding).alias("origin_y"), n(h).alias("rows"), n(w).alias("cols"), asked.alias("resolution"), *own)
 
 
-def coarsen(spec: DataFrame, p: Params = Params()) -> DataFrame:
-    """Where a grid has more than max_cells cells, a coarser resolution: one pass, so it can still slightly exceed that."""
+def coarsen(boxes: DataFrame, p: Params = Params()) -> DataFrame:
+    """The grid of each box; where it would have more than max_cells cells, one of a coarser resolution: one pass, so it can still slightly exceed that. asked is the resolution before."""
+    first = grid_spec(boxes, p)
     total = F.col("rows") * F.col("cols")
     k = F.when(total > p.max_cells, F.sqrt(total / F.lit(float(p.max_cells)))).otherwise(F.lit(1.0))
-    n = lambda c: F.when(k > 1, F.greatest(F.lit(10), F.ceil(F.col(c) / k))).otherwise(F.col(c)).cast("int").alias(c)
-    return spec.select("scenario", "origin_x", "origin_y", n("rows"), n("cols"), (F.col("resolution") * k).alias("resolution"))
+    finer = first.select("scenario", F.col("resolution").alias("asked"), total.alias("asked_cells"), (F.col("resolution") * k).alias("resolution"))
+    return grid_spec(boxes.drop("resolution").join(finer, "scenario"), p).join(finer.drop("resolution"), "scenario")
 
 
 def grid_cells(spec: DataFrame) -> DataFrame:
-    """A row for each cell with its centre."""
+    """A row for each cell with its centre, and what the grid's cells share: resolution, zone and south."""
     rows = spec.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
-    return cells.select(*CELL, (F.col("origin_x") + (F.col("col") + 0.5) * F.col("resolution")).alias("x"), (F.col("origin_y") - (F.col("row") + 0.5) * F.col("resolution")).alias("y"))
+    own = [c for c in ("resolution", "zone", "south") if c in spec.columns]
+    return cells.select(*CELL, (F.col("origin_x") + (F.col("col") + 0.5) * F.col("resolution")).alias("x"), (F.col("origin_y") - (F.col("row") + 0.5) * F.col("resolution")).alias("y"), *own)
 
 
 def _along(line: str, place: str) -> Window:

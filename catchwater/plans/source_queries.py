@@ -116,11 +116,12 @@ def _boxes(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/customer.parquet").groupBy(F.col("c_nationkey").cast("string").alias("scenario")).agg(F.min("c_acctbal").alias("min_x"), F.max("c_acctbal").alias("max_x"), F.min("c_custkey").cast("double").alias("min_y"), F.max("c_custkey").cast("double").alias("max_y"))
 
 
-@query("""WITH s AS (SELECT c_nationkey::VARCHAR AS scenario, greatest(10, ceil((max(c_custkey) - min(c_custkey)) * 1.2::DOUBLE / 30))::INT AS r, greatest(10, ceil((max(c_acctbal) - min(c_acctbal)) * 1.2::DOUBLE / 30))::INT AS c, min(c_acctbal) - (max(c_acctbal) - min(c_acctbal)) * 0.1::DOUBLE AS ox, max(c_custkey) + (max(c_custkey) - min(c_custkey)) * 0.1::DOUBLE AS oy FROM customer GROUP BY 1),
-k AS (SELECT *, CASE WHEN r * c > 2500 THEN sqrt(r * c / 2500.0::DOUBLE) ELSE 1.0::DOUBLE END AS k FROM s), g AS (SELECT scenario, ox, oy, 30.0::DOUBLE * k AS res, CASE WHEN k > 1 THEN greatest(10, ceil(r / k)) ELSE r END::INT AS r, CASE WHEN k > 1 THEN greatest(10, ceil(c / k)) ELSE c END::INT AS c FROM k)
+@query("""WITH s AS (SELECT c_nationkey::VARCHAR AS scenario, (max(c_custkey) - min(c_custkey)) * 1.2::DOUBLE AS h, (max(c_acctbal) - min(c_acctbal)) * 1.2::DOUBLE AS w, min(c_acctbal) - (max(c_acctbal) - min(c_acctbal)) * 0.1::DOUBLE AS ox, max(c_custkey) + (max(c_custkey) - min(c_custkey)) * 0.1::DOUBLE AS oy FROM customer GROUP BY 1),
+n AS (SELECT *, greatest(10, ceil(h / 30)) * greatest(10, ceil(w / 30)) AS n FROM s), k AS (SELECT *, 30.0::DOUBLE * CASE WHEN n > 2500 THEN sqrt(n / 2500.0::DOUBLE) ELSE 1.0::DOUBLE END AS res FROM n),
+g AS (SELECT *, greatest(10, ceil(h / res))::INT AS r, greatest(10, ceil(w / res))::INT AS c FROM k)
 SELECT scenario, a.row::INT AS row, b.col::INT AS col, round(ox + (b.col + 0.5::DOUBLE) * res, 6) AS x, round(oy - (a.row + 0.5::DOUBLE) * res, 6) AS y FROM g, unnest(range(0, r)) a(row), unnest(range(0, c)) b(col)""")
 def grid_cells(spark, d):
-    return terrain.grid_cells(terrain.coarsen(terrain.grid_spec(_boxes(spark, d)))).select("scenario", "row", "col", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return terrain.grid_cells(terrain.coarsen(_boxes(spark, d))).select("scenario", "row", "col", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 TIER = "CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END", "CASE WHEN p_partkey % 5 < 2 THEN p_retailprice + 1 END", "CASE WHEN p_partkey % 7 < 5 THEN p_retailprice + 2 END"

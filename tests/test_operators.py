@@ -208,6 +208,36 @@ def test_linear_surface_is_exact_on_a_plane(spark):
     assert min(p[3] for p in pts) <= min(g["elevation_m"] for g in near) and max(g["elevation_m"] for g in near) <= max(p[3] for p in pts)
 
 
+@pytest.mark.parametrize("spread,n", [(8000, 6), (3000, 60)])
+def test_interpolation_does_not_depend_on_tiles(spark, spread, n):
+    from catchwater.operators import interpolate
+
+    r = random.Random(n)
+    pts = [(r.uniform(0, spread), r.uniform(0, spread)) for _ in range(n)]
+    samples = spark.createDataFrame([(0, x, y, 100 + 0.3 * x - 0.2 * y) for x, y in pts], "scenario int, x double, y double, elevation_m double")
+    spec = spark.createDataFrame([(0, spread * 0.2, spread * 0.8, 7, 7, spread * 0.6 / 7)], "scenario int, origin_x double, origin_y double, rows int, cols int, resolution double")
+    cells = terrain.grid_cells(spec)
+    tiled = {(g["row"], g["col"]): g["elevation_m"] for g in interpolate.interpolate(cells, samples, tile_m=500.0, margin_m=300.0).collect()}
+    whole = {(g["row"], g["col"]): g["elevation_m"] for g in interpolate.interpolate(cells, samples, tile_m=1e5, margin_m=1e5).collect()}
+    assert len(tiled) == 49 and all(abs(tiled[k] - whole[k]) < 1e-9 for k in whole)
+    near = {(g["row"], g["col"]): g["elevation_m"] for g in interpolate.interpolate(cells, samples, "nearest", 500.0, 300.0).collect()}
+    for c in cells.collect():
+        best = min(pts, key=lambda p: (p[0] - c["x"]) ** 2 + (p[1] - c["y"]) ** 2)
+        assert abs(near[c["row"], c["col"]] - (100 + 0.3 * best[0] - 0.2 * best[1])) < 1e-9
+
+
+def test_entities_are_refused_wherever_they_stand():
+    kml = b"<?xml version='1.0'?><!--" + b"x" * 5000 + b"--><!DOCTYPE kml [<!ENTITY a 'b'>]><kml><Placemark><name>5</name></Placemark></kml>"
+    with pytest.raises(ValueError, match="entities"):
+        contours.placemarks(kml)
+    assert len(contours.placemarks(b"<kml><Placemark><name>5 &lt;!ENTITY</name></Placemark></kml>")) == 1
+
+
+def test_skipped_placemarks_are_counted(spark):
+    marks = spark.createDataFrame([("a", 0, None, "5 m", "1,1 2,2", None), ("a", 1, None, "abc", "1,1 2,2", None), ("a", 2, None, "6", "1,1", None), ("a", 3, None, "6", None, None), ("b", None, None, None, None, "bad")], contours.SCHEMA)
+    assert [tuple(r) for r in contours.skipped(marks).collect()] == [("a", 4, 1, 2, 1)]
+
+
 def test_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     one = lambda k, s: spark.createDataFrame([(k, s)], "scenario int, status string")
