@@ -28,3 +28,5 @@ class Params:
     start_year: int = 2015
     fallback_seeds: int = 50
     densify_m: float = 10.0
+    method: str = "linear"  # of interpolation, or "nearest"
+    rain_source: str = "Open-Meteo Historical Weather API"
