@@ -14,6 +14,7 @@ NO_RAIN = "Runoff is unavailable because historical rainfall data could not be r
 NO_AREA = "Runoff is unavailable because no valid catchment area was delineated."
 NO_COEFFICIENT = "Runoff is unavailable because the runoff coefficient must be between 0 and 1."
 NO_RUNOFF = "Pond storage is unavailable because annual runoff could not be estimated."
+POND = "Planning-level storage estimate using the configured retention factor ({:.0%}) and indicative depth."
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -66,7 +67,7 @@ def pond(df: DataFrame, p: Params = Params(), slope: str = "slope_deg") -> DataF
     depth = F.when(F.col(slope) > p.steep_deg, F.lit(p.steep_depth_m)).otherwise(F.lit(p.depth_m))
     storage = q * p.retention
     return df.withColumn("pond_status", F.when(q.isNotNull(), "success").otherwise("unavailable")).withColumn("recommended_depth_m", F.when(q.isNotNull(), depth)).withColumn("estimated_storage_m3", half_up(storage, 2)).withColumn("estimated_surface_area_m2", half_up(storage / depth, 2)).withColumn(
-        "pond_message", F.when(q.isNull(), NO_RUNOFF).otherwise(f"Planning-level storage estimate using the configured retention factor ({p.retention:.0%}) and indicative depth."))
+        "pond_message", F.when(q.isNull(), NO_RUNOFF).otherwise(POND.format(p.retention)))
 
 
 def candidate_volume(df: DataFrame, p: Params = Params()) -> DataFrame:

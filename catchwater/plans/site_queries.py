@@ -285,3 +285,10 @@ def reference_point(spark, d):
     box = surface(spark, d).select("scenario", F.lit(21.0).alias("center_lat"), F.lit(81.0).alias("center_lon")).distinct()
     r = layers.reference_point(sites.cap(sites.score(filtered(spark, d))), box)
     return r.select("scenario", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+@query(f"""WITH RECURSIVE {CAND} SELECT scenario, candidate_id, CASE WHEN slope_deg > 15 THEN 'rejected_slope' WHEN col >= 12 THEN 'rejected_outside_selection' WHEN row % 3 = 0 THEN 'rejected_constraint' WHEN area < 0.005::DOUBLE THEN 'rejected_catchment' ELSE 'accepted' END AS status FROM cand""")
+def selection_cascade(spark, d):
+    """The order of the filters, with given verdicts on selection and land use; analysis_candidates has real ones."""
+    s = sites.evaluated(sites.thin(all_seeds(spark, d)))
+    return sites.cascade(s, outside=F.col("col") >= 12, excluded=F.col("row") % 3 == 0).select("scenario", "candidate_id", "status")

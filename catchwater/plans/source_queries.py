@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catchwater.functions import geo
 from catchwater.operators import layers, terrain
-from catchwater.sources import contours, providers
+from catchwater.sources import contours, payloads, providers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -182,9 +182,36 @@ def exclusion_filter(spark, d):
     return providers.excluded(c, f)
 
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+@query("""WITH e AS (SELECT event_id AS request, event_id % 4 AS k4, (event_id % 500) / 2.0::DOUBLE AS v FROM events), r AS (SELECT *, unnest([0, 1]) AS k FROM e)
+SELECT request, k::INT AS k, CASE WHEN k4 IN (1, 2) THEN NULL WHEN k = 0 THEN v END AS elevation, k4 = 3 AND k = 1 AS moved FROM r""")
 def provider_json(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Elevation responses: whole ones, too short ones, none at all, and ones that name another place than was asked for."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("request"), (F.col("event_id") % 4).alias("k4"), F.expr("(event_id % 500) / 2.0D").alias("v"))
+    at = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    first = F.concat(F.lit('{"results":[{"lat":21.25,"lon":81.5,"elevation":'), F.col("v").cast("string"), F.lit("}"))
+    whole, moved = (F.concat(first, F.lit(f',{{"lat":{lat},"lon":81.75,"elevation":null}}]}}')) for lat in (21.5, 22.5))
+    body = F.when(F.col("k4") == 0, whole).when(F.col("k4") == 1, F.concat(first, F.lit("]}"))).when(F.col("k4") == 2, "<html>").otherwise(moved)
+    return payloads.elevations(e.select("request", F.array(at(21.25, 81.5), at(21.5, 81.75)).alias("points"), body.alias("body")))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS site FROM supplier), d AS (SELECT site, unnest(range(0, 3)) AS i FROM s WHERE site % 5 <> 4)
+SELECT site, strftime(make_date(2020 + i::INT, 6, 1), '%Y-%m-%d') AS date, (site % 7 + i)::DOUBLE AS precipitation_sum FROM d UNION ALL SELECT site, NULL, NULL FROM s WHERE site % 5 = 4""")
+def rain_json(spark, d):
+    """Daily rain responses; lists of different lengths make a record unavailable."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("site"))
+    days = F.lit('"2020-06-01","2021-06-01","2022-06-01"')
+    values = F.concat_ws(",", *[(F.col("site") % 7 + i).cast("string") for i in range(3)])
+    body = F.concat(F.lit('{"daily":{"time":['), days, F.lit('],"precipitation_sum":['), F.when(F.col("site") % 5 == 4, "1").otherwise(values), F.lit("]}}"))
+    return payloads.rain(s.select("site", body.alias("body"))).select("site", F.col("date").cast("string").alias("date"), "precipitation_sum")
+
+
+@query("""WITH w AS (SELECT event_id, user_id, event_id % 3 AS k FROM events), c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END || (user_id % 40) AS key, event_id AS at, k <> 2 AS ok, 'body ' || event_id AS body FROM w)
+SELECT DISTINCT c.key, (SELECT arg_max(x.body, x.at) FROM c x WHERE x.ok AND x.key = c.key) AS body FROM c""")
+def response_cache(spark, d):
+    """The last successful response of each key; failures are never served."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    cache = e.select(F.concat(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"), (F.col("user_id") % 40).cast("string")).alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 3 != 2).alias("ok"), F.concat(F.lit("body "), F.col("event_id").cast("string")).alias("body"))
+    return payloads.cached(cache.select("key").distinct(), cache, "key").select("key", "body")
 
 
 @query("""SELECT c_nationkey AS scenario, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (c_custkey % 180) || '.5,' || (c_custkey % 90) || '.5]},"properties":{"id":' || c_custkey || '}}', ',' ORDER BY c_custkey) || ']}' AS geojson FROM customer GROUP BY 1""")
