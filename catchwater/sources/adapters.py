@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 
 class Unavailable(Exception):
@@ -17,6 +18,21 @@ class Unavailable(Exception):
         self.trip, self.retry = trip, retry
 
 
+def failure(kind: int | str) -> Unavailable:
+    """What a failed call means, from its HTTP status or from 'timeout', 'connect' or 'malformed'.
+
+    A provider that limits or refuses calls is left alone for a while, and one that can't be reached is not asked again at once;
+    a malformed body will not improve on another try.
+    """
+    if kind in (429, 503):
+        return Unavailable(f"HTTP {kind}", trip=True)
+    if kind == "connect":
+        return Unavailable("can't be reached", trip=True, retry=False)
+    if kind == "malformed":
+        return Unavailable("unusable response", retry=False)
+    return Unavailable("timed out" if kind == "timeout" else f"HTTP {kind}")
+
+
 class Deadline:
     """A time budget; each call gets what is left of it, up to a limit."""
 
@@ -71,6 +87,13 @@ def call(name: str, fetch: Callable[[float], list], breaker: Breaker, deadline:
     return None
 
 
-def in_batches(points: list, size: int, fetch: Callable[[list], Iterable]) -> list:
-    """Results in the order of points."""
-    return [x for k in range(0, len(points), size) for x in fetch(points[k : k + size])]
+def in_batches(points: list, size: int, fetch: Callable[[list], Iterable | None], workers: int = 12) -> list:
+    """Results in the order of points, from batches that are fetched at once by some threads; a batch that fails, or answers with another number of results, gives None for each of its points."""
+
+    def one(batch: list) -> list:
+        got = fetch(batch)
+        got = list(got) if got is not None else []
+        return got if len(got) == len(batch) else [None] * len(batch)
+
+    with ThreadPoolExecutor(workers) as pool:
+        return [x for part in pool.map(one, [points[k : k + size] for k in range(0, len(points), size)]) for x in part]

@@ -37,3 +37,30 @@ def test_pace():
 
 def test_batches_keep_order():
     assert A.in_batches([*range(7)], 3, lambda b: [x * 2 for x in b]) == [0, 2, 4, 6, 8, 10, 12]
+
+
+def test_failures_by_status():
+    assert A.failure(429).trip and A.failure(503).trip and A.failure(429).retry
+    assert not A.failure(500).trip and A.failure(500).retry and A.failure("timeout").retry
+    assert A.failure("connect").trip and not A.failure("connect").retry and not A.failure("malformed").retry
+    b = A.Breaker(60, clock=lambda: 0.0)
+
+    def refuse(timeout):
+        raise A.failure(503)
+
+    assert A.call("x", refuse, b, A.Deadline(9, clock=lambda: 0.0)) is None and not b.allows("x")
+
+
+def test_batches_run_at_once_and_keep_order():
+    import threading
+
+    seen, lock, both = [], threading.Lock(), threading.Barrier(2, timeout=20)
+
+    def fetch(batch):
+        if batch[0] < 4:
+            both.wait()
+        with lock:
+            seen.append(batch)
+        return None if batch[0] == 4 else [x * 10 for x in batch][: 1 if batch[0] == 6 else None]
+
+    assert A.in_batches(list(range(9)), 2, fetch) == [0, 10, 20, 30, None, None, None, None, 80] and len(seen) == 5
