@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from catchwater.llm import base_sql, bpe, chat, media, mixing, neardup, pii, quality, secrets, tokencount, warc
+from catchwater.llm import align, base_sql, bpe, chat, media, mixing, neardup, packing, pii, quality, secrets, tokencount, vectorcodes, warc
 from catchwater.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,6 +54,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.train(docs)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, both = table(spark, sf_dir, "documents"), (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(docs, *both, align.links(docs, *both), groups=False)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
 # The columns of some of these that SQL can express, so that the two can be held against each other.
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality_rules(spark, sf_dir).drop("kept", "rule")
@@ -71,9 +84,9 @@ def pii_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pii(spark, sf_dir).drop("spans")
 
 
-OPERATORS = (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secrets, op5_near_dedup, op6_warc, op7_media, op8_chat, op9_pii, op10_mixing)
+OPERATORS = (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secrets, op5_near_dedup, op6_warc, op7_media, op8_chat, op9_pii, op10_mixing, op11_vector_codes, op12_alignment, op13_packing)
 QUERIES = {f.__name__: f for f in (*OPERATORS, quality_statistics, bpe_decoded, secret_bases, pii_bases)}
 ORACLE_SQL: dict[str, str] = {
-    "op5_near_dedup": neardup.FIND_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op7_media": base_sql.MEDIA_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL,
+    "op5_near_dedup": neardup.FIND_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op7_media": base_sql.MEDIA_SQL, "op8_chat": chat.RENDER_SQL, "op10_mixing": mixing.MIX_SQL, "op11_vector_codes": vectorcodes.compress_sql(),
     "quality_statistics": base_sql.QUALITY_SQL, "bpe_decoded": base_sql.DECODED_SQL, "secret_bases": base_sql.SECRET_SQL, "pii_bases": base_sql.PII_SQL,
 }
