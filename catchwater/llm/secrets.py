@@ -1,9 +1,11 @@
 """Secret scans: base patterns, and strings that a primed zstandard dictionary finds novel.
 
-A candidate is a run of 16 or more key characters, mixed of letters and digits or of small and capital letters, with
-a word such as `key` or `secret` close before or after it. It is measured whole, in windows: the novelty of a window is the number of
+A candidate is a run of 16 or more key characters that mixes letters and digits or small and capital letters, or of 20 or more letters
+of one case, with a word such as `key` or `secret` close before or after it, or as a part of it. An equals sign or colon ends it, so
+that in name=value the name is its surroundings. It is measured whole, in windows: the novelty of a window is the number of
 bytes that it adds to the compressed form of what surrounds it, with a dictionary of common code and identifiers
-in place. Prose, paths, repeats and identifiers compress; keys do not. Neighbouring novel windows are one span.
+in place. Prose, paths, repeats and identifiers compress; keys do not. A candidate is reported from its first novel window to its
+last, and on through neighbouring windows that are nearly as novel; letters of one case are reported whole.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]", re.S)
+ONE_CASE = re.compile(r"[a-z]{20,}|[A-Z]{20,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature", re.I | re.A)
+PART = re.compile(r"(?:^|[_-])[a-z]*(?:key|secret|token|passw|credential|auth|bearer|private|signature)[a-z]*[_-]", re.I | re.A)  # within a candidate
 NEAR = 48  # characters before and after a candidate in which a sensitive word counts
 AROUND = 256  # characters before and after a window that count as surroundings
 WINDOW = 48  # characters of a window, about: a longer one would bring an entropy code of its own
 NOVEL = 0.75  # marginal compressed bytes for each character; random strings measure 0.75 to 1.3, identifiers 0.6 to 0.7
+EDGE = 0.68  # the same of windows next to a novel one
+PLAIN = 0.64  # the same of letters of one case: random ones measure 0.6 to 0.8, long words 0.5 to 0.6
 
 # Words that primed surroundings hold.
 PRIMER = (
@@ -57,20 +63,30 @@ class Novelty:
     def size(self, text: str) -> int:
         return len(self.by.compress(text.encode("utf-8", "surrogatepass")))
 
-    def spans(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
-        """The novel stretches of a candidate. A window's surroundings are prose, the text around the candidate without other candidates, and the window before."""
+    def span(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        """The novel stretch of a candidate. A window's surroundings are prose, the text around the candidate without other candidates, and the window before."""
         near = PROSE + CANDIDATE.sub(" ", text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND])
+        one_case = ONE_CASE.fullmatch(text, start, end)
         n = max(1, round((end - start) / WINDOW))
         cuts = [start + (end - start) * k // n for k in range(n + 1)]
-        found: list[tuple[int, int]] = []
+        rate = []
         for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
-            around = near + " " + text[cuts[max(0, k - 1)] : s]
-            if (self.size(around + text[s:e]) - self.size(around)) / (e - s) >= NOVEL:
-                if found and found[-1][1] == s:
-                    found[-1] = found[-1][0], e
-                else:
-                    found.append((s, e))
-        return found
+            before, window = text[cuts[max(0, k - 1)] : s], text[s:e]
+            if one_case:  # the dictionary and prose are in small letters
+                before, window = before.lower(), window.lower()
+            around = near + " " + before
+            rate.append((self.size(around + window) - self.size(around)) / (e - s))
+        novel = [k for k, x in enumerate(rate) if x >= (PLAIN if one_case else NOVEL)]
+        if not novel:
+            return None
+        if one_case:  # it has no parts
+            return start, end
+        first, last = novel[0], novel[-1]
+        while first and rate[first - 1] >= EDGE:
+            first -= 1
+        while last < n - 1 and rate[last + 1] >= EDGE:
+            last += 1
+        return cuts[first], cuts[last + 1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -89,8 +105,12 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
         return found
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if (SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR)) and MIXED.search(m[0]):
-            found += [(a, b, "novel") for a, b in novelty.spans(text, s, e) if not any(x <= a and b <= y for x, y, _ in taken)]
+        if not (MIXED.search(m[0]) or ONE_CASE.fullmatch(m[0])):
+            continue
+        if SENSITIVE.search(text, max(0, s - NEAR), s) or SENSITIVE.search(text, e, e + NEAR) or PART.search(text, s, e):
+            span = novelty.span(text, s, e)
+            if span and not any(x <= span[0] and span[1] <= y for x, y, _ in taken):
+                found.append((*span, "novel"))
     return found
 
 
