@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import sqrt
+from math import pi, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +67,29 @@ def bbox_area_km2(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Co
     return haversine(lat, min_lon, lat, max_lon) * haversine(min_lat, lon, max_lat, lon) / 1e6
 
 
+def drawn_area_m2(ring: Column) -> Column:
+    """The area that a drawn ring (array of structs lon and lat) is shown with: each side counts as a strip up to the pole whose height is the mean of its ends' sines. On the equatorial radius; a side goes the shorter way around."""
+    return F.abs(_over_sides(ring, lambda a, b, turn: turn * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"]))))) * (A * A / 2)
+
+
+def spherical_area_m2(ring: Column) -> Column:
+    """The area within a ring whose sides are great circles, on a sphere of the mean radius: the signed excess of the triangles of each side and the north pole. Of the two parts of the sphere the smaller."""
+
+    def excess(a: Column, b: Column, turn: Column) -> Column:
+        p, q = F.tan(F.radians(90 - a["lat"]) / 2), F.tan(F.radians(90 - b["lat"]) / 2)
+        return 2 * F.atan2(p * q * F.sin(turn), 1 + p * q * F.cos(turn))
+
+    total = F.abs(_over_sides(ring, excess))
+    return F.least(total, F.abs(4 * pi - total)) * (RADIUS_M * RADIUS_M)
+
+
+def _over_sides(ring: Column, f) -> Column:
+    """The sum of f(a, b, turn) over the sides of a ring; turn: from a to b in radians, the shorter way around. 0 for fewer than three vertices."""
+    turn = lambda a, b: F.radians(F.pmod(b["lon"] - a["lon"] + 540, F.lit(360.0)) - 180)
+    total = F.aggregate(F.transform(_edges(ring), lambda e: f(e["a"], e["b"], turn(e["a"], e["b"]))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(ring) >= 3, total).otherwise(0.0)
+
+
 def _edges(ring: Column) -> Column:
     """Consecutive vertices (a, b) of a ring, closed if it is open. A vertex is a struct of x and y."""
     n = F.size(ring)

@@ -186,7 +186,7 @@ def failed(errors: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def analyze_contours(marks: DataFrame, rain: Provider, p: Params = Params(), ways: Provider | None = None) -> DataFrame:
-    """The responses of uploads (see contours.read_uploads), one for each file; files that can't be read are rows with an error.
+    """The responses of uploads (see contours.read_uploads), one for each file; files that can't be read are rows with an error. skipped: how many placemarks of a file are no contours.
 
     ways: from boxes (scenario, min_lon, ...) to (scenario, body) as the provider responds.
     """
@@ -198,7 +198,8 @@ def analyze_contours(marks: DataFrame, rain: Provider, p: Params = Params(), way
     out = respond(spec, grid, found, info, rain, p, lines, payloads.usable(bodies) if ways else None)
     bad = marks.where("error IS NOT NULL").select(F.col("path").alias("scenario"), "error")
     none = marks.where("error IS NULL").select(F.col("path").alias("scenario")).distinct().join(lines.select("scenario").distinct(), "scenario", "left_anti").select("scenario", F.lit("no contour with an elevation and two vertices").alias("error"))
-    return out.unionByName(failed(bad.union(none), out))
+    skipped = contours.skipped(marks).select(F.col("path").alias("scenario"), (F.col("placemarks") - F.col("used")).alias("skipped"))
+    return out.unionByName(failed(bad.union(none), out)).join(skipped, "scenario", "left")
 
 
 def analyze_areas(areas: DataFrame, elevation: Provider, rain: Provider, p: Params = Params(), ways: Provider | None = None) -> DataFrame:
