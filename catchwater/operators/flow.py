@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from math import sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchwater.operators.terrain import D8, cell_id, metres, with_neighbours
@@ -63,16 +63,42 @@ def accumulation(flow: DataFrame) -> DataFrame:
     return flow.withColumn("_id", cell_id()).join(total, ["scenario", "_id"], "left").select(*flow.columns, F.coalesce("acc", F.lit(0)).alias("acc"))
 
 
-def catchments(flow: DataFrame, points: DataFrame) -> DataFrame:
-    """(scenario, pour, row, col) of each cell that flows through a pour point, and of the point itself. points: (scenario, row, col)."""
-    path = written(edges(flow), "edges")
-    own = points.select("scenario", cell_id().alias("id")).distinct().withColumn("pour", F.col("id"))
-    state = written(own, "members")
-    while not path.isEmpty():
-        through = path.join(state.withColumnRenamed("id", "dst"), ["scenario", "dst"]).select("scenario", F.col("src").alias("id"), "pour")
-        state = written(state.union(through).distinct(), "members")
-        path = written(path.alias("a").join(path.alias("b"), (F.col("a.scenario") == F.col("b.scenario")) & (F.col("a.dst") == F.col("b.src"))).select("a.scenario", "a.src", "b.dst"), "edges")
-    return state.select("scenario", "pour", F.shiftright("id", 32).cast("int").alias("row"), F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("col"))
+def tour(flow: DataFrame) -> DataFrame:
+    """(scenario, id, root, first, cells): each cell's place in a walk of its outlet's tree and how many cells follow from there that flow through it, itself included. flow: with acc.
+
+    So a catchment is a range of places. A cell stands after its receiver and those of the receiver's other inflows that come before it, with all of theirs; its place adds
+    up such steps on its way down. Each round a cell's pointer goes twice as far, and cells whose pointer has met one that is placed leave.
+    """
+    size = flow.select("scenario", cell_id().alias("id"), (F.col("acc") + 1).alias("cells"), (F.col("direction") < 0).alias("outlet"))
+    size = written(size, "sizes")
+    before = Window.partitionBy("scenario", "up").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    step = edges(flow).select("scenario", F.col("src").alias("id"), F.col("dst").alias("up")).join(size.drop("outlet"), ["scenario", "id"])
+    step = step.select("scenario", "id", "up", (F.coalesce(F.sum("cells").over(before), F.lit(0)) + 1).alias("first"))
+    ends = size.where("outlet").select("scenario", F.col("id").alias("up"), F.lit(True).alias("ends"))
+    state = written(step.join(ends, ["scenario", "up"], "left").select("scenario", "id", "up", "first", F.coalesce("ends", F.lit(False)).alias("done")), "tour")
+    settled, active = [state.where("done")], state.where("NOT done")
+    while not active.isEmpty():
+        to = reduce(DataFrame.union, settled).union(active).select("scenario", F.col("id").alias("up"), F.col("up").alias("next"), F.col("first").alias("more"), F.col("done").alias("ended"))
+        new = written(active.join(to, ["scenario", "up"]).select("scenario", "id", F.col("next").alias("up"), (F.col("first") + F.col("more")).alias("first"), F.col("ended").alias("done")), "tour")
+        settled.append(new.where("done"))
+        active = new.where("NOT done")
+    placed = reduce(DataFrame.union, settled).select("scenario", "id", F.col("up").alias("root"), "first")
+    placed = placed.union(size.where("outlet").select("scenario", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("first")))
+    return placed.join(size.drop("outlet"), ["scenario", "id"])
+
+
+def catchments(flow: DataFrame, points: DataFrame, block: int = 1024) -> DataFrame:
+    """(scenario, pour, row, col) of each cell that flows through a pour point, and of the point itself. points: (scenario, row, col), nested ones too.
+
+    A catchment is a range in the tour of its outlet's tree, so members come from one join of blocks of places, whatever the catchments' sizes; repeated points count once.
+    """
+    place = written(tour(flow if "acc" in flow.columns else accumulation(flow)), "places")
+    at = points.select("scenario", cell_id().alias("id")).distinct().join(place, ["scenario", "id"])
+    block_of = lambda c: F.floor(c / block)
+    ranges = at.select("scenario", "root", F.col("id").alias("pour"), F.col("first").alias("lo"), (F.col("first") + F.col("cells")).alias("hi"), F.explode(F.sequence(block_of(F.col("first")), block_of(F.col("first") + F.col("cells") - 1))).alias("block"))
+    cells = place.select("scenario", "root", "id", "first", block_of(F.col("first")).alias("block"))
+    found = cells.join(ranges, ["scenario", "root", "block"]).where("first >= lo AND first < hi")
+    return found.select("scenario", "pour", F.shiftright("id", 32).cast("int").alias("row"), F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("col"))
 
 
 def boundary_edges(members: DataFrame) -> DataFrame:

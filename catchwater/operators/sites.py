@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwater.functions.geo import RADIUS_M
+from catchwater.functions.geo import RADIUS_M, haversine
 from catchwater.operators.hydrology import half_up
-from catchwater.operators.terrain import CELL
+from catchwater.operators.terrain import CELL, cell_id
 from catchwater.params import Params
+from catchwater.scratch import written
 
 # The status names and their texts.
 ACCEPTED = "accepted"
@@ -47,29 +50,63 @@ def seed_order() -> list[Column]:
     return [F.col("acc").desc(), F.col("seed_type").asc(), F.col("row").asc(), F.col("col").asc()]
 
 
-def thin(seeds: DataFrame, p: Params = Params()) -> DataFrame:
+def thin(seeds: DataFrame, p: Params = Params(), most: int = 20_000) -> DataFrame:
     """Greedy thinning in seed order: a seed stays if no kept one is nearer than min_distance_m. With seq from 1.
 
-    Each scenario is a group; kept seeds are looked up in bins, so work grows with the seeds.
+    Scenarios of up to `most` seeds are a group each, in which kept seeds are looked up in bins; larger ones are thinned by rounds of joins.
     """
     from math import asin, cos, radians, sin, sqrt
 
     def f(pdf):
         pdf = pdf.sort_values(["acc", "seed_type", "row", "col"], ascending=[False, True, True, True])
-        size = p.min_distance_m / RADIUS_M * 57.29577951308232
+        size = p.min_distance_m * 1.001
         kept, bins = [], {}
         for i, (lat, lon) in enumerate(zip(pdf["latitude"], pdf["longitude"])):
-            wide = max(1, min(1000, int(1 / max(1e-3, cos(radians(lat)))) + 1))
-            b, c = int(lat // size), int(lon // size)
-            near = (o for x in (b - 1, b, b + 1) for y in range(c - wide, c + wide + 1) for o in bins.get((x, y), ()))
-            if all(2 * RADIUS_M * asin(sqrt(sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lat)) * sin(radians(lon - lo) / 2) ** 2)) >= p.min_distance_m for la, lo in near):
+            phi, lam = radians(lat), radians(lon)
+            x, y, z = (int(RADIUS_M * v // size) for v in (cos(phi) * cos(lam), cos(phi) * sin(lam), sin(phi)))  # cubes of that size, so poles and the antimeridian are places like others
+            near = (o for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for c in (z - 1, z, z + 1) for o in bins.get((a, b, c), ()))
+            if all(2 * RADIUS_M * asin(sqrt(sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(phi) * sin(radians(lon - lo) / 2) ** 2)) >= p.min_distance_m for la, lo in near):
                 kept.append(i)
-                bins.setdefault((b, c), []).append((lat, lon))
-        out = pdf.iloc[kept].copy()
-        out["seq"] = range(1, len(out) + 1)
-        return out
+                bins.setdefault((x, y, z), []).append((lat, lon))
+        return pdf.iloc[kept].copy()
+
+    seeds = written(seeds, "seeds")
+    large = written(seeds.groupBy("scenario").count().where(F.col("count") > most).select("scenario"), "large")
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in seeds.schema)
+    if large.isEmpty():
+        kept = seeds.groupBy("scenario").applyInPandas(f, schema)
+    else:
+        kept = seeds.join(large, "scenario", "left_anti").groupBy("scenario").applyInPandas(f, schema)
+        kept = kept.unionByName(thin_in_rounds(written(seeds.join(large, "scenario", "left_semi"), "many"), p))
+    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("scenario").orderBy(*seed_order())))
+
 
-    return seeds.groupBy("scenario").applyInPandas(f, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in seeds.schema) + ", seq int")
+def thin_in_rounds(seeds: DataFrame, p: Params = Params()) -> DataFrame:
+    """The seeds that greedy thinning keeps, without a group by scenario. seeds: a written table with a row for each cell.
+
+    Seeds nearer than min_distance_m are found once, by points on the sphere in cubes of that size. Each round keeps the seeds before which no undecided one near them
+    comes, and drops those near a kept one; pairs with a decided seed leave.
+    """
+    size = p.min_distance_m
+    rank = F.struct((-F.col("acc")).alias("acc"), "seed_type", "row", "col")
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    place = {"px": F.cos(lat) * F.cos(lon), "py": F.cos(lat) * F.sin(lon), "pz": F.sin(lat)}
+    at = seeds.select("scenario", cell_id().alias("id"), rank.alias("rank"), "latitude", "longitude", *[F.floor(RADIUS_M * v / (size * 1.001)).alias(k) for k, v in place.items()])
+    around = F.array(*[F.struct((F.col("px") + i).alias("px"), (F.col("py") + j).alias("py"), (F.col("pz") + k).alias("pz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    later = at.select("scenario", F.col("id").alias("id2"), F.col("rank").alias("rank2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), F.explode(around).alias("c")).select("*", "c.px", "c.py", "c.pz").drop("c")
+    pairs = at.join(later, ["scenario", "px", "py", "pz"]).where(F.col("rank") < F.col("rank2"))
+    pairs = written(pairs.where(haversine(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")) < size).select("scenario", F.col("id").alias("first"), F.col("id2").alias("then")), "near")
+    undecided, kept = at.select("scenario", "id"), []
+    while not undecided.isEmpty():
+        late = pairs.select("scenario", F.col("then").alias("id")).distinct()
+        stay = written(undecided.join(late, ["scenario", "id"], "left_anti"), "kept")
+        kept.append(stay)
+        gone = pairs.join(stay.withColumnRenamed("id", "first"), ["scenario", "first"], "left_semi").select("scenario", F.col("then").alias("id")).distinct()
+        decided = written(stay.union(gone), "decided")
+        undecided = written(undecided.join(decided, ["scenario", "id"], "left_anti"), "undecided")
+        pairs = written(pairs.join(decided.withColumnRenamed("id", "first"), ["scenario", "first"], "left_anti").join(decided.withColumnRenamed("id", "then"), ["scenario", "then"], "left_anti").select("scenario", "first", "then"), "near")
+    ids = reduce(DataFrame.union, kept) if kept else at.select("scenario", "id")
+    return seeds.withColumn("id", cell_id()).join(ids, ["scenario", "id"], "left_semi").drop("id")
 
 
 def evaluated(thinned: DataFrame, p: Params = Params()) -> DataFrame:

@@ -121,24 +121,39 @@ def labelled(pointers: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, settled).drop("done")
 
 
-def fill_depressions(cells: DataFrame, value: str = "z") -> DataFrame:
-    """cells with filled: the lowest surface above value from which every cell has a way to the border that never rises.
+def lowest_ways(passes: DataFrame, most: int) -> list[DataFrame]:
+    """Rounds that contract a graph of passes (scenario, a, b, height; b > a, a of -1: the border), until no scenario has more than `most` of them. Tables (scenario, id, height, up), one of each round, and the passes that are left.
 
-    Each inner cell points to its lowest neighbour or itself; pointer jumping finds basins. The lowest pass between
-    two basins gives a small graph, on which a heap finds each basin's spill height; a scenario's graph is one group.
-    Cells without a value keep none and are border to their neighbours.
+    Each basin takes its lowest pass, ties in order of the basins. Along such ways heights never rise, so those that lead to the border
+    (up: -1) spill at their own height, and the others become one basin, named by the lower one of the two that take the same pass; what is in
+    it spills at its own height or the whole's, whichever is higher.
     """
-    near = with_neighbours(cells.where(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("z")))
-    outside = reduce(lambda a, b: a | b, [F.col(f"n{k}").isNull() for k in range(8)])
-    lowest = F.least(*[F.struct(F.coalesce(F.col(f"n{k}"), F.col("z")).alias("z"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for k, (dr, dc) in enumerate(D8)], F.struct("z", "row", "col"))
-    start = near.select("scenario", cell_id().alias("id"), "z", outside.alias("border"), F.when(outside, F.lit(-1)).otherwise(F.shiftleft(lowest["row"].cast("long"), 32) + lowest["col"]).alias("basin"), *[F.when(F.col(f"n{k}").isNotNull(), F.shiftleft((F.col("row") + dr).cast("long"), 32) + F.col("col") + dc).alias(f"i{k}") for k, (dr, dc) in enumerate(D8[:4])])
-    start = written(start, "surface")
-    at = labelled(start.select("scenario", "id", "basin"))
-    base = start.join(at.withColumnRenamed("basin", "root"), ["scenario", "id"])
-    pairs = base.select("scenario", "root", "z", F.explode(F.array(*[f"i{k}" for k in range(4)])).alias("other")).where("other IS NOT NULL")
-    side = base.select("scenario", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("z").alias("z2"))
-    passes = pairs.join(side, ["scenario", "other"]).where("root != root2").groupBy("scenario", F.least("root", "root2").alias("a"), F.greatest("root", "root2").alias("b")).agg(F.min(F.greatest("z", "z2")).alias("height"))
-    kind = dict(base.dtypes)["z"]
+    rounds = []
+    while True:
+        large = passes.groupBy("scenario").count().where(F.col("count") > most).select("scenario")
+        large = written(large, "large")
+        if large.isEmpty():
+            return [*rounds, passes]
+        active = passes.join(large, "scenario", "left_semi")
+        ends = active.select("scenario", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "a", "b", "height").where("e.id != -1")
+        pick = written(ends.groupBy("scenario", F.col("e.id").alias("id")).agg(F.min(F.struct("height", "a", "b", F.col("e.other").alias("other"))).alias("m")).select("scenario", "id", "m.height", "m.other"), "picked")
+        back = pick.select("scenario", F.col("id").alias("other"), F.col("other").alias("again"))
+        name = F.when((F.col("again") == F.col("id")) & (F.col("id") < F.col("other")), F.col("id")).otherwise(F.col("other"))
+        way = written(pick.join(back, ["scenario", "other"], "left").select("scenario", "id", name.alias("basin")), "ways")
+        up = written(pick.join(labelled(way), ["scenario", "id"]).select("scenario", "id", "height", F.col("basin").alias("up")), "up")
+        rounds.append(up)
+        of = lambda end: up.select("scenario", F.col("id").alias(end), F.col("up").alias(f"up_{end}"))
+        moved = active.join(of("a"), ["scenario", "a"], "left").join(of("b"), ["scenario", "b"], "left").select("scenario", F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b"), "height")
+        moved = moved.where("a != b").groupBy("scenario", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("height").alias("height"))
+        passes = written(passes.join(large, "scenario", "left_anti").select(moved.columns).union(moved), "passes")
+
+
+def spills(passes: DataFrame, most: int = 200_000) -> DataFrame:
+    """(scenario, basin, spill): the height at which each basin of a graph of passes runs over to the border.
+
+    Graphs of up to `most` passes are a group each, solved with a heap; larger ones are first contracted by rounds of joins until they are no larger.
+    """
+    kinds = dict(passes.dtypes)
 
     def spill(pdf):
         import heapq
@@ -162,32 +177,93 @@ def fill_depressions(cells: DataFrame, value: str = "z") -> DataFrame:
         out.insert(0, "scenario", pdf["scenario"].iloc[0])
         return out[out["basin"] != -1]
 
-    levels = passes.groupBy("scenario").applyInPandas(spill, f"scenario {dict(base.dtypes)['scenario']}, basin long, spill {kind}")
+    *rounds, last = lowest_ways(written(passes, "passes"), most)
+    found = last.groupBy("scenario").applyInPandas(spill, f"scenario {kinds['scenario']}, basin long, spill {kinds['height']}")
+    for up in reversed(rounds):
+        whole = found.select("scenario", F.col("basin").alias("up"), "spill")
+        inner = up.join(whole, ["scenario", "up"], "left").select("scenario", F.col("id").alias("basin"), F.greatest("height", "spill").alias("spill"))
+        found = inner.union(found.join(inner.select("scenario", "basin"), ["scenario", "basin"], "left_anti"))
+    return found
+
+
+def fill_depressions(cells: DataFrame, value: str = "z", most: int = 200_000) -> DataFrame:
+    """cells with filled: the lowest surface above value from which every cell has a way to the border that never rises.
+
+    Each inner cell points to its lowest neighbour or itself; pointer jumping finds basins. The lowest pass between
+    two basins gives a small graph, of which `spills` gives each basin's spill height.
+    Cells without a value keep none and are border to their neighbours.
+    """
+    near = with_neighbours(cells.where(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("z")))
+    outside = reduce(lambda a, b: a | b, [F.col(f"n{k}").isNull() for k in range(8)])
+    lowest = F.least(*[F.struct(F.coalesce(F.col(f"n{k}"), F.col("z")).alias("z"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for k, (dr, dc) in enumerate(D8)], F.struct("z", "row", "col"))
+    start = near.select("scenario", cell_id().alias("id"), "z", outside.alias("border"), F.when(outside, F.lit(-1)).otherwise(F.shiftleft(lowest["row"].cast("long"), 32) + lowest["col"]).alias("basin"), *[F.when(F.col(f"n{k}").isNotNull(), F.shiftleft((F.col("row") + dr).cast("long"), 32) + F.col("col") + dc).alias(f"i{k}") for k, (dr, dc) in enumerate(D8[:4])])
+    start = written(start, "surface")
+    at = labelled(start.select("scenario", "id", "basin"))
+    base = start.join(at.withColumnRenamed("basin", "root"), ["scenario", "id"])
+    pairs = base.select("scenario", "root", "z", F.explode(F.array(*[f"i{k}" for k in range(4)])).alias("other")).where("other IS NOT NULL")
+    side = base.select("scenario", F.col("id").alias("other"), F.col("root").alias("root2"), F.col("z").alias("z2"))
+    passes = pairs.join(side, ["scenario", "other"]).where("root != root2").groupBy("scenario", F.least("root", "root2").alias("a"), F.greatest("root", "root2").alias("b")).agg(F.min(F.greatest("z", "z2")).alias("height"))
+    levels = spills(passes, most)
     filled = base.join(levels.withColumnRenamed("basin", "root"), ["scenario", "root"], "left").select("scenario", "id", F.when(F.col("border") | F.col("spill").isNull(), F.col("z")).otherwise(F.greatest("z", "spill")).alias("filled"))
     return cells.withColumn("_id", cell_id()).join(filled.withColumnRenamed("id", "_id"), ["scenario", "_id"], "left").select(*cells.columns, "filled")
 
 
-def fill_gaps(cells: DataFrame, value: str = "elevation_m", reach: int = 8) -> DataFrame:
-    """Null values get that of the nearest cell with one (ties: the smaller row, then col).
+def nearest_in_row(cols: list[int], far: list[int], rows: list[int], wanted: list[int]) -> list[int]:
+    """For each wanted column the index of the nearest candidate: candidate k stands in column cols[k], rising, and row rows[k], `far` rows away. Of those equally far the one with the smaller row, then column.
 
-    Gaps look into the bins of `reach` cells around their own, then in ever larger bins, until all are filled or no value is left.
+    Squared distances of a candidate are a parabola along the row; those that are lowest somewhere, even at one place, are kept from left to right, and wanted columns pass along them.
+    """
+    key = [c * c + f * f for c, f in zip(cols, far)]
+    hull: list[int] = []
+    for k in range(len(cols)):
+        while len(hull) > 1:
+            i, j = hull[-2:]
+            # j is nowhere lowest if k takes over from it strictly before it takes over from i
+            if (key[k] - key[j]) * (cols[j] - cols[i]) >= (key[j] - key[i]) * (cols[k] - cols[j]):
+                break
+            hull.pop()
+        hull.append(k)
+    out, h = [], 0
+    for c in wanted:
+        d = lambda k: (c - cols[k]) ** 2 + far[k] * far[k]
+        while h + 1 < len(hull) and d(hull[h + 1]) < d(hull[h]):
+            h += 1
+        g, best = h, hull[h]
+        while g + 1 < len(hull) and d(hull[g + 1]) == d(best):
+            g += 1
+            best = min(best, hull[g], key=lambda k: (rows[k], cols[k]))
+        out.append(best)
+    return out
+
+
+def fill_gaps(cells: DataFrame, value: str = "elevation_m") -> DataFrame:
+    """Null values get that of the nearest cell with one (ties: the smaller row, then col); a scenario without any keeps its nulls.
+
+    Two passes: windows along columns find the nearest value above and below each cell; then the rows that have gaps are a group each, in which every column's nearest
+    is weighed, in a time that is linear in the row.
     """
-    known = cells.where(F.col(value).isNotNull()).select("scenario", F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v"))
-    gaps, found = cells.where(F.col(value).isNull()).select(*CELL), None
-    usable = known.select("scenario").distinct()
-    gaps = gaps.join(usable, "scenario", "left_semi")
-    while not gaps.isEmpty():
-        near = gaps.select("*", F.explode(F.array(*[F.struct((F.floor(F.col("row") / reach) + i).alias("br"), (F.floor(F.col("col") / reach) + j).alias("bc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b")).select(*CELL, "b.br", "b.bc")
-        bins = known.withColumn("br", F.floor(F.col("r") / reach)).withColumn("bc", F.floor(F.col("c") / reach))
-        d2 = F.pow(F.col("row") - F.col("r"), 2) + F.pow(F.col("col") - F.col("c"), 2)
-        best = near.join(bins, ["scenario", "br", "bc"]).groupBy(*CELL).agg(F.min(F.struct(d2.alias("d2"), "r", "c", "v")).alias("m")).where(F.col("m.d2") <= reach * reach)
-        best = written(best.select(*CELL, F.col("m.v").alias("_near")), "near")
-        found = best if found is None else found.unionByName(best)
-        gaps = written(gaps.join(best, CELL, "left_anti"), "gaps")
-        reach *= 4
-    if found is None:
-        return cells
-    return cells.join(found, CELL, "left").withColumn(value, F.coalesce(value, "_near")).drop("_near")
+    kind = dict(cells.dtypes)
+    above = Window.partitionBy("scenario", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("scenario", "col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(F.col(value).isNotNull(), F.struct("row", F.col(value).alias("v")))
+    near = cells.select(*CELL, value, F.last(known, True).over(above).alias("up"), F.first(known, True).over(below).alias("down"))
+    up, down = F.col("row") - F.col("up.row"), F.col("down.row") - F.col("row")
+    near = near.select(*CELL, value, F.when(F.col("down").isNull() | (up <= down), F.col("up")).otherwise(F.col("down")).alias("at"))
+    gappy = near.where(F.col(value).isNull()).select("scenario", "row").distinct()
+    rows = near.select(*CELL, F.col(value).isNull().alias("gap"), F.col("at.row").alias("r"), F.col("at.v").alias("v")).join(gappy, ["scenario", "row"], "left_semi")
+
+    def row(pdf):
+        pdf = pdf.sort_values("col")
+        have, gap = pdf[pdf["r"].notna()], pdf[pdf["gap"]]
+        if not len(have):
+            return pdf.iloc[:0][[*CELL, "v"]]
+        at = have["r"].astype("int64").tolist()
+        here = int(pdf["row"].iloc[0])
+        best = nearest_in_row(have["col"].tolist(), [abs(r - here) for r in at], at, gap["col"].tolist())
+        return gap[CELL].assign(v=have["v"].to_numpy()[best])
+
+    found = rows.groupBy("scenario", "row").applyInPandas(row, f"scenario {kind['scenario']}, row int, col int, v {kind[value]}").withColumnRenamed("v", "_near")
+    return cells.join(found, CELL, "left").withColumn(value, F.coalesce(value, "_near")).select(cells.columns)
 
 
 def segments(vertices: DataFrame) -> DataFrame:
