@@ -4,12 +4,16 @@ Token weights are summed by (source, language, topic); the cells are raked in tu
 cell's factor, raked over given weight, divided by the largest factor, is the probability with which its documents
 stay. So expected tokens have the raked shares, and no probability is over one. The draw is a hash of the id.
 
-A raked weight is the given one times a factor of each margin. A round sums by source within the cells, and over sources
+Up to SENT cells are raked on the driver: their number is counted first, and each is a row of four values. More are raked by rounds of
+joins, with the same result. A raked weight is the given one times a factor of each margin. A round sums by source within the cells, and over sources
 only by (language, topic), so that the other two margins are fitted on that small table; no task holds all cells.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from catchwater.llm.common import dropped, written
 
 ROUNDS = 12
 POWER = 0.9  # target shares without given targets: shares of tokens to this power
-SENT = 100_000  # rows of a table of cells up to which it is sent to all tasks; beyond, it is joined by a shuffle
+SENT = 100_000  # rows of a table of cells up to which it is raked on the driver and sent to all tasks; beyond, it is raked and joined by shuffles
 MARGINS = ("source", "lang", "topic")
 
 # The form of a text, by the first test that holds: SQL over n_symbols, n_digits, n_lines and n_all characters.
@@ -77,8 +81,6 @@ def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None = N
     without a share get none. Shares that are negative, or all zero, raise ValueError.
     """
     if given is not None:
-        if min(given.values(), default=0) < 0 or not sum(given.values()) > 0:
-            raise ValueError(f"the targets of {margin} need shares of zero and more, with one above zero")
         there = sorted(r[0] for r in cells.where(F.col(margin).isin([*given])).select(margin).distinct().collect())
         whole = sum(given[v] for v in there) or 1.0
         share = F.coalesce(F.create_map(*[F.lit(x) for v in there for x in (v, float(given[v] / whole))])[F.col(margin)], F.lit(0.0)) if there else F.lit(0.0)
@@ -88,11 +90,70 @@ def targets_of(cells: DataFrame, margin: str, given: dict[str, float] | None = N
     return part.select(margin, (F.col("t") / F.lit(norm)).alias(f"target_{margin}"))
 
 
+def exact_sum(values) -> float:
+    """The sum that `exact` gives, which does not depend on the order."""
+    return float(sum((Decimal(repr(float(v))).quantize(Decimal("1e-15"), ROUND_HALF_UP) for v in values), Decimal(0)))
+
+
+def raked(cells: dict[tuple[str, str, str], int], targets: dict[str, dict[str, float]], rounds: int) -> dict[tuple[str, str, str], float]:
+    """The factors of cells (source, lang, topic) with tokens: the rounds of `rake` on a table in memory."""
+    total = float(sum(cells.values()) or 1)
+    share = {k: n / total for k, n in cells.items()}
+    aim = []
+    for k, m in enumerate(MARGINS):
+        tokens: dict[str, int] = defaultdict(int)
+        for key, n in cells.items():
+            tokens[key[k]] += n
+        if m in targets:
+            whole = sum(targets[m].get(v, 0.0) for v in sorted(tokens)) or 1.0
+            aim.append({v: float(targets[m].get(v, 0.0) / whole) for v in tokens})
+        else:
+            power = {v: (n / total) ** POWER for v, n in tokens.items()}
+            norm = exact_sum(power.values()) or 1.0
+            aim.append({v: x / norm for v, x in power.items()})
+
+    def fitted(k: int, weights: dict[tuple, float]) -> dict[str, float]:
+        of = defaultdict(list)
+        for key, x in weights.items():
+            of[key[k]].append(x)
+        now = {v: exact_sum(xs) for v, xs in of.items()}
+        return {v: aim[k][v] / n if n > 0 else 0.0 for v, n in now.items()}
+
+    b, c, a = dict.fromkeys(aim[1], 1.0), dict.fromkeys(aim[2], 1.0), {}
+    for _ in range(rounds):
+        a = fitted(0, {key: x * b[key[1]] * c[key[2]] for key, x in share.items()})
+        of = defaultdict(list)
+        for key, x in share.items():
+            of[key[1:]].append(a[key[0]] * x)
+        m = {("", *key): exact_sum(xs) for key, xs in of.items()}
+        b = fitted(1, {key: x * c[key[2]] for key, x in m.items()})
+        c = fitted(2, {key: x * b[key[1]] for key, x in m.items()})
+    return {key: a[key[0]] * b[key[1]] * c[key[2]] for key in share} if rounds else dict.fromkeys(share, 1.0)
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, factor, probability), written, from cells with tokens. Margins without given targets: their shares of tokens to the power POWER, made to sum to one.
+    """(source, lang, topic, tokens, factor, probability), from cells with tokens. Margins without given targets: their shares of tokens to the power POWER, made to sum to one.
 
-    If the targets leave no cell a weight, all probabilities are zero. No cells give none.
+    If the targets leave no cell a weight, all probabilities are zero. No cells give none. Targets that can't all be met: after `rounds` rounds the topics' are met,
+    the sources' and languages' as nearly as the last round left them.
     """
+    for m, given in (targets or {}).items():
+        if min(given.values(), default=0) < 0 or not sum(given.values()) > 0:
+            raise ValueError(f"the targets of {m} need shares of zero and more, with one above zero")
+    cells = written(cells, "cells")
+    if cells.count() > SENT:
+        return rake_by_joins(cells, targets, rounds)
+    got = {tuple(r[m] for m in MARGINS): r["tokens"] for r in cells.select(*MARGINS, "tokens").collect()}
+    dropped(cells)
+    factor = raked(got, targets or {}, rounds)
+    most = max(factor.values(), default=0.0)
+    rows = [(*key, got[key], float(f), float(f / most) if most else 0.0) for key, f in factor.items()]
+    out = cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, tokens long, factor double, probability double")
+    return out.withColumn("probability", F.round("probability", 9))
+
+
+def rake_by_joins(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """`rake` for any number of cells."""
     targets = targets or {}
     cells = written(cells, "cells")
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
@@ -157,7 +218,8 @@ WITH d0 AS (SELECT *, coalesce(text, '') AS t FROM documents),
 d1 AS (SELECT *, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, len(regexp_extract_all(t, '{DIGITS}')) AS n_digits, len(regexp_extract_all(t, '
 ')) + 1 AS n_lines, length(t) AS n_all FROM d0),
 d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, CASE {CASES} END AS topic,
-  greatest(len(regexp_extract_all(t, '[^ 	-]+')), 1)::BIGINT AS weight FROM d1),
+  greatest(len(regexp_extract_all(t, '[^ 	-
+]+')), 1)::BIGINT AS weight FROM d1),
 c AS MATERIALIZED (SELECT source, lang, topic, sum(weight)::DOUBLE AS tokens, sum(sum(weight)) OVER ()::DOUBLE AS total FROM d GROUP BY source, lang, topic),
 {', '.join(steps)},
 f AS (SELECT source, lang, topic, a * b * p.c AS factor FROM c JOIN a_{ROUNDS - 1} USING (source) JOIN p_{ROUNDS} p USING (lang, topic)),

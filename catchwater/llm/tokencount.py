@@ -8,10 +8,12 @@ they are first reached; a transition holds the next state and the change of the
 A transition picks the one token that ends here and that is compatible with the token before it: two tokens are
 compatible if the merges give just them for their joined symbols.
 
-A text is a sequence of chunks, and a chunk is a map from states to (state, count). At the end of a word only the start
-state can be reached, so the map of a whole word is one entry, and maps of words compose by adding. A word over CHUNK
-symbols is cut inside: each of its chunks is run from every state that can be reached at its cut, whatever comes before
-it, and the maps are composed pairwise, level by level (see `scan`).
+A text is a sequence of chunks, and a chunk is a map from states to (state, count). Chunks of a text are cut inside words, at every SPAN-th of
+them: a chunk's head ends the word that its left neighbour has begun, so its map is over the states that can be reached there. Maps are
+made for each chunk alone and composed by a parallel prefix scan, whose last map, from the start state, has the text's count; the
+others have the counts up to their cuts. What a whole word inside a chunk adds is remembered, since after each word only the
+start state can be reached. A word over CHUNK symbols is cut the same way: each of its chunks is run from every state
+that can be reached at its cut, whatever comes before it.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +36,7 @@ FINAL = 256  # added to a byte that ends a word
 MEMO = 300_000  # words that a worker remembers
 TABLE = 1_000_000  # transitions that a worker holds before it compiles anew
 CHUNK = 64  # symbols of a chunk of a long word, and the longest word that is remembered
+SPAN = 128  # words of a chunk of a text
 BLOCK = 1024  # chunks that are composed at once, so that a word of any length takes bounded memory
 LONG = 1 << 20  # characters from which the words of a text are not listed but passed one by one
 
@@ -153,7 +158,6 @@ class Transducer:
 
     def word(self, data: bytes) -> int:
         """Tokens of a word that is not empty."""
-        self.trimmed(self.START)
         if len(data) <= CHUNK:
             return self.run(self.START, [*data[:-1], data[-1] + FINAL])[1]
         state, total = self.START, 0
@@ -166,7 +170,7 @@ class Transducer:
         return total
 
 
-Map = dict[int, tuple[int, int]]  # entry state: (exit state, tokens)
+Map = dict  # entry state: (exit state, tokens)
 
 
 def chunk_maps(machine: Transducer, chunks: list[tuple[bytes, bool]], entry: int) -> list[Map]:
@@ -197,6 +201,15 @@ def composed(first: Map, then: Map) -> Map:
     return {state: (then[mid][0], n + then[mid][1]) for state, (mid, n) in first.items()}
 
 
+def prefixes(maps: list[Map]) -> list[Map]:
+    """The maps of the first chunk, the first two, and so on, by a scan of a logarithmic number of levels: on each, every map is composed with the one `step` before it, all of them independently."""
+    step = 1
+    while step < len(maps):
+        maps = [composed(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
+        step *= 2
+    return maps
+
+
 def scan(maps: list[Map]) -> Map:
     """The map of all chunks one after the other: neighbours are composed in pairs, on a level all of them independently, until one is left."""
     while len(maps) > 1:
@@ -253,9 +266,10 @@ class Counter:
             split = self.rare
         return split.findall(text) if len(text) < LONG else (m[0] for m in split.finditer(text))
 
-    def plain(self, text: str) -> int:
+    def whole(self, words: list[str]) -> int:
+        """Tokens of words, each from the start state to the start state."""
         memo, total = self.memo, 0
-        for w in self.words(text):
+        for w in words:
             if (n := memo.get(w)) is None:
                 n = self.machine.word(w.encode("utf-8", "surrogatepass"))
                 if len(w) <= CHUNK:
@@ -265,6 +279,40 @@ class Counter:
             total += n
         return total
 
+    def maps(self, words: Iterator[str]) -> Iterator[Map]:
+        """A map for each chunk of a text. States are given by their keys, which stay valid when the machine starts anew."""
+        machine, start = self.machine, ((0, -1, 0),)
+        entry, head, later = start, b"", [*islice(words, SPAN)]
+        while True:
+            here, later = later, [*islice(words, SPAN)]
+            n = 0
+            if head:  # the rest of a word that the chunk before has begun
+                n += machine.run(machine.state(entry), [*head[:-1], head[-1] + FINAL])[1]
+            cut = here[-1].encode("utf-8", "surrogatepass") if later else b""
+            n += self.whole(here[:-1] if later else here)
+            tail = cut[: min(len(cut) // 2, CHUNK)]
+            if len(cut) > 2 * CHUNK:  # such a word has chunks of its own
+                n, tail, cut = n + machine.word(cut), b"", b""
+            state, more = machine.run(machine.START, tail)
+            exit = machine.keys[state]
+            yield {entry: (exit, n + more)}
+            if not later:
+                return
+            entry, head = exit, cut[len(tail) :]
+
+    def plain(self, text: str) -> int:
+        """The count of a text without special strings, through the maps of its chunks, BLOCK of them at a time."""
+        maps, state, total = self.maps(iter(self.words(text))), ((0, -1, 0),), 0
+        while part := [*islice(maps, BLOCK)]:
+            self.machine.trimmed(self.machine.START)
+            state, n = scan(part)[state]
+            total += n
+        return total
+
+    def cuts(self, text: str) -> list[int]:
+        """The tokens of a text without special strings up to the cut behind each of its chunks; the last is its count. A token that a cut goes through counts where it ends."""
+        return [m[((0, -1, 0),)][1] for m in prefixes([*self.maps(iter(self.words(text)))])]
+
     def __call__(self, text: str | None) -> int:
         """Special strings inside a text are one token each, as the library has it by default."""
         if not text:

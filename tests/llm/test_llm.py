@@ -111,6 +111,30 @@ def test_long_words_take_bounded_tables(monkeypatch):
     assert c(w + " and more " + w) == 2 * want + c("and more")
 
 
+def test_counts_come_through_chunk_maps(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, t = Tokenizer.from_file(path), max(texts.values(), key=len).replace("<|", "")
+    made = []
+    for span in (1, 2, 7, 128):
+        monkeypatch.setattr(tokencount, "SPAN", span)
+        c = tokencount.Counter(path)
+        scan = tokencount.scan
+        monkeypatch.setattr(tokencount, "scan", lambda maps, f=scan: (made.append(len(maps)), f(maps))[1])
+        cuts = c.cuts(t)
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        assert c(t) == cuts[-1] == n and cuts == sorted(cuts) and len(cuts) == max(1, -(-len([*c.words(t)]) // span))
+        maps = [*c.maps(iter(c.words(t)))]
+        assert sum(v for m in maps for _, v in m.values()) == n and sum(k != ((0, -1, 0),) for m in maps for k in m) >= (len(maps) - 1) // 2
+        monkeypatch.setattr(tokencount, "scan", scan)
+    assert max(made) > 5
+    for x in ["", "a", "ab " * 300, "x" * 1000 + " y", ("q" * 300 + " ") * 5]:
+        for span in (1, 3):
+            monkeypatch.setattr(tokencount, "SPAN", span)
+            assert tokencount.Counter.__call__(c, x) == len(lib.encode(x, add_special_tokens=False).ids)
+
+
 def test_token_counts_on_rare_characters():
     from tokenizers import Tokenizer
 
@@ -559,6 +583,18 @@ def test_raking_meets_all_margins(spark):
     assert out.probability.max() == 1
 
 
+def test_raking_by_joins_equals_that_in_memory(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    goal = {"lang": {"en": 1, "de": 3, "xx": 1}, "topic": {"prose": 0.7, "list": 0.3}}
+    for targets in (None, goal, {"source": {"none": 1.0}}):
+        few = sorted(map(tuple, mixing.mix(docs, targets=targets).select("doc_id", "probability", "kept").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "SENT", 0)
+            many = sorted(map(tuple, mixing.mix(docs, targets=targets).select("doc_id", "probability", "kept").collect()))
+        assert len(few) == 200 and all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-9 and a[2] == b[2] for a, b in zip(few, many))
+        assert any(x[2] for x in few) != (targets == {"source": {"none": 1.0}})
+
+
 def test_forms_of_texts(spark):
     t = {"code": "if (a == b) { return f(x); }", "data": "12 34 56 78 from 2020", "list": "a\nb\nc\nd\ne", "prose": "Some words that go on for a while, as prose does."}
     got = spark.createDataFrame([*t.items()], "k string, t string").select("k", mixing.topic(F.col("t")).alias("f")).collect()
