@@ -104,6 +104,49 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return ~on & (hits % 2 == 1)
 
 
+def in_selection(x: Column, y: Column, ring: Column) -> Column:
+    """Strictly inside a drawn ring, which may cross itself: where the ring winds around in the direction in which it passes its highest corner. So of a bow-tie the lobe with the highest corner counts, and what is wound around twice counts once.
+
+    The same as `in_ring` for rings whose sides don't cross. Points on a side are outside.
+    """
+    cross = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+    sides = _edges(ring)
+    on = F.exists(sides, lambda e: (cross(e["a"], e["b"]) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
+    up = F.size(F.filter(sides, lambda e: (e["a"]["y"] <= y) & (e["b"]["y"] > y) & (cross(e["a"], e["b"]) > 0)))
+    down = F.size(F.filter(sides, lambda e: (e["b"]["y"] <= y) & (e["a"]["y"] > y) & (cross(e["a"], e["b"]) < 0)))
+    return ~on & (F.signum((up - down).cast("double")) == F.signum(_turn_at_top(ring)))
+
+
+def _distinct(ring: Column) -> Column:
+    """A ring without vertices that repeat the one before; open."""
+    return F.transform(F.filter(_edges(ring), lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"])), lambda e: e["a"])
+
+
+def _one_way(ring: Column) -> Column:
+    """The sides of a ring that are not passed the other way as well."""
+    sides = F.filter(_edges(ring), lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
+    return F.array_except(sides, F.transform(sides, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))))
+
+
+def _turn_at_top(ring: Column) -> Column:
+    """Over 0 if the ring turns left at its highest corner (of several the one with the greatest x), under 0 if right. Spikes don't count; where one hides the turn, the sign of the area between all sides does."""
+    sides = _one_way(ring)
+    top = F.array_max(F.transform(sides, lambda e: F.struct(e["a"]["y"].alias("y"), e["a"]["x"].alias("x"))))
+    at = lambda v: (v["x"] == top["x"]) & (v["y"] == top["y"])
+    before, after = F.get(F.filter(sides, lambda e: at(e["b"])), F.lit(0))["a"], F.get(F.filter(sides, lambda e: at(e["a"])), F.lit(0))["b"]
+    turn = (top["x"] - before["x"]) * (after["y"] - top["y"]) - (top["y"] - before["y"]) * (after["x"] - top["x"])
+    area = F.aggregate(F.transform(sides, lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]), F.lit(0.0), lambda s, x: s + x)
+    return F.when(turn != 0, turn).otherwise(area)
+
+
+def no_area(ring: Column) -> Column:
+    """Whether a ring encloses nothing: fewer than three places, all on one line, or each side passed in both directions."""
+    v = F.array_distinct(_distinct(ring))
+    a, b = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+    flat = F.forall(v, lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]) == 0)
+    return F.coalesce((F.size(v) < 3) | flat | (F.size(_one_way(ring)) == 0), F.lit(True))
+
+
 def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point to a segment, which may be a point."""
     dx, dy = bx - ax, by - ay

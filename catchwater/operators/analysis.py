@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwater.functions.geo import bbox_area_km2, from_utm, in_ring, to_utm, utm_zone
+from catchwater.functions.geo import bbox_area_km2, from_utm, in_selection, no_area, to_utm, utm_zone
 from catchwater.operators import flow, hydrology, interpolate, layers, sites, terrain
 from catchwater.params import Params
 from catchwater.scratch import written
@@ -22,6 +22,12 @@ Provider = Callable[[DataFrame], DataFrame]
 NO_SITES = "No valid pond candidates found after applying terrain/catchment filters. Consider adjusting MAX_SLOPE_DEG or MIN_CATCHMENT_KM2 in settings."
 NO_RAIN = "Historical rainfall is unavailable, so expected water volume and pond storage could not be estimated. "
 NO_WAYS = "Land-use constraint checking (buildings/roads/rivers) was skipped: Land-use constraint data is temporarily unavailable (could not reach Overpass)."
+TOO_LARGE = "Selected area (~%.1f km²) exceeds the maximum allowed ({most} km²). Please draw a smaller area."
+NO_HEIGHTS = "Elevation data unavailable for %d/%d grid cells. The elevation provider may be down; try again shortly or draw a smaller area."
+COARSENED = "Selected area required coarsening DEM resolution from %.0f m to %.0f m to bound elevation API usage (%d → %d cells)."
+FILLED = "%d of %d elevation samples were unavailable and were filled using nearest-neighbour interpolation."
+
+REPEATED, FEW_POINTS = "several areas have this scenario", "a polygon needs three or more pairs of longitude and latitude"
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
 
@@ -72,12 +78,13 @@ def contour_terrain(lines: DataFrame, p: Params = Params()) -> tuple[DataFrame,
 
 
 def area_errors(areas: DataFrame, p: Params = Params()) -> DataFrame:
-    """areas (scenario, polygon array<array<double>>) with their box and error: why one can't be analysed, or null."""
+    """areas (scenario, polygon array<array<double>>) with their box and error: why one can't be analysed, or null. Areas that share a scenario are all errors, for their cells could not be told apart."""
     box = contours.polygon_box(F.col("polygon"))
     out = areas.withColumn("_ok", F.coalesce(contours.valid_polygon(F.col("polygon")), F.lit(False))).withColumn("_box", F.when(F.col("_ok"), box)).select(*areas.columns, "_ok", "_box.*")
     km2 = bbox_area_km2(*[F.col(c) for c in BOX])
-    text = F.format_string(f"Selected area (~%.1f km²) exceeds the maximum allowed ({p.max_area_km2:.1f} km²). Please draw a smaller area.", km2)
-    return out.withColumn("error", F.when(~F.col("_ok"), "a polygon needs three or more pairs of longitude and latitude").when(km2 > p.max_area_km2, text)).drop("_ok")
+    text = F.format_string(TOO_LARGE.replace("{most}", f"{p.max_area_km2:.1f}"), km2)
+    out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("scenario")))
+    return out.withColumn("error", F.when(F.col("_n") > 1, REPEATED).when(~F.col("_ok"), FEW_POINTS).when(km2 > p.max_area_km2, text)).drop("_ok", "_n")
 
 
 def area_terrain(areas: DataFrame, elevation: Provider, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -92,13 +99,13 @@ def area_terrain(areas: DataFrame, elevation: Provider, p: Params = Params()) ->
     got = elevation(cells.select(*terrain.CELL, "longitude", "latitude"))
     cells = written(cells.join(got.select(*terrain.CELL, F.col("elevation").alias("elevation_m")), terrain.CELL, "left"), "sampled")
     share = written(providers.missing_share(cells.withColumnRenamed("elevation_m", "elevation")), "missing")
-    few = F.format_string("Elevation data unavailable for %d/%d grid cells. The elevation provider may be down; try again shortly or draw a smaller area.", "missing", "points")
+    few = F.format_string(NO_HEIGHTS, "missing", "points")
     errors = checked.where("error IS NOT NULL").select("scenario", "error").union(share.where("NOT usable").select("scenario", few.alias("error")))
     usable = share.where("usable")
     cells = terrain.fill_gaps(cells.join(usable.select("scenario"), "scenario", "left_semi"))
     spec = spec.join(usable.select("scenario"), "scenario", "left_semi")
-    coarser = F.when(F.col("resolution") > F.col("asked"), F.format_string("Selected area required coarsening DEM resolution from %.0f m to %.0f m to bound elevation API usage (%d → %d cells).", "asked", "resolution", "asked_cells", F.col("rows") * F.col("cols")))
-    filled = F.when(F.col("missing") > 0, F.format_string("%d of %d elevation samples were unavailable and were filled using nearest-neighbour interpolation.", "missing", "points"))
+    coarser = F.when(F.col("resolution") > F.col("asked"), F.format_string(COARSENED, "asked", "resolution", "asked_cells", F.col("rows") * F.col("cols")))
+    filled = F.when(F.col("missing") > 0, F.format_string(FILLED, "missing", "points"))
     info = spec.join(usable, "scenario").join(grid_box(spec), "scenario")
     none = lambda t: F.lit(None).cast(t)
     info = info.select("scenario", F.lit("selected_area").alias("source_type"), *BOX, none("long").alias("contour_count"), none("double").alias("min_elevation_m"), none("double").alias("max_elevation_m"), layers.warnings(coarser, filled).alias("warnings"))
@@ -120,7 +127,7 @@ def candidates(grid: DataFrame, p: Params = Params(), polygons: DataFrame | None
     if polygons is not None:
         ring = projected(F.transform("polygon", lambda v: F.struct(v[0].alias("lon"), v[1].alias("lat"))), F.col("zone"), F.col("south"))
         found = found.join(polygons.select("scenario", "polygon"), "scenario", "left")
-        outside = ~in_ring(F.col("x"), F.col("y"), ring)
+        outside = ~no_area(ring) & ~in_selection(F.col("x"), F.col("y"), ring)
     if ways is not None:
         zones = grid.groupBy("scenario").agg(F.first("zone").alias("zone"), F.first("south").alias("south"))
         shapes = providers.classify_ways(ways, by=("scenario",)).join(zones, "scenario").select("scenario", "category", projected(F.col("ring"), F.col("zone"), F.col("south")).alias("path"))

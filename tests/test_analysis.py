@@ -27,15 +27,15 @@ def square(half, lon=LON, lat=LAT):
 
 
 def test_areas(spark):
-    areas = spark.createDataFrame([("bowl", square(0.003)), ("wide", square(0.012)), ("huge", square(0.5)), ("bad", square(0.003)[:2]), ("dry", square(0.003, 10.0, -5.0))], "scenario string, polygon array<array<double>>")
+    areas = spark.createDataFrame([("bowl", square(0.003)), ("wide", square(0.012)), ("huge", square(0.5)), ("bad", square(0.003)[:2]), ("dry", square(0.003, 10.0, -5.0)), ("twice", square(0.003)), ("twice", square(0.004))], "scenario string, polygon array<array<double>>")
 
     def elevation(points):
         e = bowl(points)
         return e.withColumn("elevation", F.when((F.col("scenario") == "dry") | ((F.col("scenario") == "wide") & (F.col("col") % 10 == 0)), None).otherwise(F.col("elevation")))
 
     got = {r["scenario"]: r for r in analysis.analyze_areas(areas, elevation, rainy(spark)).collect()}
-    assert set(got) == {"bowl", "wide", "huge", "bad", "dry"}
-    assert {k for k, r in got.items() if r["status"] == "error"} == {"huge", "bad", "dry"}
+    assert set(got) == {"bowl", "wide", "huge", "bad", "dry", "twice"}
+    assert {k for k, r in got.items() if r["status"] == "error"} == {"huge", "bad", "dry", "twice"} and got["twice"]["error"] == analysis.REPEATED
     assert "exceeds the maximum" in got["huge"]["error"] and "unavailable for" in got["dry"]["error"]
     r = json.loads(got["bowl"]["response"])
     assert got["bowl"]["status"] == r["status"] == "success" and r["recommended"]["rank"] == 1

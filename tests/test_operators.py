@@ -240,15 +240,79 @@ def test_skipped_placemarks_are_counted(spark):
 
 def test_store(spark, tmp_path):
     path = f"file://{tmp_path}/store"
-    one = lambda k, s: spark.createDataFrame([(k, s)], "scenario int, status string")
-    layers.save(one(1, "partial"), path)
-    layers.save(one(2, "success"), path)
-    layers.save(one(1, "success"), path)
-    assert layers.stored_ids(spark, path) == [1, 2]
+    kind = "scenario string, status string, n int"
+    one = lambda k, s: spark.createDataFrame([(k, s, 1)], kind)
+    assert layers.stored_ids(spark, path) == []
+    layers.save(one("1", "partial"), path)
+    layers.save(one("a b/c=%", "success"), path)
+    layers.save(one("1", "success"), path)
+    assert layers.stored_ids(spark, path) == ["1", "a b/c=%"]
     assert {r["status"] for r in layers.stored(spark, path).collect()} == {"success"}
-    layers.forget(spark, path, 1)
-    layers.forget(spark, path, 9)
-    assert layers.stored_ids(spark, path) == [2]
+    found = layers.stored_one(spark, path, "a b/c=%", kind)
+    assert [tuple(r) for r in found.select("scenario", "status").collect()] == [("a b/c=%", "success")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scenario" in plan and layers.stored_one(spark, path, "none", kind).count() == 0
+
+    def fails(x):
+        raise ValueError("broken")
+
+    with pytest.raises(Exception, match="broken"):
+        layers.save(one("1", "new").withColumn("n", F.udf(fails, "int")("n")), path)
+    assert layers.stored_one(spark, path, "1", kind).first()["status"] == "success"
+    layers.forget(spark, path, "a b/c=%")
+    layers.forget(spark, path, "9")
+    assert layers.stored_ids(spark, path) == ["1"]
+
+
+RINGS = {  # ring, points strictly inside, points outside, whether it encloses nothing
+    "square": ([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3.9, 2)], [(0, 2), (5, 1), (4, 4)], False),
+    "closed and repeated": ([(0, 0), (4, 0), (4, 0), (4, 4), (0, 4), (0, 0), (0, 0)], [(1, 1)], [(-1, 1)], False),
+    "clockwise": ([(0, 0), (0, 4), (4, 4), (4, 0)], [(1, 1)], [(5, 5)], False),
+    "bow-tie": ([(0, 0), (4, 4), (4, 0), (0, 3)], [(3.5, 2)], [(0.2, 1), (2, 3)], False),  # the lobe with the highest corner
+    "spike": ([(0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4)], [(1, 1), (3, 3)], [(2, 5), (3, 5)], False),
+    "wound twice": ([(0, 0), (9, 0), (9, 9), (3, 9), (3, 3), (6, 3), (6, 8), (0, 8)], [(1, 1), (8, 8), (4, 5)], [(-1, 4), (10, 10), (2, 8.5)], False),
+    "line": ([(0, 0), (2, 2), (4, 4)], [], [(1, 1)], True),
+    "two places": ([(0, 0), (1, 0), (0, 0)], [], [], True),
+    "there and back": ([(0, 0), (4, 0), (4, 4), (4, 0)], [], [(3, 1)], True),
+    "one place": ([(1, 1), (1, 1), (1, 1)], [], [], True),
+}
+
+
+@pytest.mark.parametrize("name", RINGS)
+def test_selection_rings(spark, name):
+    ring, inside, outside, nothing = RINGS[name]
+    rows = [([{"x": float(x), "y": float(y)} for x, y in ring], float(px), float(py)) for px, py in [*inside, *outside] or [(0, 0)]]
+    df = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>, x double, y double")
+    got = df.select(geo.in_selection(F.col("x"), F.col("y"), F.col("ring")).alias("i"), geo.no_area(F.col("ring")).alias("n")).collect()
+    assert [bool(r["n"]) for r in got] == [nothing] * len(got)
+    if not nothing:
+        assert [r["i"] for r in got] == [True] * len(inside) + [False] * len(outside)
+
+
+def test_simple_rings_agree_with_parity(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(40):
+        n, turn = r.randrange(3, 12), r.choice((-1, 1))
+        from math import cos, pi, sin
+
+        ring = [{"x": (2 + r.random()) * cos(turn * 2 * pi * i / n), "y": (2 + r.random()) * sin(turn * 2 * pi * i / n)} for i in range(n)]
+        rows += [(ring, r.uniform(-3, 3), r.uniform(-3, 3)) for _ in range(20)]
+    df = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>, x double, y double")
+    assert df.where(geo.in_selection(F.col("x"), F.col("y"), F.col("ring")) != geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).count() == 0
+    assert df.where(geo.no_area(F.col("ring"))).count() == 0
+
+
+def test_areas_of_rings(spark):
+    ring = lambda *v: [{"lon": float(a), "lat": float(b)} for a, b in v]
+    rows = [("octant", ring((0, 0), (90, 0), (0, 90))), ("small", ring((10, 50), (10.01, 50), (10.01, 50.01), (10, 50.01))), ("over 180", ring((179.995, -0.005), (-179.995, -0.005), (-179.995, 0.005), (179.995, 0.005))), ("at 0", ring((-0.005, -0.005), (0.005, -0.005), (0.005, 0.005), (-0.005, 0.005))), ("two", ring((0, 0), (1, 1))), ("reverse", ring((0, 90), (90, 0), (0, 0)))]
+    got = {r["k"]: r for r in spark.createDataFrame(rows, "k string, ring array<struct<lon:double,lat:double>>").select("k", geo.drawn_area_m2(F.col("ring")).alias("d"), geo.spherical_area_m2(F.col("ring")).alias("s")).collect()}
+    from math import cos, pi, radians
+
+    assert abs(got["octant"]["s"] / (pi / 2 * geo.RADIUS_M**2) - 1) < 1e-9 and abs(got["reverse"]["s"] / got["octant"]["s"] - 1) < 1e-9
+    flat = (radians(0.01) * geo.RADIUS_M) ** 2 * cos(radians(50.005))
+    assert abs(got["small"]["s"] / flat - 1) < 1e-6 and abs(got["small"]["d"] / (flat * (geo.A / geo.RADIUS_M) ** 2) - 1) < 1e-6
+    assert abs(got["over 180"]["s"] / got["at 0"]["s"] - 1) < 1e-6 and abs(got["over 180"]["d"] / got["at 0"]["d"] - 1) < 1e-6 and got["two"]["s"] == got["two"]["d"] == 0
 
 
 def test_assumptions_and_warnings(spark):
