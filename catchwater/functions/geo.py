@@ -104,17 +104,17 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return ~on & (hits % 2 == 1)
 
 
-def in_selection(x: Column, y: Column, ring: Column) -> Column:
+def in_selection(x: Column, y: Column, ring: Column, turn: Column | None = None) -> Column:
     """Strictly inside a drawn ring, which may cross itself: where the ring winds around in the direction in which it passes its highest corner. So of a bow-tie the lobe with the highest corner counts, and what is wound around twice counts once.
 
-    The same as `in_ring` for rings whose sides don't cross. Points on a side are outside.
+    The same as `in_ring` for rings whose sides don't cross. Points on a side are outside. turn: that of `turn_at_top`, if it is known.
     """
     cross = lambda a, b: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
     sides = _edges(ring)
     on = F.exists(sides, lambda e: (cross(e["a"], e["b"]) == 0) & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
     up = F.size(F.filter(sides, lambda e: (e["a"]["y"] <= y) & (e["b"]["y"] > y) & (cross(e["a"], e["b"]) > 0)))
     down = F.size(F.filter(sides, lambda e: (e["b"]["y"] <= y) & (e["a"]["y"] > y) & (cross(e["a"], e["b"]) < 0)))
-    return ~on & (F.signum((up - down).cast("double")) == F.signum(_turn_at_top(ring)))
+    return ~on & (F.signum((up - down).cast("double")) == F.signum(turn_at_top(ring) if turn is None else turn))
 
 
 def _distinct(ring: Column) -> Column:
@@ -128,7 +128,7 @@ def _one_way(ring: Column) -> Column:
     return F.array_except(sides, F.transform(sides, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))))
 
 
-def _turn_at_top(ring: Column) -> Column:
+def turn_at_top(ring: Column) -> Column:
     """Over 0 if the ring turns left at its highest corner (of several the one with the greatest x), under 0 if right. Spikes don't count; where one hides the turn, the sign of the area between all sides does."""
     sides = _one_way(ring)
     top = F.array_max(F.transform(sides, lambda e: F.struct(e["a"]["y"].alias("y"), e["a"]["x"].alias("x"))))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchwater.functions.geo import bbox_area_km2, from_utm, in_selection, no_area, to_utm, utm_zone
+from catchwater.functions.geo import bbox_area_km2, from_utm, in_selection, no_area, to_utm, turn_at_top, utm_zone
 from catchwater.operators import flow, hydrology, interpolate, layers, sites, terrain
 from catchwater.params import Params
 from catchwater.scratch import written
@@ -124,18 +124,20 @@ def candidates(grid: DataFrame, p: Params = Params(), polygons: DataFrame | None
     seeds = sites.merge_seeds(sites.depression_seeds(grid, p), sites.convergence_seeds(grid, p))
     found = written(sites.evaluated(sites.thin(seeds, p), p), "candidates")
     outside = banned = None
-    if polygons is not None:
+    zones = grid.groupBy("scenario").agg(F.first("zone").alias("zone"), F.first("south").alias("south"))
+    if polygons is not None:  # rings are projected and written once: what is asked of them takes them many times
         ring = projected(F.transform("polygon", lambda v: F.struct(v[0].alias("lon"), v[1].alias("lat"))), F.col("zone"), F.col("south"))
-        found = found.join(polygons.select("scenario", "polygon"), "scenario", "left")
-        outside = ~no_area(ring) & ~in_selection(F.col("x"), F.col("y"), ring)
+        rings = written(polygons.select("scenario", "polygon").join(zones, "scenario").select("scenario", ring.alias("ring")), "rings")
+        rings = written(rings.select("scenario", "ring", turn_at_top(F.col("ring")).alias("turn"), no_area(F.col("ring")).alias("free")), "selections")
+        found = found.join(rings, "scenario", "left")
+        outside = ~F.col("free") & ~in_selection(F.col("x"), F.col("y"), F.col("ring"), F.col("turn"))
     if ways is not None:
-        zones = grid.groupBy("scenario").agg(F.first("zone").alias("zone"), F.first("south").alias("south"))
         shapes = providers.classify_ways(ways, by=("scenario",)).join(zones, "scenario").select("scenario", "category", projected(F.col("ring"), F.col("zone"), F.col("south")).alias("path"))
         points = found.select("scenario", F.col("seq").cast("long").alias("point_id"), "x", "y")
         hit = providers.excluded(points, shapes, p).select("scenario", F.col("point_id").cast("int").alias("seq"), F.lit(True).alias("banned"))
         found, banned = found.join(hit, ["scenario", "seq"], "left"), F.col("banned")
     out = sites.cap(sites.score(sites.cascade(found, p, outside, banned), p), p)
-    return written(out.withColumn("reasoning", F.when(F.col("score").isNotNull(), sites.reasoning())).drop("polygon", "banned"), "sites")
+    return written(out.withColumn("reasoning", F.when(F.col("score").isNotNull(), sites.reasoning())).drop("ring", "turn", "free", "banned"), "sites")
 
 
 def catchment_shapes(grid: DataFrame, spec: DataFrame, found: DataFrame) -> DataFrame:
