@@ -4,7 +4,8 @@ A byte-level BPE (A) and a sentencepiece model with byte fallback (B) cut one te
 ends. Two tokens are linked if they share a byte. Each stretch between two neighbouring ends, of either kind, lies in one
 token of A and one of B, and each linked pair has just one such stretch; so links are read off the merged ends.
 
-Neither cuts across a single blank between two words, so a text is aligned unit by unit and a unit's alignment is remembered.
+Neither cuts across a single blank between two words, so a text is aligned unit by unit and a unit's alignment is remembered. Texts are
+tokenized once; their links are written to the shared folder.
 
 Pairs are packed as a * 2^32 + b. A task counts the documents that hold a pair (np.unique over those of its documents), counts are sorted
 by ranges over all tasks, runs of one pair are added up, and each range becomes a shard: sorted pairs and their counts in two files
@@ -20,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from catchwater.llm.common import dropped, packed, parsed, scratch, small_batches, written
 from catchwater.llm.warc import store_of
 
-MEMO, REMEMBERED, STRETCH = 250_000, 64, 1 << 18  # units that a worker remembers; characters of the longest; characters of a text that are cut to units at a time
+MEMO, REMEMBERED, STRETCH = 100_000, 64, 1 << 18  # units of the newer half of what a worker remembers; characters of the longest; characters of a text that are cut to units at a time
 HELD = 1 << 21  # pairs that a task holds before it adds up those it has; distinct ones before it hands them on
 #: A blank between two words: neither tokenizer has an entry that crosses it. Python's white space includes that of both.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
@@ -49,12 +51,7 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
-@dataclass(frozen=True)
-class Unit:
-    n_a: int
-    n_b: int
-    groups: list[str]
-    keys: list[int]  # a packed pair for each link
+Unit = tuple[int, int, int, str, bytes]  # tokens of A and of B, groups, the groups as text with a semicolon after each, a packed pair for each link
 
 
 class Aligner:
@@ -66,51 +63,81 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        entries = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.names = np.array([[f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b)))] for mark in ",|;"], object)
         self.memo: dict[str, Unit | None] = {}
-
-    def aligned(self, texts: list[str]) -> list[Unit | None]:
-        """Of " " + text for each text; None where the bytes of either's tokens aren't those of it."""
-        out = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            out.append(self.unit((" " + text).encode(), a.ids, b))
+        self.older: dict[str, Unit | None] = {}
+
+    def aligned(self, units: list[str], together: int = 128) -> list[Unit | None]:
+        """Of " " + unit for each unit; None where the bytes of either's tokens aren't those of it.
+
+        Units with no white space at their ends are cut as one text, from which they come apart where they end.
+        """
+        plain = [k for k, u in enumerate(units) if together > 1 and u == u.strip()]
+        held = {*plain}
+        parts = [plain[k : k + together] for k in range(0, len(plain), together)] + [[k] for k in range(len(units)) if k not in held]
+        texts = [" ".join([units[k] for k in part]) for part in parts]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1)
+        out: list[Unit | None] = [None] * len(units)
+        good_a, good_b, order = [], [], []
+        for part, text, a, b in zip(parts, texts, ids_a, ids_b):
+            data = (" " + text).encode()
+            if b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data:
+                good_a.append(a)
+                good_b.append(b)
+                order += part
+            elif len(part) > 1:
+                for k, found in zip(part, self.aligned([units[k] for k in part], 1)):
+                    out[k] = found
+        for k, found in zip(order, self.merged(good_a, good_b, [1 + len(units[k].encode()) for k in order])):
+            out[k] = found
         return out
 
-    def unit(self, data: bytes, a: list[int], b: list[int]) -> Unit | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != data or b"".join(parts_b) != data:
-            return None
-        if len(a) == 1 and len(b) == 1:
-            return Unit(1, 1, [f"{a[0]}|{b[0]}"], [a[0] << SHIFT | b[0]])
-        i = j = 0
-        end_a, end_b, end, keys, groups = len(parts_a[0]), len(parts_b[0]), 0, [], []
-        from_a = from_b = 0
-        while end < len(data):
-            keys.append(a[i] << SHIFT | b[j])
-            end = min(end_a, end_b)
-            both = end_a == end_b
-            if end_a == end:
-                i += 1
-                end_a += len(parts_a[i]) if i < len(a) else 0
-            if end_b == end:
-                j += 1
-                end_b += len(parts_b[j]) if j < len(b) else 0
-            if both:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-        return Unit(len(a), len(b), groups, keys)
+    def merged(self, ids_a: list[list[int]], ids_b: list[list[int]], sizes: list[int]) -> list[Unit]:
+        """The alignments of units of `sizes` bytes that the ids of both spell one after another."""
+        if not sizes:
+            return []
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        end_a, end_b, last = self.size_a[a].cumsum(), self.size_b[b].cumsum(), np.cumsum(sizes)
+        ends = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]]
+        of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        keys = (a[of_a] << SHIFT | b[of_b]).tobytes()
+        both = (end_a[of_a] == ends) & (end_b[of_b] == ends)
+        closed = np.cumsum(both)  # groups that end up to each stretch
+        at_a, at_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        group_a, group_b = (closed - both)[at_a], (closed - both)[at_b]
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = self.names[both[at_a].astype(int), a]
+        text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.names[2 * both[at_b].astype(int), b]
+        text = text.tolist()
+        stop = np.searchsorted(ends, last) + 1
+        out, k, g, i, j = [], 0, 0, 0, 0
+        for end, groups, n, m in zip(stop.tolist(), closed[stop - 1].tolist(), np.searchsorted(end_a, last, "right").tolist(), np.searchsorted(end_b, last, "right").tolist()):
+            out.append((n - i, m - j, groups - g, "".join(text[i + j : n + m]), keys[8 * k : 8 * end]))
+            k, g, i, j = end, groups, n, m
+        return out
 
     def units(self, texts: list[str]) -> list[list[Unit | None]]:
         """The units of each text; a text that has none of its own, null or empty, has no units."""
         cut = [[*pieces(t)] if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [u for u in dict.fromkeys(u for c in cut for u in c) if u not in memo]
-        for k in range(0, len(new), 256):
-            memo.update(zip(new[k : k + 256], self.aligned(new[k : k + 256])))
-        out = [[memo[u] for u in c] for c in cut]
+        if len(self.memo) > MEMO:  # what is met again comes back from the older half
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        for u in dict.fromkeys(chain.from_iterable(cut)):
+            if u not in memo:
+                if u in older:
+                    memo[u] = older[u]
+                else:
+                    new.append(u)
+        for k in range(0, len(new), 4096):
+            memo.update(zip(new[k : k + 4096], self.aligned(new[k : k + 4096])))
+        out = [[*map(memo.__getitem__, c)] for c in cut]
         for u in new:
             if len(u) > REMEMBERED:
                 del memo[u]
@@ -134,11 +161,52 @@ def load(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def pair_counts(df: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
-    """(key, n): how many documents hold each linked pair, a row for each pair and task that has seen it (or several, if it has seen many pairs)."""
+def cut(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = True) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, a, b, and with `groups` their text): a and b are the ids of each link of a text, in order.
+
+    Null and empty texts, and texts that the tokens of either don't spell, have no tokens: zeros, no links and an empty string.
+    """
+    small_batches(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>" + ", groups string" * groups
 
     def run(batches):
-        aligner, held, size, keys, n = load(path_a, path_b), [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        aligner = load(path_a, path_b)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                rows, keys, far = [], [], [0]
+                for units in aligner.units(some.column("text").to_pylist()):
+                    if not units or None in units:
+                        rows.append((0, 0, 0, "", ""))
+                    else:
+                        n_a, n_b, n, texts, links = zip(*units)
+                        text = "".join(texts)[:-1]
+                        rows.append((sum(n_a), sum(n_b), sum(n), hashlib.sha256(text.encode()).hexdigest(), text))
+                        keys.extend(links)
+                    far.append(far[-1] + (rows[-1][0] and sum(map(len, links)) // 8))
+                key, far = np.frombuffer(b"".join(keys), np.int64), pa.array(far, pa.int32())
+                n_a, n_b, n, digest, text = zip(*rows)
+                links = [pa.ListArray.from_arrays(far, pa.array(x.astype(np.int32))) for x in (key >> SHIFT, key & (1 << SHIFT) - 1)]
+                cols = [some.column("id"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n)), pa.array(digest, pa.string()), *links, *[pa.array(text, pa.string())] * groups]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def packed_links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The packed pairs of all rows, and where each row's begin."""
+    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
+    offsets = batch.column("a").offsets.to_numpy().astype(np.int64)
+    return a << SHIFT | b, offsets - offsets[0]
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
+    """(key, n) for the rows of `cut`: how many documents hold each linked pair, a row for each pair and task that has seen it (or several, if it has seen many pairs)."""
+
+    def run(batches):
+        held, size, keys, n = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
 
         def merged():
             every = np.concatenate([keys, *held])
@@ -149,21 +217,19 @@ def pair_counts(df: DataFrame, path_a: str, path_b: str, text_col: str = "text")
             return found, out
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                for units in aligner.units(batch.column("text").slice(k, 64).to_pylist()):
-                    if units and None not in units:
-                        own = set().union(*(u.keys for u in units))
-                        held.append(np.fromiter(own, np.int64, len(own)))
-                        size += len(own)
-                if size > HELD:
-                    (keys, n), held, size = merged(), [], 0
-                    if len(keys) > HELD:
-                        yield from counted(keys, n)
-                        keys = n = np.empty(0, np.int64)
+            key, at = packed_links(batch)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                held.append(np.unique(key[lo:hi]))
+                size += len(held[-1])
+            if size > HELD:
+                (keys, n), held, size = merged(), [], 0
+                if len(keys) > HELD:
+                    yield from counted(keys, n)
+                    keys = n = np.empty(0, np.int64)
         yield from counted(*merged())
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, n long")
+    small_batches(links.sparkSession)
+    return links.select("a", "b").mapInArrow(run, "key long, n long")
 
 
 def counted(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -267,57 +333,42 @@ def shards(counts: DataFrame) -> Shards:
     return Shards([r["first"] for r in found], [r["path"] for r in found], best)
 
 
-def links(df: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> Shards:
-    """The counted pairs of all texts."""
-    counts = written(pair_counts(df, path_a, path_b, text_col), "counts")
+def count(links: DataFrame) -> Shards:
+    """The counted pairs of the rows of `cut`, which should be a written table."""
+    counts = written(pair_counts(links), "counts")
     out = shards(counts)
     dropped(counts)
     return out
 
 
-def align(df: DataFrame, path_a: str, path_b: str, known: Shards, id_col: str = "doc_id", text_col: str = "text", groups: bool = True) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with `groups` their text) for each row.
+def scored(links: DataFrame, known: Shards) -> DataFrame:
+    """The rows of `cut` with n_links, n_best and count_sum instead of their links: n_best have the highest count of their id of A, count_sum adds up the counts in `known` of all."""
+    sent = links.sparkSession.sparkContext.broadcast(known)
+    kept = [c for c in links.columns if c not in ("a", "b")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(kept).schema) + ", n_links long, n_best long, count_sum long"
 
-    A link's count is that of its pair in `known`; n_best are those whose count is the highest of their id of A. Null and empty texts, and texts that the tokens
-    of either don't spell, have no tokens: zeros and an empty string. Repeated rows stay and count as documents each, null ids too;
-    an empty table gives no rows; other columns are not read.
-    """
-    small_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(known)
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string" * groups
+    def run(batches):
+        found = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                every, at = packed_links(some)
+                keys, place = np.unique(every, return_inverse=True)
+                n = found.counts(keys)[place] if len(keys) else np.empty(0, np.int64)
+                best = (n > 0) & (n == found.best[np.minimum(every >> SHIFT, len(found.best) - 1)])
+                upto = lambda x: np.diff(np.r_[0, np.cumsum(x, dtype=np.int64)][at])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(np.diff(at)), pa.array(upto(best)), pa.array(upto(n))], names=[*kept, "n_links", "n_best", "count_sum"])
 
-    out = to_arrow_schema(parsed(schema))
+    return links.mapInArrow(run, schema)
 
-    def run(batches):
-        aligner, found, memo = load(path_a, path_b), sent.value, {}
-
-        def scored(new: list[Unit]) -> None:
-            every = np.array([k for u in new for k in u.keys], np.int64)
-            keys, place = np.unique(every, return_inverse=True)
-            n = found.counts(keys)[place]
-            top = found.best[np.minimum(every >> SHIFT, len(found.best) - 1)]
-            cuts = np.cumsum([0, *(len(u.keys) for u in new)])[:-1]
-            memo.update(zip(map(id, new), zip(np.add.reduceat((n == top) & (n > 0), cuts, dtype=np.int64).tolist(), np.add.reduceat(n, cuts).tolist(), (";".join(u.groups) for u in new), new)))
-
-        def row(doc, units):
-            if not units or None in units:
-                return (doc, 0, 0, 0, 0, 0, 0, "") + ("",) * groups
-            got = [memo[id(u)] for u in units]
-            text = ";".join([g[2] for g in got])
-            return (doc, sum([u.n_a for u in units]), sum([u.n_b for u in units]), sum([len(u.groups) for u in units]), sum([len(u.keys) for u in units]), sum([g[0] for g in got]), sum([g[1] for g in got]), hashlib.sha256(text.encode()).hexdigest()) + (text,) * groups
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                some = batch.slice(k, 64)
-                cut = aligner.units(some.column("text").to_pylist())
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = [*{id(u): u for units in cut if None not in units for u in units if id(u) not in memo}.values()]
-                if new:
-                    scored(new)
-                yield packed([row(*r) for r in zip(some.column("id").to_pylist(), cut)], out)
-                for u in new:
-                    if len(u.keys) > REMEMBERED:
-                        del memo[id(u)]
+def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = True) -> tuple[DataFrame, Shards]:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with `groups` their text) for each row, and the counted pairs.
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    Null and empty texts, and texts that the tokens of either don't spell, have no tokens: zeros and an empty string. Repeated rows stay and count
+    as documents each, null ids too; an empty table gives no rows; other columns are not read.
+    """
+    links = written(cut(df, path_a, path_b, id_col, text_col, groups), "links")
+    known = count(links)
+    out = scored(links, known)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *["groups"] * groups), known

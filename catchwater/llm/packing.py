@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +24,114 @@ from catchwater.llm.common import map_rows, small_batches, written
 
 LENGTH, GROUP = 4096, 4096  # tokens of a sequence; rests of a group, on average
 END = 2  # id after each document
-MEMO, REMEMBERED, STRETCH = 250_000, 64, 1 << 18  # pieces that a worker remembers; characters of the longest; characters of a text that are cut to pieces at a time
+MEMO, REMEMBERED, STRETCH = 300_000, 64, 1 << 18  # pieces of the newer half of what a worker remembers; characters of the longest; characters of a text that are cut to pieces at a time
+TOGETHER = 64  # texts whose new pieces are encoded at once
 BLANK = re.compile(r"[ \t\r\n]+")
+#: Letters of Latin-1, each of which is one code point in small letters and composed, and marks that no rule joins to letters.
+SHAPE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?$&*#%)]*)").fullmatch
+ODD = re.compile(r"[\x1c-\x1f]")  # white space for str.split, but not for the library
 
 
 class Words:
-    """ids of texts by the tokenizers library. Its pre-tokens hold no white space, so what stands between blanks is encoded apart, once for all texts that hold it."""
+    """ids of texts by the tokenizers library. Its pre-tokens hold no white space, so what stands between blanks is encoded apart, once for all texts that hold it.
+
+    Pieces that are new are encoded many at a time: words of plain letters, in small ones and without marks that follow them, with blanks between them, for each of them gives
+    one token that ends a word; other pieces with a special token between them, which the library never joins to anything.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo = Tokenizer.from_file(path), {}
-
-    def ids(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        while at < len(text):
-            stop = BLANK.search(text, at + STRETCH)
-            stop = stop.start() if stop else len(text)
-            out.append(self.stretch(text[at:stop]))
-            at = stop
-        return np.concatenate(out) if out else np.empty(0, np.int32)
-
-    def stretch(self, text: str) -> np.ndarray:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, pieces = self.memo, BLANK.split(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
-        for k in range(0, len(new), 256):
-            part = new[k : k + 256]
-            memo.update(zip(part, (e.ids for e in self.lib.encode_batch(part, add_special_tokens=False))))
-        out = np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.int32)
+        self.lib, self.memo, self.older = Tokenizer.from_file(path), {}, {}
+        special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.between, self.mark = next(iter(special.items()), (None, -1))
+        self.cores: dict[str, bytes] = {}
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text; long ones a stretch at a time."""
+        out = [b""] * len(texts)
+        for k, text in enumerate(texts):
+            if len(text) > STRETCH:
+                parts, at = [], 0
+                while at < len(text):
+                    stop = BLANK.search(text, at + STRETCH)
+                    stop = stop.start() if stop else len(text)
+                    parts += self.several([text[at:stop]])
+                    at = stop
+                out[k] = b"".join(parts)
+        short = [k for k, text in enumerate(texts) if len(text) <= STRETCH]
+        for k, found in zip(short, self.several([texts[k] for k in short])):
+            out[k] = found
+        return [np.frombuffer(x, np.int32) for x in out]
+
+    def several(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:  # what is met again comes back from the older half
+            self.memo, self.older = {}, self.memo
+        memo, older, new = self.memo, self.older, []
+        cut = [BLANK.split(t) if ODD.search(t) else t.split() for t in texts]
+        for p in set().union(*cut).difference(memo):
+            if p in older:
+                memo[p] = older[p]
+            else:
+                new.append(p)
+        if new:
+            memo.update(self.encoded(new))
+        out = [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
         for p in new:
             if len(p) > REMEMBERED:
                 del memo[p]
         return out
 
+    def encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        if len(self.cores) > MEMO:
+            self.cores = {}
+        cores, shapes, rest = self.cores, [], []
+        for p in pieces:
+            if m := SHAPE(p):
+                core, tail = m.groups()
+                shapes.append((p, core.lower(), tail))
+            else:
+                rest.append(p)
+        rest += {t for _, _, t in shapes if t not in cores and t}
+        new = [*{c for _, c, _ in shapes if c not in cores}]
+        if not self.between:
+            found = self.alone(rest + new)
+        else:
+            found = self.alone([p for p in rest if self.between in p]) | self.marked([p for p in rest if self.between not in p]) | self.spaced(new)
+        cores.update((c, found[c]) for c in new)
+        cores.update((t, found[t]) for _, _, t in shapes if t in found)
+        found.update((p, cores[c] + cores[t] if t else cores[c]) for p, c, t in shapes)
+        return found
+
+    def alone(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(pieces, self.lib.encode_batch_fast(pieces, add_special_tokens=False))}
+
+    def joined(self, pieces: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        parts = [pieces[k : k + 512] for k in range(0, len(pieces), 512)]
+        for part, e in zip(parts, self.lib.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
+            yield part, np.array(e.ids, np.int32)
+
+    def marked(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for part, ids in self.joined(pieces, self.between):
+            cuts, data = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)], ids.tobytes()
+            out.update((p, data[4 * a + 4 : 4 * b]) for p, a, b in zip(part, cuts, cuts[1:]))
+        return out
+
+    def spaced(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for part, ids in self.joined(words, " "):
+            cuts, data = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()], ids.tobytes()
+            if len(cuts) != len(part) + 1:  # a vocabulary that doesn't mark ends
+                out |= self.alone(part)
+            else:
+                out.update((p, data[4 * a : 4 * b]) for p, a, b in zip(part, cuts, cuts[1:]))
+        return out
+
 
 @lru_cache(2)
 def load(path: str) -> Words:
@@ -162,11 +235,12 @@ def tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         words = load(path)
 
         def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-            for i, text in rows:
-                ids = np.append(words.ids(text or ""), np.int32(END))
-                for start in range(0, len(ids), length):
-                    part = ids[start : start + length]
-                    yield i, len(ids), start, part, crc(part) if len(part) == length else None
+            while held := [*islice(rows, TOGETHER)]:
+                for (i, _), found in zip(held, words.ids([text or "" for _, text in held])):
+                    ids = np.append(found, np.int32(END))
+                    for start in range(0, len(ids), length):
+                        part = ids[start : start + length]
+                        yield i, len(ids), start, part, crc(part) if len(part) == length else None
 
         return run
 
