@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from catchwater.llm.common import dropped, packed, parsed, scratch, small_batches, written
 from catchwater.llm.warc import store_of
 
-MEMO, REMEMBERED, STRETCH = 100_000, 64, 1 << 18  # units of the newer half of what a worker remembers; characters of the longest; characters of a text that are cut to units at a time
-HELD = 1 << 21  # pairs that a task holds before it adds up those it has; distinct ones before it hands them on
+MEMO, REMEMBERED, STRETCH = 60_000, 64, 1 << 18  # units of the newer half of what a worker remembers; characters of the longest; characters of a text that are cut to units at a time
+HELD = 1 << 18  # pairs that a task holds before it adds up those it has; distinct ones before it hands them on
 #: A blank between two words: neither tokenizer has an entry that crosses it. Python's white space includes that of both.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 SHIFT = 32
