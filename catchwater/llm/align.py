@@ -206,6 +206,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     """(key, n) for the rows of `cut`: how many documents hold each linked pair, a row for each pair and task that has seen it (or several, if it has seen many pairs)."""
 
     def run(batches):
+        load.cache_clear()  # a worker that has aligned texts needs what it remembers no more
         held, size, keys, n = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
 
         def merged():
@@ -348,6 +349,7 @@ def scored(links: DataFrame, known: Shards) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(kept).schema) + ", n_links long, n_best long, count_sum long"
 
     def run(batches):
+        load.cache_clear()
         found = sent.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
