@@ -162,13 +162,13 @@ def load(path_a: str, path_b: str) -> Aligner:
 
 
 def cut(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = True) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups_sha256, a, b, and with `groups` their text): a and b are the ids of each link of a text, in order.
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, low, high, and with `groups` their text). low and high: the ids of each link of a text, in order, as `halves` has them; `linked` gives them as arrays.
 
     Null and empty texts, and texts that the tokens of either don't spell, have no tokens: zeros, no links and an empty string.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>" + ", groups string" * groups
+    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, low binary, high binary" + ", groups string" * groups
 
     def run(batches):
         aligner = load(path_a, path_b)
@@ -185,9 +185,8 @@ def cut(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_co
                         rows.append((sum(n_a), sum(n_b), sum(n), hashlib.sha256(text.encode()).hexdigest(), text))
                         keys.extend(links)
                     far.append(far[-1] + (rows[-1][0] and sum(map(len, links)) // 8))
-                key, far = np.frombuffer(b"".join(keys), np.int64), pa.array(far, pa.int32())
                 n_a, n_b, n, digest, text = zip(*rows)
-                links = [pa.ListArray.from_arrays(far, pa.array(x.astype(np.int32))) for x in (key >> SHIFT, key & (1 << SHIFT) - 1)]
+                links = halves(np.frombuffer(b"".join(keys), np.int64), far)
                 cols = [some.column("id"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n)), pa.array(digest, pa.string()), *links, *[pa.array(text, pa.string())] * groups]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -195,11 +194,47 @@ def cut(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_co
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def halves(keys: np.ndarray, at: list[int]) -> list[pa.Array]:
+    """Packed pairs, those of each row from one place of `at` to the next, as two columns of bytes: the lower 16 bits of a and b by turns, then the upper ones, which are left out of rows that need none.
+
+    A JVM passes bytes on as they are, while arrays cost it several times their size.
+    """
+    ids = np.stack((keys >> SHIFT, keys & (1 << SHIFT) - 1), 1).astype("<u4").view("<u2")
+    low, high = (np.ascontiguousarray(ids[:, k::2]).tobytes() for k in (0, 1))
+    cuts = [*zip(at, at[1:])]
+    wide = np.r_[0, np.cumsum(ids[:, 1::2].any(1))][at] if len(ids) else np.zeros(len(at), np.int64)
+    return [pa.array([low[4 * a : 4 * b] for a, b in cuts], pa.binary()), pa.array([high[4 * a : 4 * b] if n else b"" for (a, b), n in zip(cuts, np.diff(wide).tolist())], pa.binary())]
+
+
 def packed_links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The packed pairs of all rows, and where each row's begin."""
-    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b"))
-    offsets = batch.column("a").offsets.to_numpy().astype(np.int64)
-    return a << SHIFT | b, offsets - offsets[0]
+
+    def pairs(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(name).cast(pa.large_binary())
+        _, at, data = column.buffers()
+        at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        found = np.frombuffer(data, "<u2", (at[-1] - at[0]) // 2, at[0]) if at[-1] > at[0] else np.empty(0, "<u2")
+        return found.reshape(-1, 2), (at - at[0]) // 4
+
+    low, at = pairs("low")
+    ids = low.astype(np.int64)
+    high, wide = pairs("high")
+    for k in np.flatnonzero(np.diff(wide)).tolist():
+        ids[at[k] : at[k + 1]] |= high[wide[k] : wide[k + 1]].astype(np.int64) << 16
+    return ids[:, 0] << SHIFT | ids[:, 1], at
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """(doc_id, a, b): the ids of each link of a text, in order, as arrays, for the rows of `cut`."""
+
+    def run(batches):
+        for batch in batches:
+            keys, at = packed_links(batch)
+            ids = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.astype(np.int32))) for x in (keys >> SHIFT, keys & (1 << SHIFT) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ids], names=["doc_id", "a", "b"])
+
+    kind = links.schema["doc_id"].dataType.simpleString()
+    return links.select("doc_id", "low", "high").mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -230,7 +265,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
         yield from counted(*merged())
 
     small_batches(links.sparkSession)
-    return links.select("a", "b").mapInArrow(run, "key long, n long")
+    return links.select("low", "high").mapInArrow(run, "key long, n long")
 
 
 def counted(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -345,7 +380,7 @@ def count(links: DataFrame) -> Shards:
 def scored(links: DataFrame, known: Shards) -> DataFrame:
     """The rows of `cut` with n_links, n_best and count_sum instead of their links: n_best have the highest count of their id of A, count_sum adds up the counts in `known` of all."""
     sent = links.sparkSession.sparkContext.broadcast(known)
-    kept = [c for c in links.columns if c not in ("a", "b")]
+    kept = [c for c in links.columns if c not in ("low", "high")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(kept).schema) + ", n_links long, n_best long, count_sum long"
 
     def run(batches):

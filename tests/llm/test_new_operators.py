@@ -9,6 +9,7 @@ from math import floor
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,24 @@ def test_alignment_in_stretches(monkeypatch):
     assert [x for k in range(0, len(texts), 10) for x in some.units(texts[k : k + 10])] == whole and len(some.older) > 50
 
 
+def test_links_as_bytes(spark):
+    r = np.random.default_rng(1)
+    sizes = [0, 3, 0, 500, 7, 0]
+    at = np.r_[0, np.cumsum(sizes)].tolist()
+    for top in (60_000, 200_000):  # ids of 16 bits, and of more in some rows
+        keys = r.integers(0, top, at[-1]) << 32 | r.integers(0, top, at[-1])
+        keys[3:503] &= 0xFFFF_0000_FFFF
+        batch = pa.RecordBatch.from_arrays(align.halves(keys, at), names=["low", "high"])
+        for lo, hi in ((0, 6), (1, 5), (2, 3), (6, 6)):
+            got, places = align.packed_links(batch.slice(lo, hi - lo))
+            assert got.tolist() == keys[at[lo] : at[hi]].tolist() and places.tolist() == [x - at[lo] for x in at[lo : hi + 1]]
+        assert [len(x) for x in batch.column("high").to_pylist()] == ([0] * 6 if top < 1 << 16 else [0, 12, 0, 0, 28, 0])
+    text = "a tokenizer  ≈ two ✓"
+    row = align.linked(align.cut(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), BYTE, PIECE)).orderBy("doc_id").collect()
+    unit = [np.frombuffer(u[4], np.int64) for u in align.Aligner(BYTE, PIECE).units([text])[0]]
+    assert [*zip(row[0]["a"], row[0]["b"])] == [(k >> 32, k & 0xFFFFFFFF) for k in np.concatenate(unit).tolist()] and row[1]["a"] == []
+
+
 def test_counts_of_many_pairs(spark, monkeypatch):
     r = random.Random(4)
     keys = [r.randrange(50) << 32 | r.randrange(40) for _ in range(5000)]
