@@ -28,10 +28,16 @@ def tag(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
 
 
-def placed(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, block, cut): place from 1 in the order of turn, then of a digest of role and text, nulls first; block by turn, cut by turn and digest where a block has MANY turns."""
+def digested(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text with the digest of role and text that orders turns of one number."""
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    t = t.withColumns({"block": F.expr(f"floor(turn / {BLOCK})"), "digest": F.md5(F.concat(tag("role"), F.lit("\x1f"), tag("text")))})
+    return t.withColumn("digest", F.md5(F.concat(tag("role"), F.lit("\x1f"), tag("text"))))
+
+
+def placed(t: DataFrame) -> DataFrame:
+    """t (conv_id, turn, digest and any others) with place, block and cut: place from 1 in the order of turn, then of digest, nulls first; block by turn, cut by turn and digest where a block has MANY turns."""
+    names = [c for c in t.columns if c not in ("turn", "digest")]
+    t = t.withColumn("block", F.expr(f"floor(turn / {BLOCK})"))
     big = written(t.groupBy("conv_id", "block").count().where(F.col("count") > MANY).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.lit(True).alias("big")), "big")
     fine = F.struct("turn", F.substring("digest", 1, 3).alias("digits"))
     if big.isEmpty():
@@ -44,7 +50,7 @@ def placed(turns: DataFrame) -> DataFrame:
     over = Window.partitionBy("conv_id").orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
     t = t.withColumn("at", F.row_number().over(within))
-    return t.alias("t").join(before.alias("b"), same(keys)).select("t.conv_id", (F.col("before") + F.col("at")).alias("place"), "t.role", "t.text", "t.block", "t.cut")
+    return t.alias("t").join(before.alias("b"), same(keys)).select((F.col("before") + F.col("at")).alias("place"), *[f"t.{c}" for c in (*names, "block", "cut")])
 
 
 def same(keys: list[str]) -> Column:
@@ -55,8 +61,8 @@ def same(keys: list[str]) -> Column:
 
 
 def turn_hash(seed: int) -> Column:
-    """A 64-bit hash of place, role and text."""
-    return F.xxhash64(F.lit(seed), "place", tag("role"), tag("text"))
+    """A 64-bit hash of place and content, the 128 bits that stand for role and text."""
+    return F.xxhash64(F.lit(seed), "place", "c1", "c2")
 
 
 def lane(c: Column) -> Column:
@@ -64,24 +70,30 @@ def lane(c: Column) -> Column:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, h1, h2): hashes of the turns up to each place, each of two sums modulo 2^31."""
+    """(conv_id, place, h1, h2): hashes of the turns up to each place, each of two sums modulo 2^31. Role and text are hashed where they are read and go no further."""
     keys = ["conv_id", "block", "cut"]
-    t = placed(turns).withColumns({"y1": turn_hash(1), "y2": turn_hash(2)})
+    content = digested(turns).select("conv_id", "turn", "digest", *[F.xxhash64(F.lit(k), tag("role"), tag("text")).alias(f"c{k}") for k in (1, 2)])
+    t = placed(content).withColumns({"y1": turn_hash(1), "y2": turn_hash(2)})
     t = t.select(*keys, "place", *[c.alias(f"x{2 * k + i}") for k in (0, 1) for i, c in enumerate((lane(F.col(f"y{k + 1}")), F.shiftrightunsigned(f"y{k + 1}", 33)))])
     sums = t.groupBy(*keys).agg(*[lane(F.sum(f"x{k}")).alias(f"s{k}") for k in range(4)])
     over = Window.partitionBy("conv_id").orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*keys, *[lane(F.coalesce(F.sum(f"s{k}").over(over), F.lit(0))).alias(f"b{k}") for k in range(4)])
     within = Window.partitionBy(*keys).orderBy("place")
     t = t.select(*keys, "place", *[lane(F.sum(f"x{k}").over(within)).alias(f"r{k}") for k in range(4)])
-    whole = [lane(F.col(f"r{k}") + F.col(f"b{k}")) for k in range(4)]
-    h = [F.shiftleft(whole[2 * k], 31).bitwiseOR(whole[2 * k + 1]).alias(f"h{k + 1}") for k in (0, 1)]
+    lanes = [lane(F.col(f"r{k}") + F.col(f"b{k}")) for k in range(4)]
+    h = [F.shiftleft(lanes[2 * k], 31).bitwiseOR(lanes[2 * k + 1]).alias(f"h{k + 1}") for k in (0, 1)]
     return t.alias("t").join(before.alias("b"), same(keys)).select("t.conv_id", "place", *h)
 
 
-def maximal(pre: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that no longer one continues, one of each group of equal ones. pre: written prefixes."""
+def whole(pre: DataFrame) -> DataFrame:
+    """(place, h1, h2, conv_id, ends): the whole conversations, how many are equal and the smallest conv_id of those."""
+    key = ["place", "h1", "h2"]
+    return pre.groupBy("conv_id").agg(F.max(F.struct(*key)).alias("e")).select("conv_id", "e.*").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("ends"))
+
+
+def maximal(pre: DataFrame, ends: DataFrame) -> DataFrame:
+    """(conv_id, n_turns) of the conversations that no longer one continues, one of each group of equal ones. pre, ends: written prefixes and the whole of them."""
     key = ["place", "h1", "h2"]
-    ends = pre.groupBy("conv_id").agg(F.max(F.struct(*key)).alias("e")).select("conv_id", "e.*").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("ends"))
     continued = pre.groupBy(*key).agg(F.count("*").alias("n")).join(ends, key).where("n > ends").select(*key)
     return ends.join(continued, key, "left_anti").select("conv_id", F.col("place").alias("n_turns"))
 
@@ -94,11 +106,12 @@ def render(turns: DataFrame) -> DataFrame:
     columns are not read.
     """
     pre = written(prefixes(turns), "prefixes")
-    keep = written(maximal(pre).select(F.col("conv_id").alias("c"), "n_turns"), "maximal")
-    dropped(pre)
+    ends = written(whole(pre), "ends")
+    keep = written(maximal(pre, ends).select(F.col("conv_id").alias("c"), "n_turns"), "maximal")
+    dropped(pre, ends)
     kept = turns.select("conv_id", "turn", "role", "text").join(keep, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    rows = placed(kept).select("conv_id", F.expr(f"int((place - 1) div {PART})").alias("part"), "place", line.alias("line"))
+    rows = placed(digested(kept)).select("conv_id", F.expr(f"int((place - 1) div {PART})").alias("part"), "place", line.alias("line"))
     parts = rows.groupBy("conv_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("text"))
     return parts.join(keep, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "n_turns", "part", "text")
 

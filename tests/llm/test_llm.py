@@ -534,6 +534,13 @@ def test_chat(spark):
     assert re.findall(r"user\n(\d+)", "".join(r["text"] for r in parts)) == [str(k) for k in range(1000)]
 
 
+def test_chat_turns_of_any_number(spark):
+    far = [-(2**62), -257, -256, -1, 0, 255, 256, 2**40, 2**62]
+    rows = [(c, k, "user", str(k)) for c, turns in ((1, far), (2, far[:-1]), (3, far[1:])) for k in turns]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id").collect()
+    assert [(r["conv_id"], r["n_turns"], re.findall(r"user\n(-?\d+)", r["text"])) for r in got] == [(1, 9, [*map(str, far)]), (3, 8, [*map(str, far[1:])])]
+
+
 def test_chat_sums_do_not_overflow(spark, monkeypatch):
     own = chat.turn_hash
     monkeypatch.setattr(chat, "turn_hash", lambda seed: own(seed).bitwiseOR(chat.F.lit(3 << 61)).bitwiseAND(chat.F.lit((1 << 63) - 1)))  # two overflow a long
