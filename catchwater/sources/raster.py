@@ -249,16 +249,17 @@ def encoded(values: np.ndarray, west: float, north: float, step: float, side: in
 
 
 def write_tiles(cells: DataFrame, path: str, per_degree: int, side: int = 256, predictor: int = 3) -> None:
-    """One-degree tiles named by tile_key in a folder, from cells (lon, lat, value): a group for each tile, whose raster has per_degree x per_degree cells. Of cells at one place the lowest counts. A file appears whole, by a move."""
+    """One-degree tiles named by tile_key in a folder, from cells (lon, lat, value): a group for each tile, whose raster has per_degree x per_degree cells. Of cells at one place the lowest counts, so a group holds no more rows than its raster has cells. A file appears whole, by a move."""
     tile = cells.select(tile_key(F.col("lat"), F.col("lon")).alias("tile"), F.floor("lon").alias("west"), (F.floor("lat") + 1).alias("north"), "lon", "lat", "value")
+    place = lambda x: F.least(F.greatest((x * per_degree).cast("int"), F.lit(0)), F.lit(per_degree - 1))
+    tile = tile.groupBy("tile", "west", "north", place(F.col("north") - F.col("lat")).alias("r"), place(F.col("lon") - F.col("west")).alias("c")).agg(F.min("value").alias("value"))
 
     def f(pdf):
         store, root, _ = store_of(path)
         store.create_dir(root, recursive=True)
         west, north = float(pdf["west"].iloc[0]), float(pdf["north"].iloc[0])
         z = np.full((per_degree, per_degree), np.inf)
-        r, c = ((north - pdf["lat"]) * per_degree).astype(int).clip(0, per_degree - 1), ((pdf["lon"] - west) * per_degree).astype(int).clip(0, per_degree - 1)
-        np.minimum.at(z, (r.to_numpy(), c.to_numpy()), pdf["value"].fillna(np.inf).to_numpy(float))
+        z[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = pdf["value"].fillna(np.inf).to_numpy(float)
         name, hidden = f"{pdf['tile'].iloc[0]}.tif", f"{root}/_{uuid.uuid4().hex}"
         with store.open_output_stream(hidden, compression=None) as out:
             out.write(encoded(np.where(np.isinf(z), np.nan, z), west, north, 1 / per_degree, side, predictor))
