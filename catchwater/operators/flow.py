@@ -112,16 +112,14 @@ def boundary_edges(members: DataFrame) -> DataFrame:
 def boundary(members: DataFrame) -> DataFrame:
     """(scenario, pour, rings, cells): the rings of the largest part of each catchment, parts joined by sides; outer ring first, then holes.
 
-    A ring is an array of corner structs (row, col), closed; corners are stitched for one catchment at a time.
+    A ring is an array of corner structs (row, col), closed; corners are stitched for one catchment at a time, many catchments in a batch.
     """
-    sides = boundary_edges(members)
-
-    def stitch(pdf):
-        import pandas as pd
+    sides = boundary_edges(members).groupBy("scenario", "pour").agg(*[F.collect_list(c).alias(c) for c in ("row", "col", "side")])
 
+    def stitch(row, col, side):
         after: dict = {}
         corner = {"N": ((0, 0), (0, 1)), "E": ((0, 1), (1, 1)), "S": ((1, 1), (1, 0)), "W": ((1, 0), (0, 0))}
-        for r, c, s in sorted(zip(pdf["row"], pdf["col"], pdf["side"])):
+        for r, c, s in sorted(zip(row.tolist(), col.tolist(), side.tolist())):
             (a, b), (d, e) = corner[s]
             after.setdefault((r + a, c + b), []).append((r + d, c + e))
         rings = []
@@ -153,8 +151,12 @@ def boundary(members: DataFrame) -> DataFrame:
 
         holes = [r for r in rings if area(r) < 0 and holds(min(r))]
         cells = int(area(best) + sum(map(area, holes)))
-        as_rows = [[{"row": int(a), "col": int(b)} for a, b in r] for r in (best, *holes)]
-        return pd.DataFrame({"scenario": [pdf["scenario"].iloc[0]], "pour": [pdf["pour"].iloc[0]], "rings": [as_rows], "cells": [cells]})
+        return [[{"row": a, "col": b} for a, b in r] for r in (best, *holes)], cells
+
+    def each(batches):
+        for pdf in batches:
+            rings, cells = zip(*map(stitch, pdf["row"], pdf["col"], pdf["side"])) if len(pdf) else ((), ())
+            yield pdf[["scenario", "pour"]].assign(rings=list(rings), cells=list(cells))
 
     kind = dict(members.dtypes)["scenario"]
-    return sides.groupBy("scenario", "pour").applyInPandas(stitch, f"scenario {kind}, pour long, rings array<array<struct<row:int,col:int>>>, cells long")
+    return sides.mapInPandas(each, f"scenario {kind}, pour long, rings array<array<struct<row:int,col:int>>>, cells long")

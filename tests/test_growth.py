@@ -40,3 +40,14 @@ def test_cells_of_a_raster_are_merged_before_they_are_written(spark, tmp_path, m
     assert held == [100]
     got = raster.read(spark, str(tmp_path)).collect()
     assert len(got) == 100 and sorted(r["value"] or 0.0 for r in got) == [0.0] + [1.0] * 99
+
+
+def test_catchments_share_a_batch(spark):
+    """Outlines of small catchments, of which there are as many as cells allow, aren't a Python group each."""
+    from catchwater.operators import flow
+
+    members = spark.range(400).selectExpr("0 AS scenario", "id div 2 AS pour", "int(id div 2 * 3) AS row", "int(id % 2) AS col")
+    got = flow.boundary(members)
+    assert "flatmapgroups" not in got._jdf.queryExecution().toString().lower()
+    rows = got.collect()
+    assert len(rows) == 200 and all(r["cells"] == 2 and len(r["rings"]) == 1 and len(r["rings"][0]) == 7 for r in rows)
