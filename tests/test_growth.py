@@ -51,3 +51,11 @@ def test_catchments_share_a_batch(spark):
     assert "flatmapgroups" not in got._jdf.queryExecution().toString().lower()
     rows = got.collect()
     assert len(rows) == 200 and all(r["cells"] == 2 and len(r["rings"]) == 1 and len(r["rings"][0]) == 7 for r in rows)
+
+
+def test_a_drawn_ring_is_built_once(spark):
+    """What is asked of a ring takes its vertices many times."""
+    from catchwater.plans import registry
+
+    plan = registry.QUERIES["drawn_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS ring#") == 1 and plan.count("* 37") == 12  # three for each vertex
