@@ -138,10 +138,9 @@ def catchment_boundary(spark, d):
 # The chain that leads to sites: filled surface, slope and flow on it, seeds, thinning, filters, scores.
 def grid(spark, d) -> DataFrame:
     """Cells with elevation_m, filled_m, slope_deg, low, acc and coordinates."""
-    c = written(terrain.fill_depressions(surface(spark, d)), "filled")
-    c = flow.accumulation(flow.direction(c, "filled", "resolution"))
-    c = c.withColumn("elevation_m", F.col("z") / UNIT).withColumn("filled_m", F.col("filled") / UNIT)
-    c = terrain.local_minimum(terrain.slope(c, "filled_m", "resolution"), "elevation_m")
+    c = terrain.fill_depressions(surface(spark, d)).withColumn("elevation_m", F.col("z") / UNIT).withColumn("filled_m", F.col("filled") / UNIT)
+    c = flow.direction(c, "filled", "resolution", terrain.gradients("filled_m", "resolution"), terrain.lowest_around("elevation_m"))
+    c = flow.accumulation(written(c.select("scenario", "row", "col", "elevation_m", "filled_m", terrain.steepness().alias("slope_deg"), "low", "resolution", "direction"), "directed"))
     return written(c.select("scenario", "row", "col", "elevation_m", "filled_m", "slope_deg", "low", "acc", "resolution", (21.3 - F.col("row") * F.col("resolution") * 0.000009).alias("latitude"), (81.2 + F.col("scenario") + F.col("col") * F.col("resolution") * 0.0000097).alias("longitude")), "grid")
 
 

@@ -59,3 +59,37 @@ def test_a_drawn_ring_is_built_once(spark):
 
     plan = registry.QUERIES["drawn_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AS ring#") == 1 and plan.count("* 37") == 12  # three for each vertex
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_directions_are_found_once(spark):
+    """Accumulation reads directions three times and more; they are written, not found anew each time."""
+    from catchwater.operators import flow
+
+    cells = spark.range(30).selectExpr("0 AS scenario", "int(id div 6) AS row", "int(id % 6) AS col", "double(id) AS z")
+    found = flow.direction(cells, "z")
+    acc = flow.accumulation(found)
+    assert "Window" in optimized(found) and "Window" not in optimized(acc)
+    assert acc.where("row = 0 AND col = 0").first()["acc"] == 29  # all flow to the only lowest cell
+
+
+def test_directions_slopes_and_lowest_cells_share_two_shuffles(spark):
+    from catchwater.operators import flow
+
+    cells = spark.range(30).selectExpr("0 AS scenario", "int(id div 6) AS row", "int(id % 6) AS col", "double(id * 7 % 30) AS z")
+    both = flow.direction(cells, "z", 30.0, terrain.gradients("z", 30.0), terrain.lowest_around("z")).withColumn("slope_deg", terrain.steepness()).select(*cells.columns, "direction", "slope_deg", "low")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    apart = terrain.local_minimum(terrain.slope(flow.direction(cells, "z"), "z", 30.0), "z")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.select(both.columns).collect()))
+
+
+def test_filled_cells_are_not_joined_with_what_they_were_made_of(spark):
+    """Only spill heights are joined; what runs off to the border, a third of this grid, meets in no task."""
+    cells = spark.range(60).selectExpr("0 AS scenario", "int(id div 6) AS row", "int(id % 6) AS col", "CASE WHEN id <> 20 THEN double(id * 7 % 30) END AS z", "id AS tag")
+    filled = terrain.fill_depressions(cells)
+    plan = optimized(filled)
+    assert plan.count("Join") == 1 and "Window" not in plan
+    assert filled.count() == 60 and filled.where("filled < z OR (z IS NULL) <> (filled IS NULL)").isEmpty() and filled.columns == [*cells.columns, "filled"]
