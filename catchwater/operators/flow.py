@@ -72,22 +72,22 @@ def tour(flow: DataFrame) -> DataFrame:
     So a catchment is a range of places. A cell stands after its receiver and those of the receiver's other inflows that come before it, with all of theirs; its place adds
     up such steps on its way down. Each round a cell's pointer goes twice as far, and cells whose pointer has met one that is placed leave.
     """
-    size = flow.select("scenario", cell_id().alias("id"), (F.col("acc") + 1).alias("cells"), (F.col("direction") < 0).alias("outlet"))
-    size = written(size, "sizes")
-    before = Window.partitionBy("scenario", "up").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    step = edges(flow).select("scenario", F.col("src").alias("id"), F.col("dst").alias("up")).join(size.drop("outlet"), ["scenario", "id"])
-    step = step.select("scenario", "id", "up", (F.coalesce(F.sum("cells").over(before), F.lit(0)) + 1).alias("first"))
-    ends = size.where("outlet").select("scenario", F.col("id").alias("up"), F.lit(True).alias("ends"))
-    state = written(step.join(ends, ["scenario", "up"], "left").select("scenario", "id", "up", "first", F.coalesce("ends", F.lit(False)).alias("done")), "tour")
+    flow = kept(flow, "accumulated")
+    cells = (F.col("acc") + 1).alias("cells")
+    outlets = flow.where("direction < 0").select("scenario", cell_id().alias("id"), cells)
+    before = Window.partitionBy("up", "scenario").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    step = edges(flow, cells).withColumnsRenamed({"src": "id", "dst": "up"})
+    step = step.select("scenario", "id", "up", "cells", (F.coalesce(F.sum("cells").over(before), F.lit(0)) + 1).alias("first"))
+    ends = outlets.select("scenario", F.col("id").alias("up"), F.lit(True).alias("ends"))
+    state = written(step.join(ends, ["up", "scenario"], "left").select("scenario", "id", "up", "cells", "first", F.coalesce("ends", F.lit(False)).alias("done")), "tour")
     settled, active = [state.where("done")], state.where("NOT done")
     while not active.isEmpty():
         to = reduce(DataFrame.union, settled).union(active).select("scenario", F.col("id").alias("up"), F.col("up").alias("next"), F.col("first").alias("more"), F.col("done").alias("ended"))
-        new = written(active.join(to, ["scenario", "up"]).select("scenario", "id", F.col("next").alias("up"), (F.col("first") + F.col("more")).alias("first"), F.col("ended").alias("done")), "tour")
+        new = written(active.join(to, ["up", "scenario"]).select("scenario", "id", F.col("next").alias("up"), "cells", (F.col("first") + F.col("more")).alias("first"), F.col("ended").alias("done")), "tour")
         settled.append(new.where("done"))
         active = new.where("NOT done")
-    placed = reduce(DataFrame.union, settled).select("scenario", "id", F.col("up").alias("root"), "first")
-    placed = placed.union(size.where("outlet").select("scenario", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("first")))
-    return placed.join(size.drop("outlet"), ["scenario", "id"])
+    placed = reduce(DataFrame.union, settled).select("scenario", "id", F.col("up").alias("root"), "first", "cells")
+    return placed.union(outlets.select("scenario", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("first"), "cells"))
 
 
 def catchments(flow: DataFrame, points: DataFrame, block: int = 1024) -> DataFrame:
@@ -96,20 +96,20 @@ def catchments(flow: DataFrame, points: DataFrame, block: int = 1024) -> DataFra
     A catchment is a range in the tour of its outlet's tree, so members come from one join of blocks of places, whatever the catchments' sizes; repeated points count once.
     """
     place = written(tour(flow if "acc" in flow.columns else accumulation(flow)), "places")
-    at = points.select("scenario", cell_id().alias("id")).distinct().join(place, ["scenario", "id"])
+    at = points.select("scenario", cell_id().alias("id")).distinct().join(place, ["id", "scenario"])
     block_of = lambda c: F.floor(c / block)
     ranges = at.select("scenario", "root", F.col("id").alias("pour"), F.col("first").alias("lo"), (F.col("first") + F.col("cells")).alias("hi"), F.explode(F.sequence(block_of(F.col("first")), block_of(F.col("first") + F.col("cells") - 1))).alias("block"))
     cells = place.select("scenario", "root", "id", "first", block_of(F.col("first")).alias("block"))
-    found = cells.join(ranges, ["scenario", "root", "block"]).where("first >= lo AND first < hi")
+    found = cells.join(ranges, ["root", "block", "scenario"]).where("first >= lo AND first < hi")
     return found.select("scenario", "pour", F.shiftright("id", 32).cast("int").alias("row"), F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("col"))
 
 
 def boundary_edges(members: DataFrame) -> DataFrame:
-    """(scenario, pour, row, col, side) of each cell side between a catchment and what is outside. Sides: N, E, S, W."""
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for s, dr, dc in (("N", -1, 0), ("E", 0, 1), ("S", 1, 0), ("W", 0, -1))]))
-    all_sides = members.select("*", sides.alias("s")).select("scenario", "pour", "row", "col", "s.side", (F.col("row") + F.col("s.dr")).alias("r2"), (F.col("col") + F.col("s.dc")).alias("c2"))
-    inner = members.select("scenario", "pour", F.col("row").alias("r2"), F.col("col").alias("c2"))
-    return all_sides.join(inner, ["scenario", "pour", "r2", "c2"], "left_anti").select("scenario", "pour", "row", "col", "side")
+    """(scenario, pour, row, col, side) of each cell side between a catchment and what is outside. Sides: N, E, S, W. Cells are looked for along the lines of each catchment's grid, in two shuffles of the cells as they are."""
+    step = lambda line, place, k: F.count(F.lit(1)).over(Window.partitionBy("pour", line, "scenario").orderBy(place).rangeBetween(k, k)) > 0
+    inner = members.select("scenario", "pour", "row", "col").withColumns({"W": step("row", "col", -1), "E": step("row", "col", 1)}).withColumns({"N": step("col", "row", -1), "S": step("col", "row", 1)})
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("inside")) for s in "NESW"]))
+    return inner.select("scenario", "pour", "row", "col", sides).where("NOT inside").drop("inside")
 
 
 def boundary(members: DataFrame) -> DataFrame:

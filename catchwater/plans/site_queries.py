@@ -125,13 +125,13 @@ MEMBERS = "o AS (SELECT scenario, row AS r, col AS c FROM f WHERE direction = -1
 
 @query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')}, {MEMBERS} SELECT scenario, pour, row, col FROM m")
 def catchment_cells(spark, d):
-    f = directed(spark, d)
+    f = written(directed(spark, d), "directed")
     return flow.catchments(f, f.where(POURS))
 
 
 @query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')}, {MEMBERS}, s AS (SELECT * FROM (VALUES ('N',-1,0),('E',0,1),('S',1,0),('W',0,-1)) t(side, dr, dc)) SELECT m.scenario, m.pour, m.row, m.col, s.side FROM m CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.scenario = m.scenario AND x.pour = m.pour AND x.row = m.row + s.dr AND x.col = m.col + s.dc)")
 def catchment_boundary(spark, d):
-    f = directed(spark, d)
+    f = written(directed(spark, d), "directed")
     return flow.boundary_edges(written(flow.catchments(f, f.where(POURS)), "members"))
 
 
@@ -268,7 +268,7 @@ PARTS = "l(scenario, pour, row, col, root) AS (SELECT scenario, pour, row, col,
 @query(f"WITH RECURSIVE {DEM}, {DIRS}, {steps('f', 'dem', 'z')}, {ways('a', 'f')}, {MEMBERS}, {PARTS} SELECT scenario, pour, max(n) AS cells, max(n)::DOUBLE AS ring_cells FROM (SELECT scenario, pour, root, count(*) AS n FROM part GROUP BY ALL) GROUP BY scenario, pour")
 def catchment_polygons(spark, d):
     """The largest part of each catchment as a GeoJSON polygon in metres; its area, in cells, is taken from the polygon that is read back."""
-    f = directed(spark, d)
+    f = written(directed(spark, d), "directed")
     rings = flow.boundary(written(flow.catchments(f, f.where(POURS)), "members"))
     corner = lambda v: F.struct((v["col"] * 30.0).alias("lon"), (v["row"] * -30.0).alias("lat"))
     shape = layers.as_json(layers.polygon(F.transform("rings", lambda r: F.transform(r, corner))))

@@ -93,3 +93,25 @@ def test_filled_cells_are_not_joined_with_what_they_were_made_of(spark):
     plan = optimized(filled)
     assert plan.count("Join") == 1 and "Window" not in plan
     assert filled.count() == 60 and filled.where("filled < z OR (z IS NULL) <> (filled IS NULL)").isEmpty() and filled.columns == [*cells.columns, "filled"]
+
+
+def test_sides_of_catchments_are_not_exploded_into_a_join(spark):
+    """Four rows for each cell went through a shuffle; repeated members count as before."""
+    from catchwater.operators import flow
+
+    members = spark.createDataFrame([(0, p, r, c) for p in (1, 2) for r, c in [(0, 0), (0, 1), (1, 1), (1, 1), (3, 0)]], "scenario int, pour long, row int, col int")
+    got = flow.boundary_edges(members)
+    assert "Join" not in optimized(got)
+    here = [(0, 0), (0, 1), (1, 1), (1, 1), (3, 0)]
+    want = [(0, p, r, c, s) for p in (1, 2) for r, c in here for s, dr, dc in (("N", -1, 0), ("E", 0, 1), ("S", 1, 0), ("W", 0, -1)) if (r + dr, c + dc) not in here]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_tour_takes_sizes_along(spark):
+    """Neither its start nor its result is joined with sizes once more."""
+    from catchwater.operators import flow
+
+    cells = spark.range(30).selectExpr("0 AS scenario", "int(id div 6) AS row", "int(id % 6) AS col", "double(id) AS z")
+    tour = flow.tour(flow.accumulation(flow.direction(cells, "z")))
+    assert "Join" not in optimized(tour)
+    assert tour.count() == 30 and tour.agg(F.max("cells")).first()[0] == tour.groupBy("root").count().agg(F.max("count")).first()[0]
