@@ -204,6 +204,73 @@ def test_words_equal_library(spark, monkeypatch):
                 assert got.tolist() == lib.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+class Asked(dict):
+    """Counts look-ups."""
+
+    n = 0
+
+    def __getitem__(self, key):
+        Asked.n += 1
+        return super().__getitem__(key)
+
+
+def test_only_different_pieces_are_looked_up():
+    own = packing.Words(WORD)
+    own.memo, Asked.n = Asked(), 0
+    assert {len(x) for x in own.ids(["One two, three. " * 1000] * 10)} == {5000}
+    assert Asked.n <= 10
+
+
+JOINTS = [
+    "H\u0331 T\u0308, W\u030a. Y\u030a; J\u030c H\u0331. AB\u0331 İ I\u0307 \u212a \u0344A", "Plain beside.", "<|ENDOFTEXT|> <|EndOfText|>. A<|endoftext|>B. C", "a\vB\fc\u2028D\xa0E\u3000F.\x1cG",
+    "foo.bar(Baz)'s x.'s '.s don't. 'RE,a é.É ß!ß ×. ÷. a×.b 5.5% $5,000.00 ½. ²; ,.a,. *a**b*** %a%", "’.a a’. “A,” —B.", "Σ. ΑΣ, слово. Слово,слово 字。字.", "x" * 70 + "." + "Y" * 200, "é" * 40 + ", " + "É" * 40, ".", "\u0301.\u0301a.\u0301",
+]
+
+
+@pytest.mark.parametrize(("stretch", "memo"), [(1 << 22, 300_000), (30, 20), (1, 1)])
+def test_words_at_joints(monkeypatch, stretch, memo):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORD), packing.Words(WORD)
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    monkeypatch.setattr(packing, "MEMO", memo)
+    r = random.Random(9)
+    texts = [t or "" for t in TEXTS] + JOINTS + ["".join(r.choice(["a", "B", "é", "É", "'", "s", ".", ",", "*", "5", " ", "\u0331", "h", "H", "<|endoftext|>", "<|EndOfText|>", "’", "×", "\xa0"]) for _ in range(r.randrange(25))) for _ in range(400)]
+    for part in (texts, texts[::-1], JOINTS, []):
+        assert [x.tolist() for x in own.ids(part)] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
+    assert len(own.memo) == len(own.first) <= 2 * memo + len(set(" ".join(texts).split()))
+    for kind in (pa.string(), pa.large_string()):
+        flat, ends = own.column(pa.array(["cut off", "A b.", None, "", "é", "cut off"], kind).slice(1, 4))
+        assert [x.tolist() for x in np.split(flat, ends)] == [*(lib.encode(t, add_special_tokens=False).ids for t in ("A b.", "", "", "é")), []]
+
+
+def test_words_beside_any_character():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORD), packing.Words(WORD)
+    points = [*range(1, 0x500), *range(0x500, 0xD800, 7), *range(0xE000, 0x110000, 61)]
+    texts = [f"aB{chr(c)}.C,{chr(c)}5{chr(c)}X" for c in points]
+    assert [x.tolist() for x in own.ids(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_other_rules(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    lib = Tokenizer.from_file(WORD)
+    lib.normalizer = normalizers.NFC()
+    lib.save(str(tmp_path / "own.json"))
+    own, texts = packing.Words(str(tmp_path / "own.json")), [t or "" for t in TEXTS] + JOINTS
+    texts = [t for t in texts if not re.search(r"[^\S ]", t)]
+    assert [x.tolist() for x in own.ids(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tokens_take_two_bytes(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 100)
+    rows = packing.tokens(odd, WORD, length=8).collect()
+    assert sum(len(r["ids"]) for r in rows) == 2 * sum(min(8, r["doc_tokens"] - r["start"]) for r in rows)
+    assert all(r["ids_crc32"] is None or r["ids_crc32"] == zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_first_fit_decreasing(seed):
     r = random.Random(seed)
