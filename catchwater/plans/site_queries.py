@@ -36,7 +36,7 @@ RESOLUTION = "30.0D + 5 * (scenario % 4)"
 def surface(spark, d) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", F.expr(SCENARIO).alias("scenario"))
     at = o.select("scenario", F.expr("int(o_orderkey div 300)").alias("row"), F.expr("int(o_orderkey % 300 - scenario * (scenario + 1) div 2)").alias("col"), "o_totalprice", F.expr(RESOLUTION).alias("resolution"))
-    return at.select("scenario", "row", "col", F.expr("cast(floor(o_totalprice) AS BIGINT) + 40000 * (row + col)").alias("z"), "resolution")
+    return at.select("scenario", "row", "col", F.expr("cast(floor(o_totalprice) AS BIGINT) + 40000L * (row + col)").alias("z"), "resolution")
 
 
 DEM = f"""o1 AS (SELECT o_orderkey, o_totalprice, {SCENARIO} AS scenario FROM orders), o2 AS (SELECT scenario, (o_orderkey // 300)::INT AS row, (o_orderkey % 300 - scenario * (scenario + 1) // 2)::INT AS col, o_totalprice FROM o1),

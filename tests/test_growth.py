@@ -115,3 +115,17 @@ def test_a_tour_takes_sizes_along(spark):
     tour = flow.tour(flow.accumulation(flow.direction(cells, "z")))
     assert "Join" not in optimized(tour)
     assert tour.count() == 30 and tour.agg(F.max("cells")).first()[0] == tour.groupBy("root").count().agg(F.max("count")).first()[0]
+
+
+def test_heights_of_long_grids_are_no_ints(spark, tmp_path):
+    """At 6 GB a grid has 180,000 rows; 40000 * row passes 2^31 from row 53,687 on."""
+    from catchwater.plans import registry, site_queries
+
+    spark.range(300 * 180_000, 300 * 180_012).selectExpr("id AS o_orderkey", "double(id * 7919 % 500000) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 10.0, "2020-01-01"), (2, 20.0, "2021-01-01")], "l_suppkey long, l_quantity double, d string").select("l_suppkey", "l_quantity", F.to_timestamp("d").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["scenario"], r["row"], r["col"]): r["z"] for r in site_queries.surface(spark, str(tmp_path)).collect()}
+    want = {(s, r, c): (300 * r + s * (s + 1) // 2 + c) * 7919 % 500000 + 40000 * (r + c) for r in range(180_000, 180_012) for s in range(24) for c in range(s + 1)}
+    assert got == want
+    counts = {r["scenario"]: r["candidates"] for r in registry.QUERIES["status_counts"](spark, str(tmp_path)).collect()}
+    layer = registry.QUERIES["candidate_layer"](spark, str(tmp_path)).groupBy("scenario").count().collect()
+    assert counts and counts == {r["scenario"]: r["count"] for r in layer}
