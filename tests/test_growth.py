@@ -129,3 +129,23 @@ def test_heights_of_long_grids_are_no_ints(spark, tmp_path):
     counts = {r["scenario"]: r["candidates"] for r in registry.QUERIES["status_counts"](spark, str(tmp_path)).collect()}
     layer = registry.QUERIES["candidate_layer"](spark, str(tmp_path)).groupBy("scenario").count().collect()
     assert counts and counts == {r["scenario"]: r["count"] for r in layer}
+
+
+def test_a_model_finds_slopes_with_directions(spark, monkeypatch):
+    """Four more shuffles of all cells found slopes and lowest cells after accumulation."""
+    from catchwater.operators import analysis
+
+    plans, old = {}, analysis.written
+    monkeypatch.setattr(analysis, "written", lambda df, name: plans.setdefault(name, optimized(df)) and old(df, name))
+    cells = spark.range(60).selectExpr("0 AS scenario", "int(id div 6) AS row", "int(id % 6) AS col", "double(id * 7 % 30) AS elevation_m", "30.0D AS resolution")
+    got = analysis.model(cells)
+    assert set(plans) == {"directed", "terrain"} and "Window" not in plans["terrain"]
+    want = terrain.local_minimum(terrain.slope(terrain.fill_depressions(cells, "elevation_m").withColumnRenamed("filled", "filled_m"), "filled_m", "resolution"), "elevation_m")
+    assert sorted(map(tuple, got.select("row", "col", "filled_m", "slope_deg", "low").collect())) == sorted(map(tuple, want.select("row", "col", "filled_m", "slope_deg", "low").collect()))
+
+
+def test_cells_of_a_grid_are_dealt_to_tasks(spark):
+    """A specification stands in one task, and so did all its cells."""
+    spec = spark.createDataFrame([(0, 0.0, 0.0, 40, 5, 30.0)], "scenario int, origin_x double, origin_y double, rows int, cols int, resolution double").coalesce(1)
+    cells = terrain.grid_cells(spec)
+    assert cells.rdd.getNumPartitions() > 1 and cells.count() == 200
